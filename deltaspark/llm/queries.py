@@ -14,6 +14,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import ROW_BYTES, shards
+
+    text = F.coalesce("text", F.lit(""))
+    return shards(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import RULES, judge
+
+    return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media
+
+    return media(_table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contained
 
