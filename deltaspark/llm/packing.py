@@ -35,6 +35,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 1_500_000
+#: Groups that the pieces of one length are dealt over, at most; it bounds the counts the driver sums.
+MOST_SALTS = 256
 
 
 def fullest(stock: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -220,7 +222,7 @@ def assign(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     the pieces of a common length.
     """
     spark = rows.sparkSession
-    salts = max(1, _store.partitions(spark))
+    salts = min(MOST_SALTS, max(1, _store.partitions(spark)))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     # of bounded size: at most `capacity` lengths times the salts

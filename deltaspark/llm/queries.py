@@ -41,6 +41,12 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import dedup
+
+    return dedup(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contained
 
@@ -54,6 +60,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LineIndex(spark).insert(docs).dedup(docs, digest=True)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup
+
+    return dedup(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
