@@ -60,6 +60,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LineIndex(spark).insert(docs).dedup(docs, digest=True)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs.where(~held_out(F.col("doc_id")))))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup
 
