@@ -53,9 +53,14 @@ def _grow(n: int) -> None:
 
 def byte_prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash over bytes, for span_hash()."""
-    _grow(len(data) + 1)
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[data] * _powers[: len(data)], out=out[1:])
+    return sequence_prefix(_TABLE[data])
+
+
+def sequence_prefix(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial hash over 64-bit values, for span_hash()."""
+    _grow(len(values) + 1)
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _powers[: len(values)], out=out[1:])
     return out
 
 

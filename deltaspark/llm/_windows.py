@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
-from ._text import byte_prefix, gram_hash, mix64, ranges, slices, span_hash, window_argmin
+from ._text import byte_prefix, ranges, sequence_prefix, slices, span_hash, window_argmin
 
 
 @dataclass(frozen=True)
@@ -32,10 +32,7 @@ class Shape:
         if self.words:
             starts, ends, before = part.words()
             values = span_hash(byte_prefix(part.data), starts, ends)
-            _text._grow(len(values) + 1)
-            prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-            np.cumsum(values * _text._powers[: len(values)], out=prefix[1:])
-            return starts, ends, before, prefix
+            return starts, ends, before, sequence_prefix(values)
         places = np.arange(len(part.data) + 1)
         return places[:-1], places[1:], part.bounds, byte_prefix(part.data)
 

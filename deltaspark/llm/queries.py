@@ -67,6 +67,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs.where(~held_out(F.col("doc_id")))))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup
 
