@@ -82,63 +82,87 @@ def _partitions(block: list, threshold: int) -> list[_Partition]:
     return [_Partition(gram, members) for (gram, _), members in sorted(classes.items())]
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """Items contained in documents: doc_id, item_id, n_item, n_shared, containment."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, threshold: int, words: int) -> Iterator[list[_Partition]]:
+    """The sketch tables of the items, in blocks of bounded size."""
     if not 0 < threshold <= 100:
         raise ValueError("the threshold must lie in 1..100 per cent")
     prepared = _store.cut(item_shingles(items, words))
     total = prepared.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0)).alias("n")).first()["n"]
     blocks = -(-total // BLOCK_SHINGLES)
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
-    out = spark.createDataFrame([], schema)
     numbered = prepared.withColumn("_block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(max(1, blocks))))
     for b in range(blocks):
-        block = [(r["item_id"], r["gram"], r["shingles"]) for r in numbered.where(F.col("_block") == b).collect()]
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_search(_partitions(block, threshold)), schema)
-        out = found if b == 0 else out.unionByName(found)
-    return out
+        rows = numbered.where(F.col("_block") == b).collect()
+        yield _partitions([(r["item_id"], r["gram"], r["shingles"]) for r in rows], threshold)
 
 
-def _search(parts: list[_Partition]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, item_ids, sizes, shared = [], [], [], []
-            for piece in slices(batch.column(1), lower=True):
-                starts, ends, before = piece.words()
-                hashes = span_hash(byte_prefix(piece.data), starts, ends)
-                grams = {n: gram_hash(hashes, n) for n in {p.gram for p in parts}}
-                for p in parts:
-                    all_grams = grams[p.gram]
-                    if not len(all_grams):
-                        continue
-                    at = np.searchsorted(p.hashes, all_grams)
-                    at[at == len(p.hashes)] = 0
-                    hits = np.flatnonzero(p.hashes[at] == all_grams)
-                    docs_hit = np.searchsorted(before, hits, side="right") - 1
-                    hits = hits[hits + p.gram <= before[docs_hit + 1]]  # not across two texts
-                    docs_hit = np.searchsorted(before, hits, side="right") - 1
-                    for k in np.unique(docs_hit).tolist():
-                        last = before[k + 1] - p.gram + 1
-                        if last - before[k] < p.least:
-                            continue
-                        seen = np.unique(all_grams[hits[docs_hit == k]])
-                        lo, hi = np.searchsorted(p.hashes, seen), np.searchsorted(p.hashes, seen, side="right")
-                        own = np.unique(all_grams[before[k] : last])
-                        for i in np.unique(np.concatenate([p.owners[a:b] for a, b in zip(lo, hi)])).tolist():
-                            item_id, shingles, need = p.members[i]
-                            spot = np.searchsorted(own, shingles)
-                            spot[spot == len(own)] = 0
-                            n = int((own[spot] == shingles).sum())
-                            if n >= need:
-                                owners.append(piece.first + k)
-                                item_ids.append(item_id)
-                                sizes.append(len(shingles))
-                                shared.append(n)
-            n_item, n_shared = np.array(sizes, dtype=np.int64), np.array(shared, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owners, pa.int64())), pa.array(item_ids, pa.int64()), pa.array(n_item), pa.array(n_shared), pa.array(n_shared / np.maximum(n_item, 1))],
-                ["doc_id", "item_id", "n_item", "n_shared", "containment"],
-            )
-
-    return run
+def contained(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """Items contained in documents: doc_id, item_id, n_item, n_shared, containment."""
+    names = ["doc_id", "item_id", "n_item", "n_shared", "containment"]
+    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+
+    def search(parts: list[_Partition]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = list(_matches(batch.column(1), parts))
+                rows, ids, sizes, shared = zip(*found) if found else ((), (), (), ())
+                n_item, n_shared = np.array(sizes, dtype=np.int64), np.array(shared, dtype=np.int64)
+                owners = batch.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([owners, pa.array(ids, pa.int64()), pa.array(n_item), pa.array(n_shared), pa.array(n_shared / np.maximum(n_item, 1))], names)
+
+        return run
+
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    out = None
+    for parts in _blocks(items, threshold, words):
+        found = own.mapInArrow(search(parts), schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """The rows of docs, as they are, that contain no item."""
+    at = docs.columns.index("text")
+
+    def search(parts: list[_Partition]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, dtype=bool)
+                keep[[row for row, *_ in _matches(batch.column(at), parts)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for parts in _blocks(items, threshold, words):
+        docs = docs.mapInArrow(search(parts), docs.schema)
+    return docs
+
+
+def _matches(texts: pa.Array, parts: list[_Partition]) -> Iterator[tuple[int, int | None, int, int]]:
+    """Row, item_id, the item's shingles and the shared ones, of each item that a text contains."""
+    for piece in slices(texts, lower=True):
+        starts, ends, before = piece.words()
+        hashes = span_hash(byte_prefix(piece.data), starts, ends)
+        grams = {n: gram_hash(hashes, n) for n in {p.gram for p in parts}}
+        for p in parts:
+            all_grams = grams[p.gram]
+            if not len(all_grams):
+                continue
+            at = np.searchsorted(p.hashes, all_grams)
+            at[at == len(p.hashes)] = 0
+            hits = np.flatnonzero(p.hashes[at] == all_grams)
+            hits = hits[hits + p.gram <= before[np.searchsorted(before, hits, side="right")]]  # not across two texts
+            owner = np.searchsorted(before, hits, side="right") - 1
+            for k in np.unique(owner).tolist():
+                last = before[k + 1] - p.gram + 1
+                if last - before[k] < p.least:
+                    continue
+                seen = np.unique(all_grams[hits[owner == k]])
+                lo, hi = np.searchsorted(p.hashes, seen), np.searchsorted(p.hashes, seen, side="right")
+                own = np.unique(all_grams[before[k] : last])
+                for i in np.unique(np.concatenate([p.owners[a:b] for a, b in zip(lo, hi)])).tolist():
+                    item_id, shingles, need = p.members[i]
+                    spot = np.searchsorted(own, shingles)
+                    spot[spot == len(own)] = 0
+                    shared = int((own[spot] == shingles).sum())
+                    if shared >= need:
+                        yield piece.first + k, item_id, len(shingles), shared

@@ -217,8 +217,8 @@ def _searched(members: DataFrame, similarity: int) -> DataFrame:
     return dealt.mapInArrow(run, "class long, root long, links long")
 
 
-def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of docs."""
+def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """_doc, _tid, doc_id, n_shingles, label (of its component; null without shingles), n_links of every row."""
     marks = _store.cut(signatures(docs, words))
     classes = marks.where("class is not null").groupBy("class").agg(F.min(F.struct("_doc", "_tid")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
 
@@ -257,7 +257,26 @@ def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> D
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
 
     known = marks.join(classes.select("class", "copies"), "class", "left").join(labels, "class", "left").join(links, "class", "left")
-    known = known.select("doc_id", "n_shingles", F.coalesce("label", "class").alias("label"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
-    known = _store.cut(known)
+    known = known.select("_doc", "_tid", "doc_id", "n_shingles", F.coalesce("label", "class").alias("label"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
+    return _store.cut(known)
+
+
+def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of docs."""
+    known = _components(docs, words, similarity)
     least = _store.cut(known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")))
     return known.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "n_links")
+
+
+def dedup(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of docs, as they are, of which one stays for each component: that with the smallest doc_id.
+
+    Rows without shingles are no copies of anything and stay.
+    """
+    known = _components(docs, words, similarity)
+    first = known.where("label is not null").groupBy("label").agg(F.min(F.struct("_doc", "_tid")).alias("rep"))
+    kept = first.select("rep._doc", "rep._tid", F.lit(1).alias("_one"))
+    kept = kept.unionByName(known.where("label is null").select("_doc", "_tid", F.lit(0).alias("_one")).distinct())
+    joined = keyed(docs, *docs.columns).join(_store.cut(kept), ["_doc", "_tid"])
+    order = F.row_number().over(Window.partitionBy("_doc", "_tid").orderBy("_one"))
+    return joined.withColumn("_order", order).where("_one = 0 or _order = 1").select(*docs.columns)

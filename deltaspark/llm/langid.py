@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import mix64, slices
@@ -144,33 +144,48 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             langs = np.array([index[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             for part in slices(batch.column(0)):
                 for n, hashes, owner in _grams(part.data, part.bounds):
-                    both = np.stack([hashes.view(np.int64), langs[part.first + owner]], axis=1)
-                    keys, times = np.unique(both, axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 1].copy()), pa.array(np.full(len(keys), n)), pa.array(keys[:, 0].copy()), pa.array(times)], ["lang", "n", "gram", "times"])
+                    own = langs[part.first + owner]
+                    for i in np.unique(own).tolist():
+                        keys, times = np.unique(hashes[own == i], return_counts=True)
+                        columns = [np.full(len(keys), i), np.full(len(keys), n), keys.view(np.int64), times]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lang", "n", "gram", "times"])
 
     counts = chosen.select("text", "lang").mapInArrow(count, "lang long, n long, gram long, times long")
     wide = counts.groupBy("n", "gram").agg(*[F.sum(F.when(F.col("lang") == i, F.col("times")).otherwise(0)).alias(f"c{i}") for i in range(len(languages))])
     wide = wide.where(" + ".join(f"c{i}" for i in range(len(languages))) + " >= 5").persist()
     totals = {r["n"]: r for r in wide.groupBy("n").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(languages))]).collect()}
-    grams: dict[int, list[np.ndarray]] = defaultdict(list)
-    for n, sums in totals.items():
-        for i in range(len(languages)):
-            if not sums[f"c{i}"]:
-                continue
-            own = F.col(f"c{i}") / float(sums[f"c{i}"])
-            others = [F.col(f"c{j}") / float(sums[f"c{j}"]) for j in range(len(languages)) if j != i and sums[f"c{j}"]]
-            rival = F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0)
-            typical = wide.where((F.col("n") == n) & (own > 2 * rival)).orderBy(F.desc(f"c{i}"), "gram").limit(GRAMS)
-            grams[i].append(np.array([r["gram"] for r in typical.select("gram").collect()], dtype=np.int64).view(np.uint64))
+    # each language's counts side by side, as shares of the language's n-grams of that length
+    count_ = len(languages)
+    rows = []
+    for i in range(count_):
+        share_of = lambda j: F.col(f"c{j}") / totals_of(totals, j)
+        others = [share_of(j) for j in range(count_) if j != i]
+        rival = F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0)
+        rows.append(F.struct(F.lit(i).alias("lang"), F.col(f"c{i}").alias("times"), (share_of(i) > 2 * rival).alias("typical")))
+    typical = wide.select("n", "gram", F.inline(F.array(*rows))).where("typical")
+    order = Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram")
+    kept = typical.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GRAMS)
+    grams: dict[int, list[int]] = defaultdict(list)
+    for r in kept.select("lang", "gram").collect():
+        grams[r["lang"]].append(r["gram"])
     wide.unpersist()
     table = np.zeros(1 << BITS, dtype=np.uint64)
-    for i, parts in grams.items():
+    for i, own in grams.items():
+        hashes = np.array(own, dtype=np.int64).view(np.uint64)
         for k in range(HASHES):
-            table[_slot(np.concatenate(parts), k)] |= np.uint64(1) << np.uint64(i)
+            table[_slot(hashes, k)] |= np.uint64(1) << np.uint64(i)
     fill = np.array([(table >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, table, fill**HASHES, default)
 
 
+def totals_of(totals: dict, language: int):
+    """The language's n-grams of the row's length, at least 1, as a column."""
+    out = F.lit(1.0)
+    for n, sums in sorted(totals.items()):
+        out = F.when(F.col("n") == n, F.lit(float(max(1, sums[f"c{language}"])))).otherwise(out)
+    return out
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs."""
 

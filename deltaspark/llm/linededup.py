@@ -234,11 +234,12 @@ class LineIndex:
         lost = self.exact().join(shared, ["hi", "lo"]).where("doc_id > first")
         return lost.groupBy("doc_id").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
 
-    def dedup(self, docs: DataFrame, digest: bool = False) -> DataFrame:
+    def dedup(self, docs: DataFrame, digest: bool = False, drop_emptied: bool = False) -> DataFrame:
         """docs without the lines that an earlier document of the index holds.
 
-        Returns the columns of docs with text replaced; or, with digest, doc_id,
-        n_lines, n_dropped and kept_sha256.
+        Returns the columns of docs with text replaced, if drop_emptied without the
+        rows of which only white space is left; or, with digest, doc_id, n_lines,
+        n_dropped and kept_sha256.
         """
         columns = ["doc_id", "text"] if digest else docs.columns
         own = docs.select(*columns, _id(F.col("doc_id")).alias("_doc"))
@@ -247,7 +248,7 @@ class LineIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts, lines, drops, kept = batch.column(columns.index("text")), [], [], []
+                texts, lines, drops, kept, stay = batch.column(columns.index("text")), [], [], [], []
                 for text, his, los in zip(texts, batch.column("_his"), batch.column("_los")):
                     parts = bytes(text.as_buffer() or b"").split(b"\n") if text.is_valid else [b""]
                     lines.append(len(parts))
@@ -259,12 +260,13 @@ class LineIndex:
                         rest = parts
                     drops.append(len(parts) - len(rest))
                     whole = b"\n".join(rest)
+                    stay.append(not (drop_emptied and drops[-1] and not whole.strip()))
                     kept.append(hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8", "replace") if text.is_valid else None)
                 if digest:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(drops, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
                 else:
                     out = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns]
-                    yield pa.RecordBatch.from_arrays(out, columns)
+                    yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(stay, pa.bool_()))
 
         if digest:
             kind = dict(docs.dtypes)["doc_id"]
