@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import relational
+from . import graph_queries, relational
 
-QUERIES: dict[str, tuple] = {**relational.QUERIES}
+QUERIES: dict[str, tuple] = {**relational.QUERIES, **graph_queries.QUERIES}
