@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import graph_queries, relational
+from . import graph_queries, relational, tpch
 
-QUERIES: dict[str, tuple] = {**relational.QUERIES, **graph_queries.QUERIES}
+QUERIES: dict[str, tuple] = {**relational.QUERIES, **graph_queries.QUERIES, **tpch.QUERIES}
