@@ -277,6 +277,8 @@ def dedup(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) ->
     first = known.where("label is not null").groupBy("label").agg(F.min(F.struct("_doc", "_tid")).alias("rep"))
     kept = first.select("rep._doc", "rep._tid", F.lit(1).alias("_one"))
     kept = kept.unionByName(known.where("label is null").select("_doc", "_tid", F.lit(0).alias("_one")).distinct())
-    joined = keyed(docs, *docs.columns).join(_store.cut(kept), ["_doc", "_tid"])
+    # rows travel as a struct: no name of theirs clashes with ours
+    rows = keyed(docs, F.struct(*docs.columns).alias("_row"))
+    joined = rows.join(_store.cut(kept), ["_doc", "_tid"])
     order = F.row_number().over(Window.partitionBy("_doc", "_tid").orderBy("_one"))
-    return joined.withColumn("_order", order).where("_one = 0 or _order = 1").select(*docs.columns)
+    return joined.withColumn("_order", order).where("_one = 0 or _order = 1").select("_row.*")

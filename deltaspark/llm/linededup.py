@@ -242,9 +242,11 @@ class LineIndex:
         n_dropped and kept_sha256.
         """
         columns = ["doc_id", "text"] if digest else docs.columns
-        own = docs.select(*columns, _id(F.col("doc_id")).alias("_doc"))
+        # other names inside, so that none of the input's clashes with ours
+        own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], _id(F.col("doc_id")).alias("_doc"))
+        inner = [f"c{i}" for i in range(len(columns))]
         drops = self.dropped().select(F.col("doc_id").alias("_doc"), F.col("his").alias("_his"), F.col("los").alias("_los"))
-        joined = own.join(drops, "_doc", "left").select(*columns, "_his", "_los")
+        joined = own.join(drops, "_doc", "left").select(*inner, "_his", "_los")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -265,7 +267,7 @@ class LineIndex:
                 if digest:
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.int64()), pa.array(drops, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
                 else:
-                    out = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns]
+                    out = [pa.array(kept, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(columns)]
                     yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(stay, pa.bool_()))
 
         if digest:

@@ -120,8 +120,9 @@ def _ddl(df: DataFrame) -> str:
 
 
 def shards(docs: DataFrame, count: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The columns of docs, then shard and slot; every row exchanged once."""
+    """The columns of docs, then shard and slot (in place of columns of these names); every row exchanged once."""
     spark = docs.sparkSession
+    docs = docs.drop("shard", "slot")
     names = {c.lower() for c in docs.columns}
     own = {c: next(x for x in (c, *(f"{c}_{i}" for i in range(99))) if x not in names) for c in ("_key", "_id", "_size", "_part")}
     key = F.xxhash64(F.coalesce("text", F.lit("")))
