@@ -226,11 +226,12 @@ class LineIndex:
 
     def counts(self) -> DataFrame:
         """Exact reference counts: hi, lo, n_docs, first (the smallest doc_id)."""
-        return self.exact().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first"))
+        return self.exact().distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first"))
 
     def dropped(self) -> DataFrame:
         """For each document that loses lines: doc_id, keys (array of 16-byte keys as two longs)."""
-        shared = self.counts().where("n_docs >= 2").select("hi", "lo", "first")
+        held = self.exact().groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        shared = held.where("first < last").select("hi", "lo", "first")
         lost = self.exact().join(shared, ["hi", "lo"]).where("doc_id > first")
         return lost.groupBy("doc_id").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
 

@@ -9,7 +9,7 @@ FAN peaks in order of time, at most REACH frames away; a pair is one 64-bit
 code, its time in the upper bits and (bin, bin, distance) in the lower ones,
 so a fingerprint is an array in order of time.
 
-Defined results: a null or empty text is 64 zero bytes, which have no peaks;
+Defined results: a null or empty text is 64 zero bytes;
 equal texts have equal values; repeated rows are repeated; an empty table gives
 an empty result; further columns are ignored. Frames are transformed in blocks
 of fixed size, so a very long text needs memory for its samples only.
