@@ -47,33 +47,22 @@ def refine(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int) -
     gram = np.zeros(n, dtype=np.uint64)
     for i in range(Q):
         gram = gram << np.uint64(8) | padded[i : i + n]
-    # suffixes that end before Q bytes are in no bucket with another one
-    short = length < Q
-    pointer = np.empty(n, dtype=np.int64)
-    _, inverse = np.unique(gram, return_inverse=True)
-    pointer[:] = inverse
-    pointer[short] = n + np.flatnonzero(short)
-    h = Q
-    active = np.flatnonzero(~short)
+    # identifiers below n are of buckets, n + place is of a suffix that is alone
+    _, pointer = np.unique(gram, return_inverse=True)
+    pointer = np.where(length < Q, n + np.arange(n), pointer)
+    active, h = np.arange(n), Q
     while h < depth:
         step = min(h, depth - h)
-        size = np.bincount(pointer)
-        active = active[(size[pointer[active]] > 1)]
-        # too short for the next depth: alone from here on, beyond all used identifiers
-        lost = active[length[active] < h + step]
-        active = active[length[active] >= h + step]
-        first, later = pointer[active], pointer[active + step]
-        order = np.lexsort((later, first))
-        new = np.r_[True, (first[order][1:] != first[order][:-1]) | (later[order][1:] != later[order][:-1])] if len(order) else np.empty(0, bool)
-        fresh = np.empty(len(active), dtype=np.int64)
-        fresh[order] = np.cumsum(new) - 1
-        base = 2 * n
-        alone = np.ones(n, dtype=bool)
-        alone[active] = False
-        pointer[alone] = base + np.flatnonzero(alone)
-        pointer[active] = fresh
-        pointer[lost] = base + lost
-        _, pointer = np.unique(pointer, return_inverse=True)
+        size = np.bincount(pointer, minlength=2 * n)
+        stays = (size[pointer[active]] > 1) & (length[active] >= h + step)
+        leaves, active = active[~stays], active[stays]
+        key = pointer[active] * (2 * n) + pointer[active + step]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, dtype=bool)
+        fresh = np.cumsum(new) - 1
+        pointer[leaves] = n + leaves
+        pointer[active[order]] = fresh
         h += step
     return pointer[wanted]
 
