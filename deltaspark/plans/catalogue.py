@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import change_queries, graph_queries, relational, tpch
+from . import change_queries, graph_queries, language_queries, relational, tpch
 
-QUERIES: dict[str, tuple] = {**relational.QUERIES, **graph_queries.QUERIES, **tpch.QUERIES, **change_queries.QUERIES}
+QUERIES: dict[str, tuple] = {**relational.QUERIES, **graph_queries.QUERIES, **tpch.QUERIES, **change_queries.QUERIES, **language_queries.QUERIES}
