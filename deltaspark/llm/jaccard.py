@@ -2,11 +2,13 @@
 
 Documents with equal shingle sets form a class, found by a digest; classes are
 joined. Two classes can only be similar enough if they share one of the first
-n - ceil(s * n) + 1 shingles of a global order, rare ones first. Rarity is
-counted over all documents: shingles frequent among hash-ordered prefixes are
-put behind all others, by the magnitude of their count. Classes that meet in
-such a prefix form families (components of the meeting graph); no link leaves
-a family, and each family is searched in one place.
+n - ceil(s * n) + 1 shingles of a global order, rare ones first. The order
+counts, over all documents, the shingles whose hashes lie in the lowest part of
+the hash space, twice as large a part as a prefix needs: those of one class
+only come first, then shared ones by how many classes share them, then the
+uncounted rest. A class whose prefix is all its own can't link with another.
+Classes that meet in a prefix form families (components of the meeting graph);
+no link leaves a family, and each family is searched in one place.
 
 The search is T-occurrence: for a query set, partners are those that occur in
 at least T of the inverted lists of its shingles, T being the overlap that the
@@ -38,16 +40,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _graph, _store
-from ._text import byte_prefix, gram_hash, ranges, sequence_prefix, slices, span_hash
+from ._text import byte_prefix, gram_hash, ranges, runs, sequence_prefix, slices, span_hash
 from ._windows import keyed
 
 WORDS = 4
 SIMILARITY = 85  # per cent
-#: A prefix shingle in this many documents, or more, counts as frequent.
-FREQUENT = 8
-#: Frequent shingles that executors hold at most; beyond it only more frequent ones are told apart.
-MOST_FREQUENT = 1_000_000
+#: Counts of shared shingles from this number on are all the same to the order.
+MOST_COUNTED = 4096
 BLOCK_SHINGLES = 2_000_000
+#: Class representatives whose places are broadcast, at most (some 10 MB); beyond it texts are shuffled to them.
+BROADCAST_ROWS = 200_000
 #: Inverted lists from this length on may be probed instead of merged.
 LONG_LIST = 64
 
@@ -76,59 +78,108 @@ def prefix_size(n: int, similarity: int) -> int:
     return n - -(-similarity * n // 100) + 1
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """_doc, _tid, doc_id, class (null without shingles), n_shingles of every document."""
+def counted_part(own: np.ndarray, similarity: int) -> int:
+    """How many of a set's shingles (ascending) lie in the counted part of the hash space."""
+    bound = min((1 << 64) - 1, (1 << 64) * 2 * (100 - similarity) // 100)
+    return int(np.searchsorted(own, np.uint64(bound)))
+
+
+def signatures(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """_doc, _tid, doc_id, class (null without shingles), n_shingles, slots of every document.
+
+    slots: the size of the prefix less the shingles in the counted part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sizes = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+            classes, sizes, slots = (np.zeros(batch.num_rows, dtype=np.int64) for _ in range(3))
             for row, own in shingle_sets(batch.column("text"), words):
                 classes[row], sizes[row] = class_of(own), len(own)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_doc", "_tid", "doc_id")), pa.array(classes, mask=sizes == 0), pa.array(sizes)], ["_doc", "_tid", "doc_id", "class", "n_shingles"])
+                slots[row] = prefix_size(len(own), similarity) - counted_part(own, similarity)
+            columns = [*(batch.column(c) for c in ("_doc", "_tid", "doc_id")), pa.array(classes, mask=sizes == 0), pa.array(sizes), pa.array(slots)]
+            yield pa.RecordBatch.from_arrays(columns, ["_doc", "_tid", "doc_id", "class", "n_shingles", "slots"])
 
     rows = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "_doc long, _tid long, doc_id long, class long, n_shingles long")
+    return rows.mapInArrow(run, "_doc long, _tid long, doc_id long, class long, n_shingles long, slots long")
 
 
-def _prefixes(docs: DataFrame, words: int, similarity: int, frequent: np.ndarray, levels: np.ndarray) -> DataFrame:
-    """shingle, class: the prefix of each set in the order of (level, hash); frequent is ascending."""
+def _candidates(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """shingle, class: the counted part of each set, and the next shingles if that is less than a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, classes, seen = [], [], set()
             for _, own in shingle_sets(batch.column(0), words):
                 mark = class_of(own)
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                size = prefix_size(len(own), similarity)
-                if len(frequent):
-                    at = np.searchsorted(frequent, own)
-                    at[at == len(frequent)] = 0
-                    level = np.where(frequent[at] == own, levels[at], 0)
-                    own = own[np.argsort(level, kind="stable")[:size]]
-                found.append(own[:size])
-                classes.append(np.full(size, mark, dtype=np.int64))
+                if mark not in seen:
+                    seen.add(mark)
+                    found.append(own[: max(prefix_size(len(own), similarity), counted_part(own, similarity))])
+                    classes.append(np.full(len(found[-1]), mark, dtype=np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(classes))], ["shingle", "class"])
 
     return docs.select("text").mapInArrow(run, "shingle long, class long")
 
 
-def _frequent(docs: DataFrame, words: int, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many prefixes share, ascending, and the magnitude of their counts."""
-    none = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    rows = _prefixes(docs, words, similarity, *none).groupBy("shingle").count().where(F.col("count") >= FREQUENT)
-    rows = _store.cut(rows.select("shingle", F.floor(F.log2("count")).cast("int").alias("level")))
-    sizes = {r["level"]: r["count"] for r in rows.groupBy("level").count().collect()}
-    least, total = max(sizes, default=0) + 1, 0
-    while sizes.get(least - 1, 0) + total <= MOST_FREQUENT and least > 0:
-        least -= 1
-        total += sizes.get(least, 0)
-    table = rows.where(F.col("level") >= least).toPandas()
-    shingles = table["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], table["level"].to_numpy(np.int64)[order]
+def _shared(rows: DataFrame) -> DataFrame:
+    """shingle, class, n of the shingles that several classes share; n is their number, up to MOST_COUNTED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by shingle and class; the last shingle's may go on in the next batch
+        kept = np.empty((0, 2), dtype=np.int64)
+        full = None  # a shingle whose first MOST_COUNTED classes are out already
+        schema = ["shingle", "class", "n"]
+        for batch in batches:
+            some = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], axis=1)
+            some = np.concatenate([kept, some])
+            if not len(some):
+                continue
+            new = np.r_[True, (some[1:] != some[:-1]).any(axis=1)]
+            some = some[new]
+            if full is not None:
+                more = int(np.searchsorted(some[:, 0] != full[0], True))
+                rest = some[:more][some[:more, 1] != full[1]]
+                if len(rest):
+                    full = (full[0], rest[-1, 1])
+                    yield _batch(rest, np.full(len(rest), MOST_COUNTED), schema)
+                some = some[more:]
+                if not len(some):
+                    kept = some
+                    continue
+                full = None
+            starts, ends = runs(some[:, 0])
+            last = starts[-1]
+            counts = (ends - starts)[:-1]
+            n = np.repeat(np.minimum(counts, MOST_COUNTED), counts)
+            if (n > 1).any():
+                yield _batch(some[:last][n > 1], n[n > 1], schema)
+            kept = some[last:]
+            if len(kept) >= MOST_COUNTED:
+                yield _batch(kept, np.full(len(kept), MOST_COUNTED), schema)
+                full = tuple(kept[-1])
+                kept = kept[:0]
+        if len(kept) > 1:
+            yield _batch(kept, np.full(len(kept), len(kept)), schema)
+
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "class")
+    return dealt.mapInArrow(run, "shingle long, class long, n long")
+
+
+def _batch(rows: np.ndarray, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(n.astype(np.int64))], names)
+
+
+def _prefixes(docs: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
+    """shingle, class: the shared shingles of each class's prefix; classes: class, slots."""
+    bound = min((1 << 64) - 1, (1 << 64) * 2 * (100 - similarity) // 100)
+    # shingles are unsigned, Spark's longs are not
+    order = F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)))
+    shared = _shared(_candidates(docs, words, similarity)).withColumn("rest", order >= bound - (1 << 63))
+    shared = shared.join(classes.select("class", "slots"), "class")
+    mine = Window.partitionBy("class")
+    ranked = shared.withColumn("room", F.col("slots") + F.count_if(~F.col("rest")).over(mine))
+    ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy("rest", "n", order)))
+    return ranked.where("rank <= room").select("shingle", "class")
 
 
 def divide_skip(keys: np.ndarray, bounds: np.ndarray, lists: np.ndarray, need: int, size: int) -> np.ndarray:
@@ -209,7 +260,8 @@ def _searched(members: DataFrame, similarity: int) -> DataFrame:
                     yield done()
                     held = []
                 at = row[:3]
-                held.append(row)
+                if not held or row[4] != held[-1][4]:  # repeated rows of a document bring its class again
+                    held.append(row)
         if held:
             yield done()
 
@@ -219,10 +271,10 @@ def _searched(members: DataFrame, similarity: int) -> DataFrame:
 
 def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     """_doc, _tid, doc_id, n_shingles, label (of its component; null without shingles), n_links of every row."""
-    marks = _store.cut(signatures(docs, words))
-    classes = marks.where("class is not null").groupBy("class").agg(F.min(F.struct("_doc", "_tid")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
+    marks = _store.cut(signatures(docs, words, similarity))
+    classes = marks.where("class is not null").groupBy("class").agg(F.min(F.struct("_doc", "_tid")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("slots").alias("slots"))
 
-    prefixes = _prefixes(docs, words, similarity, *_frequent(docs, words, similarity))
+    prefixes = _prefixes(docs, classes, words, similarity)
     before = F.lag("class").over(Window.partitionBy("shingle").orderBy("class"))
     met = prefixes.select("class", before.alias("other")).where("other <> class")
     families = _graph.components(met.select(F.col("class").alias("a"), F.col("other").alias("b")))
@@ -233,7 +285,9 @@ def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     split = not families.where("blocks > 1").isEmpty()
 
     wanted = families.select("rep._doc", "rep._tid", "family", "blocks", "class", "copies")
-    held = keyed(docs, "text").dropDuplicates(["_doc", "_tid"]).join(wanted, ["_doc", "_tid"]).select("text", "family", "blocks", "class", "copies")
+    if families.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    held = keyed(docs, "text").join(wanted, ["_doc", "_tid"]).select("text", "family", "blocks", "class", "copies")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
