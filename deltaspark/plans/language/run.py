@@ -199,6 +199,9 @@ class Memory:
         later = [d for d in due.values() if d > now]
         return {r: w for r, w in rows.items() if due[r] <= now}, min(later, default=None)
 
+    def numbered(self, rows, now):
+        return self.linear(rows, lambda k, v: [(k, (*v, now))])
+
     def keep(self, rows):
         return rows
 
@@ -289,6 +292,9 @@ class Frames:
         later = marked.where(F.col("__due") > now).agg(F.min("__due")).first()[0]
         return marked.where(F.col("__due") <= now).drop("__due"), later
 
+    def numbered(self, df, now):
+        return df.select("key", F.concat("val", F.array(F.lit(now).cast("long"))).alias("val"), W)
+
     def keep(self, df):
         return cut(self._summed(df))
 
@@ -299,8 +305,9 @@ class Frames:
 class _Scoped:
     """One scope at one round: names are worked out when they are asked for, once."""
 
-    def __init__(self, scope: Scope, backend, parent: _Scoped | None, inputs: Mapping, state: dict, now: int):
+    def __init__(self, scope: Scope, backend, parent: _Scoped | None, inputs: Mapping, state: dict, now: int, lifted: dict):
         self.scope, self.backend, self.parent, self.inputs, self.state, self.now = scope, backend, parent, inputs, state, now
+        self.lifted = lifted  # for each lift_iter: its input in the last round, and its output so far
         self.known: dict = {}
         self.children: dict[str, _Scoped] = {}
         self.due: list[int] = []
@@ -359,15 +366,37 @@ class _Scoped:
             return shown
         if op in ("map", "filter", "flatmap", "reduce"):
             return getattr(b, op)(rows[0], node.extra)
+        if op == "lift_iter":
+            now = b.keep(rows[0])
+            before, so_far = self.lifted.get(id(node), (b.empty, b.empty))
+            change = b.numbered(b.concat(now, b.negate(before)), self.now)
+            self.lifted[id(node)] = now, b.keep(b.concat(so_far, change))
+            return self.lifted[id(node)][1]
         raise ProgramError(f"{op} isn't supported")
 
 
+def _lifts(scope: Scope) -> list[str]:
+    """The lets that append round numbers; nothing within their own scope may use them."""
+
+    def inside(node: Node, op: str, extra=None) -> bool:
+        return node.op == op and (extra is None or node.extra == extra) or any(inside(x, op, extra) for x in node.inputs)
+
+    out = [name for name, node in scope.lets.items() if inside(node, "lift_iter")]
+    users = [*scope.vars.values(), *scope.lets.values()]
+    if any(inside(n, "lift_iter") for n in scope.vars.values()) or any(inside(n, "name", x) for n in users for x in out):
+        raise ProgramError("lift_iter can only be used outside its scope")
+    return out
+
+
 def fixpoint(scope: Scope, backend, parent: _Scoped | None, inputs: Mapping) -> _Scoped:
     """The scope in the round after which nothing changes any more."""
     state = {name: backend.empty for name in scope.vars}
-    now = 0
+    lifts = _lifts(scope)
+    now, lifted = 0, {}
     for _ in range(MOST_ROUNDS):
-        round_ = _Scoped(scope, backend, parent, inputs, state, now)
+        round_ = _Scoped(scope, backend, parent, inputs, state, now, lifted)
+        for name in lifts:  # they see every round
+            round_.let(name)
         new = {name: backend.keep(round_.value(node)) for name, node in scope.vars.items()}
         if all(backend.same(new[x], state[x]) for x in state):
             for name in scope.lets:  # delays that only lets look at count, too

@@ -119,6 +119,15 @@ def test_errors(spark, edges):
             evaluate(text, {0: edges})
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_rounds_as_values(spark, most):
+    text = REACH.replace("var reach", "let when = reach | lift_iter; var reach") + 'export "when" = reach::when;'
+    inputs = {0: rows(spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "a long, b long"), ["a", "b"]), 1: rows(spark.createDataFrame([(1,)], "n long"), ["n"])}
+    assert one(evaluate(text, inputs, most)["when"]) == [((1,), (1,), 1), ((2,), (2,), 1), ((3,), (2,), 1)]
+    with pytest.raises(ProgramError):
+        evaluate(REACH.replace("var reach = roots", "let r = reach | lift_iter; var reach = (r | key($0 ;)) + roots"), inputs, most)
+
+
 def test_delays():
     assert [delay(x) for x in (0, 1, 2, 3, 4, 255)] == [0, 256, 512, 512, 768, 2048]
 
