@@ -48,11 +48,11 @@ def test_stream_of_changes(spark, tmp_path):
 
 def test_upsert_stream(spark, tmp_path):
     source = str(tmp_path / "in")
-    events = [("frank", "mcsherry", 3), ("frank", "zappa", 4), ("frank", None, 5), ("frank", "oz", 9), ("frank", "oz", 11), ("frank", None, 15)]
+    events = [("k", "m", 3), ("k", "z", 4), ("k", None, 5), ("k", "o", 9), ("k", "o", 11), ("k", None, 15)]
     schema = "key string, val string, time long"
     for part in (events[:2], events[2:4], events[4:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         run = upserts(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
         run.awaitTermination()
     out = sorted((r.time, r.w, r.val) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert out == [(3, 1, "mcsherry"), (4, -1, "mcsherry"), (4, 1, "zappa"), (5, -1, "zappa"), (9, 1, "oz"), (15, -1, "oz")]
+    assert out == [(3, 1, "m"), (4, -1, "m"), (4, 1, "z"), (5, -1, "z"), (9, 1, "o"), (15, -1, "o")]
