@@ -172,9 +172,9 @@ class Collection:
         return self.subtract(self.semijoin(keys, on)).consolidate()
 
     def cross(self, other: Collection) -> Collection:
-        """All pairs with a collection of one or a few records, such as a global total."""
+        """All pairs; meant for a collection of one record, such as a global total, which Spark then broadcasts."""
         right = other.df.withColumnsRenamed({W: "__w2"})
-        return self._new(self.df.crossJoin(F.broadcast(right.limit(1))).withColumn(W, F.col(W) * F.col("__w2")).drop("__w2"))
+        return self._new(self.df.crossJoin(right).withColumn(W, F.col(W) * F.col("__w2")).drop("__w2"))
 
     def lookup(self, requests: Collection, on: Sequence[str]) -> Collection:
         """For each request (timed, distinct records), the records of its key accumulated up to its time."""

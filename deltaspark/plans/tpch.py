@@ -72,7 +72,7 @@ def q01(spark, d):
 def q02(spark, d):
     """Cheapest suppliers of a region for parts of a size, with ties; partsupp is made from lineitem."""
     nations = table(spark, d, "nation").where("n_regionkey = 3")
-    suppliers = table(spark, d, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey"))
+    suppliers = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
     parts = table(spark, d, "part").where("p_size = 15").select("p_partkey")
     offers = partsupp(spark, d).join(parts, F.col("partkey") == F.col("p_partkey")).join(suppliers, F.col("suppkey") == F.col("s_suppkey"))
     best = Collection.of(offers.select("partkey", "suppkey", "cost", "n_name"), True).first_with_ties(["partkey"], "cost")
@@ -100,7 +100,7 @@ def q04(spark, d):
 @query(f"""WITH {_L}, {_O} SELECT s_nationkey AS nation, sum(cents * (100 - disc))::BIGINT AS revenue FROM customer JOIN o ON c_custkey = o_custkey JOIN l ON l_orderkey = o_orderkey
  JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2 AND year(day) = 1996 GROUP BY 1""")
 def q05(spark, d):
-    nations = F.broadcast(table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("nation")))
+    nations = table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("nation"))
     suppliers = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation")).join(nations, "nation")
     customers = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")).join(nations, "nation")
     mine = orders(spark, d).where("year(day) = 1996").join(customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -128,7 +128,7 @@ def q07(spark, d):
  WHERE n_regionkey = 1 AND year(day) IN (1995, 1996) AND p_type = 'ECONOMY' GROUP BY 1""")
 def q08(spark, d):
     """A nation's revenue and the total, as a pair of sums."""
-    nations = F.broadcast(table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")))
+    nations = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
     customers = table(spark, d, "customer").join(nations, "c_nationkey", "left_semi").select(F.col("c_custkey").alias("o_custkey"))
     mine = orders(spark, d).where("year(day) IN (1995, 1996)").join(customers, "o_custkey", "left_semi")
     parts = table(spark, d, "part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("l_partkey"))
