@@ -34,7 +34,7 @@ from ._text import byte_prefix, ranges, slices, span_hash
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 #: Groups that the pieces of one length are dealt over, at most; it bounds the counts the driver sums.
 MOST_SALTS = 256
 
