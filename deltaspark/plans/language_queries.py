@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .graph_queries import QUERIES as GRAPHS
-from .graph_queries import dag, dense, edges, least
+from .graph_queries import _ALL_EDGES, _EDGES, all_edges, dag, dense, edges, least, whole
 from .language.run import evaluate, rows
 
 QUERIES: dict[str, tuple] = {}
@@ -41,7 +41,7 @@ def query(name: str, sql: str):
 
 
 @query("program_reach", GRAPHS["reach"][1])
-def reach(spark, d):
+def reach(spark, d, edges=edges):
     e = edges(spark, d)
     return evaluate(REACH, {0: rows(e, ["src", "dst"]), 1: rows(least(e), ["node"])})["result"].select(F.col("key")[0].alias("node"))
 
@@ -60,3 +60,6 @@ def labels(spark, d):
 def degrees(spark, d):
     found = evaluate(DEGREES, {0: rows(dense(spark, d), ["src", "dst"])}, 0)["result"]
     return found.select(F.col("key")[0].alias("deg"), F.col("val")[0].alias("n"))
+
+
+whole("program_reach", _EDGES, _ALL_EDGES, QUERIES, edges=all_edges)
