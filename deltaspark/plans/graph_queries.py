@@ -31,6 +31,11 @@ _DENSE = "g AS (SELECT DISTINCT o_custkey % 200 AS src, (o_orderkey * 31) % 200
 #: The first graph from all orders.
 _ALL_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders)"
 
+#: An acyclic one from all orders whose first node reaches most others.
+_SPREAD = "d AS (SELECT DISTINCT o_custkey AS src, o_custkey + 1 + (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders)"
+#: One with closures that grow like the table: each 40 customers get 41 nodes of their own, edges go to later nodes of the same 41.
+_ALL_DAG = "d AS (SELECT DISTINCT o_custkey + o_custkey // 40 AS src, o_custkey + o_custkey // 40 + 1 + o_orderkey % (40 - o_custkey % 40) AS dst FROM orders)"
+
 
 def whole(names: str, old: str, new: str, queries: dict | None = None, **graph) -> None:
     """Registers each query again as *_whole, over another graph: the same function and SQL but for the edge table."""
@@ -56,6 +61,17 @@ def dag(spark, d):
     return rows.select((F.col("o_custkey") % 300).alias("src"), F.expr("o_custkey % 300 + 1 + o_orderkey % 40").alias("dst")).distinct()
 
 
+def spread(spark, d):
+    n = table(spark, d, "customer").count()
+    rows = table(spark, d, "orders")
+    return rows.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + (F.col("o_orderkey") * 7919) % n).alias("dst")).distinct()
+
+
+def all_dag(spark, d):
+    rows = table(spark, d, "orders").withColumn("src", F.expr("o_custkey + o_custkey div 40"))
+    return rows.select("src", F.expr("src + 1 + o_orderkey % (40 - o_custkey % 40)").alias("dst")).distinct()
+
+
 def dense(spark, d):
     rows = table(spark, d, "orders").where("o_orderkey % 3 = 0")
     return rows.select((F.col("o_custkey") % 200).alias("src"), F.expr("(o_orderkey * 31) % 200").alias("dst")).distinct()
@@ -92,19 +108,19 @@ def bidijkstra(spark, d):
 
 @query(f"""WITH RECURSIVE {_DAG}, w AS (SELECT src, dst, (src + dst) % 17 + 1 AS weight FROM d),
  s AS (SELECT min(src) AS node, 0::BIGINT AS dist FROM w UNION SELECT w.dst, dist + weight FROM s JOIN w ON src = node) SELECT node, min(dist) AS dist FROM s GROUP BY 1""")
-def shortest(spark, d):
+def shortest(spark, d, dag=dag):
     e = dag(spark, d).withColumn("weight", F.expr("(src + dst) % 17 + 1"))
     return graphs.shortest(e, least(e))
 
 
 @query(f"""WITH RECURSIVE {_DAG}, s AS (SELECT src AS a, dst AS b FROM d UNION SELECT dst, src FROM d),
  r AS (SELECT DISTINCT a AS node, a AS label FROM s UNION SELECT b, label FROM r JOIN s ON a = node) SELECT node, min(label) AS label FROM r GROUP BY 1""")
-def connected_components(spark, d):
+def connected_components(spark, d, dag=dag):
     return graphs.components(dag(spark, d))
 
 
 @query(f"WITH RECURSIVE {_DAG}, r AS (SELECT DISTINCT src AS node, src AS label FROM d UNION SELECT dst, label FROM r JOIN d ON src = node) SELECT node, min(label) AS label FROM r GROUP BY 1")
-def propagate(spark, d):
+def propagate(spark, d, dag=dag):
     e = dag(spark, d)
     return graphs.propagate(e, e.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
 
@@ -121,13 +137,13 @@ def strongly_connected_whole(spark, d):
 
 
 @query(f"WITH RECURSIVE {_DAG}, t AS (SELECT src, dst FROM d UNION SELECT t.src, d.dst FROM t JOIN d ON t.dst = d.src) SELECT src, dst FROM t")
-def transitive_closure(spark, d):
+def transitive_closure(spark, d, dag=dag):
     return graphs.closure(dag(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_DAG}, s AS (SELECT x.dst AS a, y.dst AS b FROM d x JOIN d y ON x.src = y.src WHERE x.dst <> y.dst
  UNION SELECT x.dst, y.dst FROM s JOIN d x ON x.src = a JOIN d y ON y.src = b WHERE x.dst <> y.dst) SELECT a, b FROM s""")
-def same_generation(spark, d):
+def same_generation(spark, d, dag=dag):
     return graphs.same_generation(dag(spark, d))
 
 
@@ -207,7 +223,7 @@ def identifiers(spark, d):
 
 
 @query(QUERIES["transitive_closure"][1])
-def rules_closure(spark, d):
+def rules_closure(spark, d, dag=dag):
     from . import datalog
 
     return datalog.run(["path(x, y) :- e(x, y)", "path(x, z) :- path(x, y), e(y, z)"], {"e": dag(spark, d)})["path"].toDF("src", "dst")
@@ -226,3 +242,5 @@ def rules_negation(spark, d):
 
 
 whole("reach bfs", _EDGES, _ALL_EDGES, edges=all_edges)
+whole("shortest", _DAG, _SPREAD, dag=spread)
+whole("connected_components propagate transitive_closure same_generation rules_closure", _DAG, _ALL_DAG, dag=all_dag)

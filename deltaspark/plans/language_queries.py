@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .graph_queries import QUERIES as GRAPHS
-from .graph_queries import _ALL_EDGES, _EDGES, all_edges, dag, dense, edges, least, whole
+from .graph_queries import _ALL_DAG, _ALL_EDGES, _DAG, _EDGES, all_dag, all_edges, dag, dense, edges, least, whole
 from .language.run import evaluate, rows
 
 QUERIES: dict[str, tuple] = {}
@@ -47,12 +47,12 @@ def reach(spark, d, edges=edges):
 
 
 @query("program_closure", GRAPHS["transitive_closure"][1])
-def closure(spark, d):
+def closure(spark, d, dag=dag):
     return evaluate(CLOSURE, {0: rows(dag(spark, d), ["src", "dst"])})["result"].select(F.col("key")[0].alias("src"), F.col("key")[1].alias("dst"))
 
 
 @query("program_labels", GRAPHS["propagate"][1])
-def labels(spark, d):
+def labels(spark, d, dag=dag):
     return evaluate(LABELS, {0: rows(dag(spark, d), ["src", "dst"])})["result"].select(F.col("key")[0].alias("node"), F.col("val")[0].alias("label"))
 
 
@@ -63,3 +63,4 @@ def degrees(spark, d):
 
 
 whole("program_reach", _EDGES, _ALL_EDGES, QUERIES, edges=all_edges)
+whole("program_closure program_labels", _DAG, _ALL_DAG, QUERIES, dag=all_dag)

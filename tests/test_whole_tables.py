@@ -43,6 +43,20 @@ def test_edges_of_all_orders(spark, pairs):
     assert sorted(map(tuple, graph_queries.all_edges(spark, FOLDER).collect())) == pairs
 
 
+def test_dag_of_all_orders(spark):
+    rows = ask("SELECT o_orderkey, o_custkey FROM orders")
+    expected = sorted({(a + a // 40, a + a // 40 + 1 + k % (40 - a % 40)) for k, a in rows})
+    assert sorted(map(tuple, graph_queries.all_dag(spark, FOLDER).collect())) == expected
+    assert all(a < b for a, b in expected) and len({a for a, _ in expected}) == len({a for _, a in rows})
+
+
+def test_shortest_reaches_most_nodes(spark):
+    rows, n = ask("SELECT o_orderkey, o_custkey FROM orders"), ask("SELECT count(*) FROM customer")[0][0]
+    expected = sorted({(a, a + 1 + k * 7919 % n) for k, a in rows})
+    assert sorted(map(tuple, graph_queries.spread(spark, FOLDER).collect())) == expected
+    assert 2 * len(run(spark, "shortest_whole")) > len({x for e in expected for x in e})
+
+
 def test_strongly_connected(spark, pairs):
     after = defaultdict(set)
     for a, b in pairs:
