@@ -35,6 +35,8 @@ _ALL_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % (SEL
 _SPREAD = "d AS (SELECT DISTINCT o_custkey AS src, o_custkey + 1 + (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders)"
 #: One with closures that grow like the table: each 40 customers get 41 nodes of their own, edges go to later nodes of the same 41.
 _ALL_DAG = "d AS (SELECT DISTINCT o_custkey + o_custkey // 40 AS src, o_custkey + o_custkey // 40 + 1 + o_orderkey % (40 - o_custkey % 40) AS dst FROM orders)"
+#: A graph with triangles from all orders.
+_ALL_DENSE = "g AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst FROM orders)"
 
 
 def whole(names: str, old: str, new: str, queries: dict | None = None, **graph) -> None:
@@ -77,6 +79,11 @@ def dense(spark, d):
     return rows.select((F.col("o_custkey") % 200).alias("src"), F.expr("(o_orderkey * 31) % 200").alias("dst")).distinct()
 
 
+def all_dense(spark, d):
+    n = table(spark, d, "customer").count()
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31) % n).alias("dst")).distinct()
+
+
 def least(e):
     return e.agg(F.min("src").alias("node"))
 
@@ -148,12 +155,12 @@ def same_generation(spark, d, dag=dag):
 
 
 @query(f"WITH {_DENSE} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM g x JOIN g y ON x.dst = y.src JOIN g z ON z.src = x.src AND z.dst = y.dst")
-def triangles(spark, d):
+def triangles(spark, d, dense=dense):
     return graphs.triangles(dense(spark, d))
 
 
 @query(QUERIES["triangles"][1])
-def triangles_wcoj(spark, d):
+def triangles_wcoj(spark, d, dense=dense):
     return wcoj.triangles(dense(spark, d))
 
 
@@ -175,6 +182,15 @@ def triangles_delta(spark, d):
     return wcoj.triangle_changes(g).withColumnsRenamed({"__t": "t", "__w": "w"})
 
 
+@query(QUERIES["triangles_delta"][1].replace("o_custkey % 100", "o_custkey").replace("% 100 AS dst", "% (SELECT count(*) FROM customer) AS dst").replace(" WHERE o_orderkey % 4 = 0", ""))
+def triangles_delta_whole(spark, d):
+    """The same of all orders."""
+    n = table(spark, d, "customer").count()
+    src, dst, t = F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31) % n).alias("dst"), (F.col("o_orderkey") % 5).alias("__t")
+    g = table(spark, d, "orders").groupBy(src, dst, t).agg(F.count(F.lit(1)).alias("__w"))
+    return wcoj.triangle_changes(g).withColumnsRenamed({"__t": "t", "__w": "w"})
+
+
 @query(f"WITH {_EDGES}, r AS (SELECT DISTINCT src AS root FROM e WHERE src % 50 = 1) SELECT DISTINCT root, z.dst AS node FROM r JOIN e x ON x.src = root JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst")
 def three_hops(spark, d):
     e = edges(spark, d)
@@ -201,13 +217,14 @@ def pagerank(spark, d):
 
 @query(None)
 def attend(spark, d):
-    e = dense(spark, d)
-    return graphs.attend(e.select(F.col("src").alias("node")).where("node < 10"), e)
+    """The customers of one market segment organise."""
+    organisers = table(spark, d, "customer").where("c_mktsegment = 'FURNITURE'").select(F.col("c_custkey").alias("node"))
+    return graphs.attend(organisers, all_dense(spark, d))
 
 
 @query(None)
 def stable_matching(spark, d):
-    g = dense(spark, d)
+    g = all_dense(spark, d)
     ranked = g.select(F.col("src").alias("left"), F.expr("xxhash64(src, dst)").alias("lpref"), F.col("dst").alias("right"), F.expr("xxhash64(dst, src, 1)").alias("rpref"))
     return graphs.stable_matching(ranked)
 
@@ -244,3 +261,4 @@ def rules_negation(spark, d):
 whole("reach bfs", _EDGES, _ALL_EDGES, edges=all_edges)
 whole("shortest", _DAG, _SPREAD, dag=spread)
 whole("connected_components propagate transitive_closure same_generation rules_closure", _DAG, _ALL_DAG, dag=all_dag)
+whole("triangles triangles_wcoj", _DENSE, _ALL_DENSE, dense=all_dense)

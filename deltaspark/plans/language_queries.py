@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from .graph_queries import QUERIES as GRAPHS
-from .graph_queries import _ALL_DAG, _ALL_EDGES, _DAG, _EDGES, all_dag, all_edges, dag, dense, edges, least, whole
+from .graph_queries import _ALL_DAG, _ALL_DENSE, _ALL_EDGES, _DAG, _EDGES, all_dag, all_dense, all_edges, dag, dense, edges, least, whole
 from .language.run import evaluate, rows
 
 QUERIES: dict[str, tuple] = {}
@@ -57,10 +59,11 @@ def labels(spark, d, dag=dag):
 
 
 @query("program_degrees", "WITH g AS (SELECT DISTINCT o_custkey % 200 AS src, (o_orderkey * 31) % 200 AS dst FROM orders WHERE o_orderkey % 3 = 0) SELECT deg, count(*)::BIGINT AS n FROM (SELECT src, count(*) AS deg FROM g GROUP BY 1) GROUP BY 1")
-def degrees(spark, d):
+def degrees(spark, d, dense=dense):
     found = evaluate(DEGREES, {0: rows(dense(spark, d), ["src", "dst"])}, 0)["result"]
     return found.select(F.col("key")[0].alias("deg"), F.col("val")[0].alias("n"))
 
 
 whole("program_reach", _EDGES, _ALL_EDGES, QUERIES, edges=all_edges)
 whole("program_closure program_labels", _DAG, _ALL_DAG, QUERIES, dag=all_dag)
+QUERIES["program_degrees_whole"] = (partial(degrees, dense=all_dense), f"WITH {_ALL_DENSE} SELECT deg, count(*)::BIGINT AS n FROM (SELECT src, count(*) AS deg FROM g GROUP BY 1) GROUP BY 1")

@@ -102,3 +102,33 @@ def test_greedy_colouring(spark, near):
     for a in sorted(near):
         value[a] = next(v for v in range(len(near)) if v not in {value.get(b) for b in near[a]})
     assert run(spark, "greedy_colouring") == sorted(value.items())
+
+
+def friends():
+    n = ask("SELECT count(*) FROM customer")[0][0]
+    return sorted({(a, k * 31 % n) for k, a in ask("SELECT o_orderkey, o_custkey FROM orders")})
+
+
+def test_dense_of_all_orders(spark):
+    assert sorted(map(tuple, graph_queries.all_dense(spark, FOLDER).collect())) == friends()
+
+
+def test_attend(spark):
+    organisers = {a for (a,) in ask("SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE'")}
+    go, old = organisers, None
+    while go != old:
+        heard = defaultdict(int)
+        for a, b in friends():
+            heard[b] += a in go
+        old, go = go, organisers | {b for b, n in heard.items() if n >= 3}
+    assert run(spark, "attend") == sorted((a,) for a in go) and len(go) > len(organisers)
+
+
+def test_stable_matching_has_no_blocking_pair(spark):
+    wishes = spark.createDataFrame(friends(), "src long, dst long").selectExpr("src", "dst", "xxhash64(src, dst) AS l", "xxhash64(dst, src, 1) AS r").collect()
+    rank = {(w.src, w.dst): (w.l, w.r) for w in wishes}
+    found = run(spark, "stable_matching")
+    left, right = dict(found), {b: a for a, b in found}
+    assert len(left) == len(right) == len(found) and all(p in rank for p in found)
+    for (a, b), (x, y) in rank.items():
+        assert (a in left and rank[a, left[a]][0] <= x) or (b in right and rank[right[b], b][1] <= y)
