@@ -205,6 +205,12 @@ def item_similarity(spark, d):
     return graphs.item_similarity(pairs, 2)
 
 
+@query(QUERIES["item_similarity"][1].replace(" WHERE l_orderkey % 5 = 0", ""))
+def item_similarity_whole(spark, d):
+    """The same of all lines."""
+    return graphs.item_similarity(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("user"), F.col("l_suppkey").alias("item")), 2)
+
+
 @query(None)
 def kcore(spark, d):
     return graphs.kcore(all_edges(spark, d), 3)

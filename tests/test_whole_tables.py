@@ -132,3 +132,11 @@ def test_stable_matching_has_no_blocking_pair(spark):
     assert len(left) == len(right) == len(found) and all(p in rank for p in found)
     for (a, b), (x, y) in rank.items():
         assert (a in left and rank[a, left[a]][0] <= x) or (b in right and rank[right[b], b][1] <= y)
+
+
+def test_item_similarity_counts_all_orders(spark):
+    orders = defaultdict(set)
+    for u, item in ask("SELECT l_orderkey, l_suppkey FROM lineitem"):
+        orders[item].add(u)
+    both = [(a, b, len(orders[a] & orders[b]), len(orders[a] | orders[b])) for a in orders for b in orders if a < b]
+    assert run(spark, "item_similarity_whole") == sorted(x for x in both if x[2] * 100 > x[3] * 2) != []
