@@ -76,6 +76,19 @@ def maintained_count(spark, d):
 def maintained_join(spark, d):
     """Pairs of purchases and clicks of a user, kept up to date epoch by epoch."""
     rows = table(spark, d, "events").where("user_id < 50").select((F.col("user_id") % 50).alias("k"), "event_type", F.expr(f"({_DAY}) div 10").alias(T), F.lit(1).cast("long").alias(W))
+    return _joined(spark, rows)
+
+
+@query(f"""WITH e AS (SELECT user_id AS k, event_type, ({_SQL_DAY}) // 10 AS t FROM events),
+ p AS (SELECT k, t FROM e WHERE event_type = 'purchase'), c AS (SELECT k, t FROM e WHERE event_type = 'click')
+ SELECT p.k, greatest(p.t, c.t) AS t, count(*)::BIGINT AS w FROM p JOIN c ON p.k = c.k GROUP BY 1, 2""")
+def maintained_join_whole(spark, d):
+    """The same of all users."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("k"), "event_type", F.expr(f"({_DAY}) div 10").alias(T), F.lit(1).cast("long").alias(W))
+    return _joined(spark, rows)
+
+
+def _joined(spark, rows):
     bought, clicked = (Collection(rows.where(F.col("event_type") == x).drop("event_type")) for x in ("purchase", "click"))
     join = maintain.Join(spark, _folder(spark, "join"), "k long", "k long", ["k"])
     out = None

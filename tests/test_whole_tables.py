@@ -140,3 +140,17 @@ def test_item_similarity_counts_all_orders(spark):
         orders[item].add(u)
     both = [(a, b, len(orders[a] & orders[b]), len(orders[a] | orders[b])) for a in orders for b in orders if a < b]
     assert run(spark, "item_similarity_whole") == sorted(x for x in both if x[2] * 100 > x[3] * 2) != []
+
+
+def test_maintained_join_has_all_users(spark):
+    both = "SELECT user_id FROM events WHERE event_type = "
+    assert {r[0] for r in catalogue.QUERIES["maintained_join_whole"][0](spark, FOLDER).select("k").collect()} == {k for (k,) in ask(f"{both}'purchase' INTERSECT {both}'click'")}
+    assert len(ask(f"SELECT * FROM ({both}'purchase' INTERSECT {both}'click') ORDER BY 1")) > 0
+
+
+def test_q22_knows_every_order(spark, tmp_path):
+    customers = [(1, 3, 10.0), (2, 3, 90.0), (3, 3, 80.0), (4, 3, 70.0)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(4, 2), (5, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["tpch_q22_whole"][0](spark, str(tmp_path)).collect()
+    assert [(r.code, r.n, r.total) for r in got] == [(3, 1, 7000)]
