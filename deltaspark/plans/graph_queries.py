@@ -268,3 +268,32 @@ whole("reach bfs", _EDGES, _ALL_EDGES, edges=all_edges)
 whole("shortest", _DAG, _SPREAD, dag=spread)
 whole("connected_components propagate transitive_closure same_generation rules_closure", _DAG, _ALL_DAG, dag=all_dag)
 whole("triangles triangles_wcoj", _DENSE, _ALL_DENSE, dense=all_dense)
+
+
+@query(QUERIES["bidijkstra"][1].replace(_EDGES, _ALL_EDGES).replace(" WHERE node % 97 = 1", ""))
+def bidijkstra_whole(spark, d):
+    """All nodes are goals."""
+    e = all_edges(spark, d)
+    nodes = e.select(F.col("src").alias("dst")).unionByName(e.select("dst")).distinct()
+    return graphs.bidijkstra(e, nodes.crossJoin(F.broadcast(e.agg(F.min("src").alias("src")))))
+
+
+@query(QUERIES["three_hops"][1].replace(_EDGES, _ALL_EDGES).replace(" WHERE src % 50 = 1", ""))
+def three_hops_whole(spark, d):
+    e = all_edges(spark, d)
+    return graphs.hops(e, e.select(F.col("src").alias("node")).distinct(), 3)
+
+
+@query(QUERIES["pattern_wcoj"][1].replace(_DENSE, _ALL_DENSE).replace(" WHERE w.src < 20", ""))
+def pattern_wcoj_whole(spark, d):
+    g = all_dense(spark, d)
+    return wcoj.pattern([(g, "a", "b"), (g, "b", "c"), (g, "c", "e"), (g, "a", "e")], ["a", "b", "c", "e"])
+
+
+@query(f"WITH {_ALL_EDGES} SELECT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src EXCEPT SELECT src, dst FROM e")
+def rules_negation_whole(spark, d):
+    """Ends of two edges in a row that no edge joins; of all orders, every node is pointed to, so rules_negation's program finds none."""
+    from . import datalog
+
+    rules = ["two(x, z) :- e(x, y), e(y, z)", "open(x, z) :- two(x, z), !e(x, z)"]
+    return datalog.run(rules, {"e": all_edges(spark, d)})["open"].toDF("src", "dst")

@@ -154,3 +154,22 @@ def test_q22_knows_every_order(spark, tmp_path):
     spark.createDataFrame([(4, 2), (5, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = catalogue.QUERIES["tpch_q22_whole"][0](spark, str(tmp_path)).collect()
     assert [(r.code, r.n, r.total) for r in got] == [(3, 1, 7000)]
+
+
+def test_all_nodes_are_goals_roots_and_candidates(spark, pairs):
+    after, starts = defaultdict(set), {a for a, _ in pairs}
+    for a, b in pairs:
+        after[a].add(b)
+    least = min(starts)
+    dist, level = {least: 0}, {least}
+    while level:
+        level = {b for a in level for b in after[a]} - set(dist)
+        dist |= dict.fromkeys(level, max(dist.values()) + 1)
+    assert run(spark, "bidijkstra_whole") == sorted((least, b, n) for b, n in dist.items())
+    two = {a: {c for b in after[a] for c in after[b]} for a in starts}
+    assert run(spark, "three_hops_whole") == sorted((a, c) for a in starts for c in {z for b in two[a] for z in after[b]})
+    assert run(spark, "rules_negation_whole") == sorted((a, c) for a in starts for c in two[a] - after[a])
+    g = defaultdict(set)
+    for a, b in friends():
+        g[a].add(b)
+    assert run(spark, "pattern_wcoj_whole") == sorted((a, b, c, e) for a in list(g) for b in list(g[a]) for c in list(g[b]) for e in g[c] & g[a])
