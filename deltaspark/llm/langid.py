@@ -3,8 +3,8 @@
 Training counts byte n-grams (N = 2..5, lower-cased ASCII, any run of other
 than letters one space) in a bounded sample of labelled rows and keeps, for
 each language, the n-grams that are typical of it. The filters of all languages are
-one bit-sliced Bloom filter: a table of words, one bit for each language, of
-which HASHES words are ANDed to give at once the languages that have an
+one bit-sliced Bloom filter: a table of slots, one bit for each language (a word
+for every 64), of which HASHES words are ANDed to give at once the languages that have an
 n-gram. Per-language popcounts over a text's n-grams, corrected for the
 filters' false positives, decide.
 
@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 
 from ._text import mix64, slices
 
-#: Labelled rows to learn from, about, at most, and the languages that one table tells apart.
+#: Labelled rows to learn from, about, at most.
 SAMPLE_ROWS = 4000
-MOST_LANGUAGES = 64
+#: Languages for which a slot of the table has one word.
+WORD = 64
 #: n-grams kept for each language and length.
 GRAMS = 6000
 SIZES = (2, 3, 4, 5)
@@ -73,7 +74,7 @@ class Model:
     default: str
 
     def _lookup(self, hashes: np.ndarray) -> np.ndarray:
-        mask = np.full(len(hashes), ~np.uint64(0))
+        mask = np.full((len(hashes), self.table.shape[1]), ~np.uint64(0))
         for k in range(HASHES):
             mask &= self.table[_slot(hashes, k)]
         return mask
@@ -88,7 +89,7 @@ class Model:
                 mask = self._lookup(hashes)
                 total += np.bincount(owner, minlength=part.n)
                 for j in range(count):
-                    hits[:, j] += np.bincount(owner, weights=(mask >> np.uint64(j) & np.uint64(1)).astype(np.float64), minlength=part.n)
+                    hits[:, j] += np.bincount(owner, weights=(mask[:, j // WORD] >> np.uint64(j % WORD) & np.uint64(1)).astype(np.float64), minlength=part.n)
             # of `total` n-grams, `rate` times those a language lacks are found all the same
             rate = self.false_rates[None, :]
             true = np.maximum(0.0, (hits - rate * total[:, None]) / (1 - rate))
@@ -128,9 +129,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """
     rows = labelled.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))[:MOST_LANGUAGES]
+    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
-        return Model([], np.zeros(1 << BITS, dtype=np.uint64), np.zeros(0), UND)
+        return Model([], np.zeros((1 << BITS, 1), dtype=np.uint64), np.zeros(0), UND)
     default, languages = languages[0], sorted(languages)
     each = max(1, sample_rows // len(languages))
     share = F.lit(1.0)
@@ -169,12 +170,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     for r in kept.select("lang", "gram").collect():
         grams[r["lang"]].append(r["gram"])
     wide.unpersist()
-    table = np.zeros(1 << BITS, dtype=np.uint64)
+    table = np.zeros((1 << BITS, -(-len(languages) // WORD)), dtype=np.uint64)
     for i, own in grams.items():
         hashes = np.array(own, dtype=np.int64).view(np.uint64)
         for k in range(HASHES):
-            table[_slot(hashes, k)] |= np.uint64(1) << np.uint64(i)
-    fill = np.array([(table >> np.uint64(i) & np.uint64(1)).mean() for i in range(len(languages))])
+            table[_slot(hashes, k), i // WORD] |= np.uint64(1) << np.uint64(i % WORD)
+    fill = np.array([(table[:, i // WORD] >> np.uint64(i % WORD) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, table, fill**HASHES, default)
 
 

@@ -309,6 +309,15 @@ def test_language_id_awkward_rows(spark, docs, rows, empty):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"} and langid.predict(empty, model).collect() == []
 
 
+def test_language_id_learns_more_than_64_languages(spark):
+    names = [f"l{i:02d}" for i in range(66)]
+    own = {x: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + i % 26)}{c}" for c in "abcdefghijkl") for i, x in enumerate(names)}
+    docs = spark.createDataFrame([(10 * i + k, own[x], x) for i, x in enumerate(names) for k in range(6)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == names
+    assert {r.lang for r in langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("lang_pred = lang").collect()} == set(names)
+
+
 def test_language_id_held_out_accuracy(spark):
     table = queries.op7_language_id(spark, "/root/testdata/sf0.001")
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang").collect()}
