@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..operators import graphs, wcoj
@@ -20,68 +18,38 @@ def query(sql: str | None):
     return add
 
 
-#: A cyclic directed graph over customers, the same in SQL.
-_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderkey % 7 = 0)"
-#: An acyclic one with few long paths.
-_DAG = "d AS (SELECT DISTINCT o_custkey % 300 AS src, o_custkey % 300 + 1 + o_orderkey % 40 AS dst FROM orders WHERE o_orderkey % 11 = 0)"
-#: Dense enough for triangles.
-_DENSE = "g AS (SELECT DISTINCT o_custkey % 200 AS src, (o_orderkey * 31) % 200 AS dst FROM orders WHERE o_orderkey % 3 = 0)"
-
-
-#: The first graph from all orders.
-_ALL_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders)"
-
-#: An acyclic one from all orders whose first node reaches most others.
+#: Edge tables from all orders. A cyclic directed graph over customers, the same in SQL.
+_EDGES = "e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders)"
+#: An acyclic one whose first node reaches most others.
 _SPREAD = "d AS (SELECT DISTINCT o_custkey AS src, o_custkey + 1 + (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS dst FROM orders)"
 #: One with closures that grow like the table: each 40 customers get 41 nodes of their own, edges go to later nodes of the same 41.
-_ALL_DAG = "d AS (SELECT DISTINCT o_custkey + o_custkey // 40 AS src, o_custkey + o_custkey // 40 + 1 + o_orderkey % (40 - o_custkey % 40) AS dst FROM orders)"
-#: A graph with triangles from all orders.
-_ALL_DENSE = "g AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst FROM orders)"
-
-
-def whole(names: str, old: str, new: str, queries: dict | None = None, **graph) -> None:
-    """Registers each query again as *_whole, over another graph: the same function and SQL but for the edge table."""
-    queries = QUERIES if queries is None else queries
-    for name in names.split():
-        run, sql = queries[name]
-        queries[f"{name}_whole"] = (partial(run, **graph), sql.replace(old, new))
+_DAG = "d AS (SELECT DISTINCT o_custkey + o_custkey // 40 AS src, o_custkey + o_custkey // 40 + 1 + o_orderkey % (40 - o_custkey % 40) AS dst FROM orders)"
+#: One with triangles.
+_DENSE = "g AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst FROM orders)"
 
 
-def edges(spark, d):
-    n = table(spark, d, "customer").count()
-    rows = table(spark, d, "orders").where("o_orderkey % 7 = 0")
-    return rows.select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919) % n).alias("dst")).distinct()
-
-
-def all_edges(spark, d):
+def _hashed(spark, d, factor: int, shift=None):
+    """Edges from each order's customer to a customer number made of the order's key."""
     n = table(spark, d, "customer").count()
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919) % n).alias("dst")).distinct()
+    to = (F.col("o_orderkey") * factor) % n
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (to if shift is None else F.col(shift) + 1 + to).alias("dst")).distinct()
 
 
-def dag(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 11 = 0")
-    return rows.select((F.col("o_custkey") % 300).alias("src"), F.expr("o_custkey % 300 + 1 + o_orderkey % 40").alias("dst")).distinct()
+def edges(spark, d):
+    return _hashed(spark, d, 7919)
 
 
 def spread(spark, d):
-    n = table(spark, d, "customer").count()
-    rows = table(spark, d, "orders")
-    return rows.select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1 + (F.col("o_orderkey") * 7919) % n).alias("dst")).distinct()
+    return _hashed(spark, d, 7919, "o_custkey")
 
 
-def all_dag(spark, d):
+def dag(spark, d):
     rows = table(spark, d, "orders").withColumn("src", F.expr("o_custkey + o_custkey div 40"))
     return rows.select("src", F.expr("src + 1 + o_orderkey % (40 - o_custkey % 40)").alias("dst")).distinct()
 
 
 def dense(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    return rows.select((F.col("o_custkey") % 200).alias("src"), F.expr("(o_orderkey * 31) % 200").alias("dst")).distinct()
-
-
-def all_dense(spark, d):
-    n = table(spark, d, "customer").count()
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31) % n).alias("dst")).distinct()
+    return _hashed(spark, d, 31)
 
 
 def least(e):
@@ -92,7 +60,7 @@ _REACH = "r AS (SELECT min(src) AS node FROM e UNION SELECT dst FROM r JOIN e ON
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT node FROM r")
-def reach(spark, d, edges=edges):
+def reach(spark, d):
     e = edges(spark, d)
     return graphs.reach(e, least(e))
 
@@ -101,33 +69,34 @@ _BFS = "b AS (SELECT min(src) AS node, 0::BIGINT AS dist FROM e UNION SELECT dst
 
 
 @query(f"WITH RECURSIVE {_EDGES}, {_BFS} SELECT node, min(dist) AS dist FROM b GROUP BY 1")
-def bfs(spark, d, edges=edges):
+def bfs(spark, d):
     e = edges(spark, d)
     return graphs.bfs(e, least(e))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_BFS}, m AS (SELECT node, min(dist) AS hops FROM b GROUP BY 1) SELECT (SELECT min(src) FROM e) AS src, node AS dst, hops FROM m WHERE node % 97 = 1")
+@query(f"WITH RECURSIVE {_EDGES}, {_BFS}, m AS (SELECT node, min(dist) AS hops FROM b GROUP BY 1) SELECT (SELECT min(src) FROM e) AS src, node AS dst, hops FROM m")
 def bidijkstra(spark, d):
+    """All nodes are goals."""
     e = edges(spark, d)
-    nodes = e.select(F.col("src").alias("dst")).unionByName(e.select("dst")).distinct().where("dst % 97 = 1")
+    nodes = e.select(F.col("src").alias("dst")).unionByName(e.select("dst")).distinct()
     return graphs.bidijkstra(e, nodes.crossJoin(F.broadcast(e.agg(F.min("src").alias("src")))))
 
 
-@query(f"""WITH RECURSIVE {_DAG}, w AS (SELECT src, dst, (src + dst) % 17 + 1 AS weight FROM d),
+@query(f"""WITH RECURSIVE {_SPREAD}, w AS (SELECT src, dst, (src + dst) % 17 + 1 AS weight FROM d),
  s AS (SELECT min(src) AS node, 0::BIGINT AS dist FROM w UNION SELECT w.dst, dist + weight FROM s JOIN w ON src = node) SELECT node, min(dist) AS dist FROM s GROUP BY 1""")
-def shortest(spark, d, dag=dag):
-    e = dag(spark, d).withColumn("weight", F.expr("(src + dst) % 17 + 1"))
+def shortest(spark, d):
+    e = spread(spark, d).withColumn("weight", F.expr("(src + dst) % 17 + 1"))
     return graphs.shortest(e, least(e))
 
 
 @query(f"""WITH RECURSIVE {_DAG}, s AS (SELECT src AS a, dst AS b FROM d UNION SELECT dst, src FROM d),
  r AS (SELECT DISTINCT a AS node, a AS label FROM s UNION SELECT b, label FROM r JOIN s ON a = node) SELECT node, min(label) AS label FROM r GROUP BY 1""")
-def connected_components(spark, d, dag=dag):
+def connected_components(spark, d):
     return graphs.components(dag(spark, d))
 
 
 @query(f"WITH RECURSIVE {_DAG}, r AS (SELECT DISTINCT src AS node, src AS label FROM d UNION SELECT dst, label FROM r JOIN d ON src = node) SELECT node, min(label) AS label FROM r GROUP BY 1")
-def propagate(spark, d, dag=dag):
+def propagate(spark, d):
     e = dag(spark, d)
     return graphs.propagate(e, e.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct())
 
@@ -137,107 +106,86 @@ def strongly_connected(spark, d):
     return graphs.strongly_connected(edges(spark, d))
 
 
-@query(None)
-def strongly_connected_whole(spark, d):
-    """Over all orders; the SQL's closure would have a row for nearly every pair of customers."""
-    return graphs.strongly_connected(all_edges(spark, d))
-
-
 @query(f"WITH RECURSIVE {_DAG}, t AS (SELECT src, dst FROM d UNION SELECT t.src, d.dst FROM t JOIN d ON t.dst = d.src) SELECT src, dst FROM t")
-def transitive_closure(spark, d, dag=dag):
+def transitive_closure(spark, d):
     return graphs.closure(dag(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_DAG}, s AS (SELECT x.dst AS a, y.dst AS b FROM d x JOIN d y ON x.src = y.src WHERE x.dst <> y.dst
  UNION SELECT x.dst, y.dst FROM s JOIN d x ON x.src = a JOIN d y ON y.src = b WHERE x.dst <> y.dst) SELECT a, b FROM s""")
-def same_generation(spark, d, dag=dag):
+def same_generation(spark, d):
     return graphs.same_generation(dag(spark, d))
 
 
 @query(f"WITH {_DENSE} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM g x JOIN g y ON x.dst = y.src JOIN g z ON z.src = x.src AND z.dst = y.dst")
-def triangles(spark, d, dense=dense):
+def triangles(spark, d):
     return graphs.triangles(dense(spark, d))
 
 
 @query(QUERIES["triangles"][1])
-def triangles_wcoj(spark, d, dense=dense):
+def triangles_wcoj(spark, d):
     return wcoj.triangles(dense(spark, d))
 
 
 @query(f"""WITH {_DENSE} SELECT w.src AS a, w.dst AS b, x.dst AS c, y.dst AS e FROM g w JOIN g x ON w.dst = x.src JOIN g y ON x.dst = y.src
- JOIN g z ON z.src = w.src AND z.dst = y.dst WHERE w.src < 20""")
+ JOIN g z ON z.src = w.src AND z.dst = y.dst""")
 def pattern_wcoj(spark, d):
     """A four-cycle with one edge turned, from a pattern."""
     g = dense(spark, d)
-    return wcoj.pattern([(g.where("src < 20"), "a", "b"), (g, "b", "c"), (g, "c", "e"), (g, "a", "e")], ["a", "b", "c", "e"])
+    return wcoj.pattern([(g, "a", "b"), (g, "b", "c"), (g, "c", "e"), (g, "a", "e")], ["a", "b", "c", "e"])
 
 
-@query("""WITH g AS (SELECT o_custkey % 100 AS src, (o_orderkey * 31) % 100 AS dst, o_orderkey % 5 AS t, count(*) AS w FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1, 2, 3)
+@query("""WITH g AS (SELECT o_custkey AS src, (o_orderkey * 31) % (SELECT count(*) FROM customer) AS dst, o_orderkey % 5 AS t, count(*) AS w FROM orders GROUP BY 1, 2, 3)
  SELECT x.src AS a, x.dst AS b, y.dst AS c, greatest(x.t, y.t, z.t) AS t, sum(x.w * y.w * z.w)::BIGINT AS w
  FROM g x JOIN g y ON x.dst = y.src JOIN g z ON z.src = x.src AND z.dst = y.dst GROUP BY 1, 2, 3, 4""")
 def triangles_delta(spark, d):
     """All changes of the triangles, by delta queries."""
-    rows = table(spark, d, "orders").where("o_orderkey % 4 = 0")
-    g = rows.groupBy((F.col("o_custkey") % 100).alias("src"), F.expr("(o_orderkey * 31) % 100").alias("dst"), (F.col("o_orderkey") % 5).alias("__t")).agg(F.count(F.lit(1)).alias("__w"))
-    return wcoj.triangle_changes(g).withColumnsRenamed({"__t": "t", "__w": "w"})
-
-
-@query(QUERIES["triangles_delta"][1].replace("o_custkey % 100", "o_custkey").replace("% 100 AS dst", "% (SELECT count(*) FROM customer) AS dst").replace(" WHERE o_orderkey % 4 = 0", ""))
-def triangles_delta_whole(spark, d):
-    """The same of all orders."""
     n = table(spark, d, "customer").count()
     src, dst, t = F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 31) % n).alias("dst"), (F.col("o_orderkey") % 5).alias("__t")
     g = table(spark, d, "orders").groupBy(src, dst, t).agg(F.count(F.lit(1)).alias("__w"))
     return wcoj.triangle_changes(g).withColumnsRenamed({"__t": "t", "__w": "w"})
 
 
-@query(f"WITH {_EDGES}, r AS (SELECT DISTINCT src AS root FROM e WHERE src % 50 = 1) SELECT DISTINCT root, z.dst AS node FROM r JOIN e x ON x.src = root JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst")
+@query(f"WITH {_EDGES}, r AS (SELECT DISTINCT src AS root FROM e) SELECT DISTINCT root, z.dst AS node FROM r JOIN e x ON x.src = root JOIN e y ON y.src = x.dst JOIN e z ON z.src = y.dst")
 def three_hops(spark, d):
     e = edges(spark, d)
-    return graphs.hops(e, e.select(F.col("src").alias("node")).distinct().where("node % 50 = 1"), 3)
+    return graphs.hops(e, e.select(F.col("src").alias("node")).distinct(), 3)
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS item, l_orderkey AS u FROM lineitem WHERE l_orderkey % 5 = 0), n AS (SELECT item, count(*) AS n FROM p GROUP BY 1),
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS item, l_orderkey AS u FROM lineitem), n AS (SELECT item, count(*) AS n FROM p GROUP BY 1),
  m AS (SELECT x.item AS a, y.item AS b, count(*) AS k FROM p x JOIN p y ON x.u = y.u AND x.item < y.item GROUP BY 1, 2)
  SELECT a, b, k::BIGINT AS shared, (na.n + nb.n - k)::BIGINT AS total FROM m JOIN n na ON na.item = a JOIN n nb ON nb.item = b WHERE k * 100 > (na.n + nb.n - k) * 2""")
 def item_similarity(spark, d):
-    pairs = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("user"), F.col("l_suppkey").alias("item"))
-    return graphs.item_similarity(pairs, 2)
-
-
-@query(QUERIES["item_similarity"][1].replace(" WHERE l_orderkey % 5 = 0", ""))
-def item_similarity_whole(spark, d):
-    """The same of all lines."""
     return graphs.item_similarity(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("user"), F.col("l_suppkey").alias("item")), 2)
 
 
 @query(None)
 def kcore(spark, d):
-    return graphs.kcore(all_edges(spark, d), 3)
+    return graphs.kcore(edges(spark, d), 3)
 
 
 @query(None)
 def pagerank(spark, d):
-    return graphs.pagerank(all_edges(spark, d), 5)
+    return graphs.pagerank(edges(spark, d), 5)
 
 
 @query(None)
 def attend(spark, d):
     """The customers of one market segment organise."""
     organisers = table(spark, d, "customer").where("c_mktsegment = 'FURNITURE'").select(F.col("c_custkey").alias("node"))
-    return graphs.attend(organisers, all_dense(spark, d))
+    return graphs.attend(organisers, dense(spark, d))
 
 
 @query(None)
 def stable_matching(spark, d):
-    g = all_dense(spark, d)
+    g = dense(spark, d)
     ranked = g.select(F.col("src").alias("left"), F.expr("xxhash64(src, dst)").alias("lpref"), F.col("dst").alias("right"), F.expr("xxhash64(dst, src, 1)").alias("rpref"))
     return graphs.stable_matching(ranked)
 
 
 @query(None)
 def greedy_colouring(spark, d):
-    return graphs.sequence(all_edges(spark, d), graphs.least_free)
+    return graphs.sequence(edges(spark, d), graphs.least_free)
 
 
 @query(None)
@@ -246,54 +194,16 @@ def identifiers(spark, d):
 
 
 @query(QUERIES["transitive_closure"][1])
-def rules_closure(spark, d, dag=dag):
+def rules_closure(spark, d):
     from . import datalog
 
     return datalog.run(["path(x, y) :- e(x, y)", "path(x, z) :- path(x, y), e(y, z)"], {"e": dag(spark, d)})["path"].toDF("src", "dst")
 
 
-@query(f"WITH RECURSIVE {_EDGES}, {_REACH}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node FROM n WHERE node % 3 = 0 AND node NOT IN (SELECT dst FROM e WHERE src IN (SELECT node FROM r WHERE node < 100))")
+@query(f"WITH {_EDGES} SELECT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src EXCEPT SELECT src, dst FROM e")
 def rules_negation(spark, d):
-    """Nodes that none of some reached nodes points to, by rules with negation."""
-    from . import datalog
-
-    e = edges(spark, d)
-    found = graphs.reach(e, least(e)).where("node < 100")
-    some = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().where("node % 3 = 0")
-    rules = ["hit(y) :- r(x), e(x, y)", "lost(x) :- n(x), !hit(x)"]
-    return datalog.run(rules, {"e": e, "r": found, "n": some})["lost"].toDF("node")
-
-
-whole("reach bfs", _EDGES, _ALL_EDGES, edges=all_edges)
-whole("shortest", _DAG, _SPREAD, dag=spread)
-whole("connected_components propagate transitive_closure same_generation rules_closure", _DAG, _ALL_DAG, dag=all_dag)
-whole("triangles triangles_wcoj", _DENSE, _ALL_DENSE, dense=all_dense)
-
-
-@query(QUERIES["bidijkstra"][1].replace(_EDGES, _ALL_EDGES).replace(" WHERE node % 97 = 1", ""))
-def bidijkstra_whole(spark, d):
-    """All nodes are goals."""
-    e = all_edges(spark, d)
-    nodes = e.select(F.col("src").alias("dst")).unionByName(e.select("dst")).distinct()
-    return graphs.bidijkstra(e, nodes.crossJoin(F.broadcast(e.agg(F.min("src").alias("src")))))
-
-
-@query(QUERIES["three_hops"][1].replace(_EDGES, _ALL_EDGES).replace(" WHERE src % 50 = 1", ""))
-def three_hops_whole(spark, d):
-    e = all_edges(spark, d)
-    return graphs.hops(e, e.select(F.col("src").alias("node")).distinct(), 3)
-
-
-@query(QUERIES["pattern_wcoj"][1].replace(_DENSE, _ALL_DENSE).replace(" WHERE w.src < 20", ""))
-def pattern_wcoj_whole(spark, d):
-    g = all_dense(spark, d)
-    return wcoj.pattern([(g, "a", "b"), (g, "b", "c"), (g, "c", "e"), (g, "a", "e")], ["a", "b", "c", "e"])
-
-
-@query(f"WITH {_ALL_EDGES} SELECT x.src, y.dst FROM e x JOIN e y ON x.dst = y.src EXCEPT SELECT src, dst FROM e")
-def rules_negation_whole(spark, d):
-    """Ends of two edges in a row that no edge joins; of all orders, every node is pointed to, so rules_negation's program finds none."""
+    """Ends of two edges in a row that no edge joins, by rules with negation."""
     from . import datalog
 
     rules = ["two(x, z) :- e(x, y), e(y, z)", "open(x, z) :- two(x, z), !e(x, z)"]
-    return datalog.run(rules, {"e": all_edges(spark, d)})["open"].toDF("src", "dst")
+    return datalog.run(rules, {"e": edges(spark, d)})["open"].toDF("src", "dst")

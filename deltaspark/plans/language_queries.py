@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from .graph_queries import QUERIES as GRAPHS
-from .graph_queries import _ALL_DAG, _ALL_DENSE, _ALL_EDGES, _DAG, _EDGES, all_dag, all_dense, all_edges, dag, dense, edges, least, whole
+from .graph_queries import _DENSE, dag, dense, edges, least
 from .language.run import evaluate, rows
 
 QUERIES: dict[str, tuple] = {}
@@ -43,27 +41,23 @@ def query(name: str, sql: str):
 
 
 @query("program_reach", GRAPHS["reach"][1])
-def reach(spark, d, edges=edges):
+def reach(spark, d):
     e = edges(spark, d)
     return evaluate(REACH, {0: rows(e, ["src", "dst"]), 1: rows(least(e), ["node"])})["result"].select(F.col("key")[0].alias("node"))
 
 
 @query("program_closure", GRAPHS["transitive_closure"][1])
-def closure(spark, d, dag=dag):
+def closure(spark, d):
     return evaluate(CLOSURE, {0: rows(dag(spark, d), ["src", "dst"])})["result"].select(F.col("key")[0].alias("src"), F.col("key")[1].alias("dst"))
 
 
 @query("program_labels", GRAPHS["propagate"][1])
-def labels(spark, d, dag=dag):
+def labels(spark, d):
     return evaluate(LABELS, {0: rows(dag(spark, d), ["src", "dst"])})["result"].select(F.col("key")[0].alias("node"), F.col("val")[0].alias("label"))
 
 
-@query("program_degrees", "WITH g AS (SELECT DISTINCT o_custkey % 200 AS src, (o_orderkey * 31) % 200 AS dst FROM orders WHERE o_orderkey % 3 = 0) SELECT deg, count(*)::BIGINT AS n FROM (SELECT src, count(*) AS deg FROM g GROUP BY 1) GROUP BY 1")
-def degrees(spark, d, dense=dense):
+@query("program_degrees", f"WITH {_DENSE} SELECT deg, count(*)::BIGINT AS n FROM (SELECT src, count(*) AS deg FROM g GROUP BY 1) GROUP BY 1")
+def degrees(spark, d):
     found = evaluate(DEGREES, {0: rows(dense(spark, d), ["src", "dst"])}, 0)["result"]
     return found.select(F.col("key")[0].alias("deg"), F.col("val")[0].alias("n"))
 
-
-whole("program_reach", _EDGES, _ALL_EDGES, QUERIES, edges=all_edges)
-whole("program_closure program_labels", _DAG, _ALL_DAG, QUERIES, dag=all_dag)
-QUERIES["program_degrees_whole"] = (partial(degrees, dense=all_dense), f"WITH {_ALL_DENSE} SELECT deg, count(*)::BIGINT AS n FROM (SELECT src, count(*) AS deg FROM g GROUP BY 1) GROUP BY 1")
