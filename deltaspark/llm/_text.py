@@ -8,16 +8,16 @@ single text, whichever is larger.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -36,19 +36,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 #: One random 64-bit word for each byte value.
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * _MULT)
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
+_LOW = 1 << 12
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        ones = np.full(size, _MULT, dtype=np.uint64)
+class _Powers:
+    """Powers of an odd number modulo 2**64, as products of a low and a high part: two small tables for any exponent."""
+
+    def __init__(self, base: int):
+        ones = np.full(_LOW, base, dtype=np.uint64)
         ones[0] = 1
-        _powers = np.cumprod(ones)
-        ones[1:] = _INV
-        _inverses = np.cumprod(ones)
+        self.low, self.high = np.cumprod(ones), np.ones(1, dtype=np.uint64)
+        self.step = np.uint64(pow(base, _LOW, 1 << 64))
+
+    def _reach(self, n: int) -> None:
+        if len(self.high) * _LOW < n:
+            steps = np.full(2 * (n // _LOW + 1), self.step, dtype=np.uint64)
+            steps[0] = 1
+            self.high = np.cumprod(steps)
+
+    def first(self, n: int) -> np.ndarray:
+        self._reach(n)
+        return (self.high[: n // _LOW + 1, None] * self.low[None, :]).ravel()[:n]
+
+    def at(self, places: np.ndarray, most: int) -> np.ndarray:
+        self._reach(most)
+        return self.high[places // _LOW] * self.low[places % _LOW]
+
+
+_powers, _inverses = _Powers(0x9E3779B97F4A7C15), _Powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def release() -> None:
+    """Gives memory that Arrow and the C library hold for reuse back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """A function of batches for mapInArrow that releases memory at its partition's end.
+
+    Python workers are reused: what one stage holds on to would be missing in the next.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
 
 
 def byte_prefix(data: np.ndarray) -> np.ndarray:
@@ -58,15 +96,14 @@ def byte_prefix(data: np.ndarray) -> np.ndarray:
 
 def sequence_prefix(values: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash over 64-bit values, for span_hash()."""
-    _grow(len(values) + 1)
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _powers[: len(values)], out=out[1:])
+    np.cumsum(values * _powers.first(len(values)), out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end); equal bytes, equal hash."""
-    raw = (prefix[ends] - prefix[starts]) * _inverses[starts]
+    raw = (prefix[ends] - prefix[starts]) * _inverses.at(starts, len(prefix))
     return mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

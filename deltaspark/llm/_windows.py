@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
-from ._text import byte_prefix, ranges, sequence_prefix, slices, span_hash, window_argmin
+from ._text import byte_prefix, lean, ranges, sequence_prefix, slices, span_hash, window_argmin
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def occurrences(docs: DataFrame, shape: Shape) -> DataFrame:
                     ["anchor", "digest", "_doc", "_tid", "place"],
                 )
 
-    return keyed(docs, "text").mapInArrow(run, "anchor long, digest long, _doc long, _tid long, place long")
+    return keyed(docs, "text").mapInArrow(lean(run), "anchor long, digest long, _doc long, _tid long, place long")
 
 
 REPEATS = "((place div 256) & 16777215)"
@@ -142,7 +142,7 @@ def packed(docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
                         out.append(b" ".join(text.split()) if shape.words else text)
             yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("digest"), flat.field("value"), pa.array(out, pa.binary())], ["anchor", "digest", "value", "packed"])
 
-    return held.mapInArrow(run, "anchor long, digest long, value long, packed binary")
+    return held.mapInArrow(lean(run), "anchor long, digest long, value long, packed binary")
 
 
 def compared(strings: DataFrame, work) -> DataFrame:
@@ -172,7 +172,7 @@ def compared(strings: DataFrame, work) -> DataFrame:
             yield done()
 
     dealt = strings.repartition("anchor").sortWithinPartitions("anchor", "digest")
-    return dealt.mapInArrow(run, "anchor long, digest long, marks array<long>")
+    return dealt.mapInArrow(lean(run), "anchor long, digest long, marks array<long>")
 
 
 def compared_by_window(strings: DataFrame, shape: Shape, combine) -> DataFrame:
@@ -188,7 +188,7 @@ def compared_by_window(strings: DataFrame, shape: Shape, combine) -> DataFrame:
                 hashes = span_hash(prefix, at, at + shape.width)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("anchor", "digest", "value")), pa.array(ranges(np.zeros_like(sizes), sizes), pa.int32()), pa.array(hashes.view(np.int64))], ["anchor", "digest", "value", "j", "window"])
 
-    exploded = _store.cut(strings.mapInArrow(run, "anchor long, digest long, value long, j int, window long"))
+    exploded = _store.cut(strings.mapInArrow(lean(run), "anchor long, digest long, value long, j int, window long"))
     found = exploded.groupBy("anchor", "window").agg(combine.alias("mark"))
     marked = exploded.join(found, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.sort_array(F.collect_list(F.struct("j", "mark"))).alias("m"))
     return marked.select("anchor", "digest", F.col("m.mark").alias("marks"))
@@ -239,7 +239,7 @@ def removed(docs: DataFrame, spans: DataFrame, shape: Shape, schema: str, work)
                 columns = [pa.array(c) for c in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([ids.slice(part.first, part.n), *columns], names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def _covered(spans: pa.Array, width: int) -> list[tuple[int, int]]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import byte_prefix, gram_hash, slices, span_hash
+from ._text import byte_prefix, gram_hash, lean, slices, span_hash
 
 WORDS = 5
 THRESHOLD = 80  # per cent
@@ -59,7 +59,7 @@ def item_shingles(items: DataFrame, words: int = WORDS) -> DataFrame:
                         sets.append(np.unique(gram_hash(own, grams[-1])).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(grams, pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["item_id", "gram", "shingles"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, gram int, shingles array<long>")
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(lean(run), "item_id long, gram int, shingles array<long>")
 
 
 class _Partition:
@@ -114,7 +114,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, wor
     own = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
     for parts in _blocks(items, threshold, words):
-        found = own.mapInArrow(search(parts), schema)
+        found = own.mapInArrow(lean(search(parts)), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -133,7 +133,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: int = THRESHOLD, words:
         return run
 
     for parts in _blocks(items, threshold, words):
-        docs = docs.mapInArrow(search(parts), docs.schema)
+        docs = docs.mapInArrow(lean(search(parts)), docs.schema)
     return docs
 
 

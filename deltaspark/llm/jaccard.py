@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _graph, _store
-from ._text import byte_prefix, gram_hash, ranges, runs, sequence_prefix, slices, span_hash
+from ._text import byte_prefix, gram_hash, lean, ranges, runs, sequence_prefix, slices, span_hash
 from ._windows import keyed
 
 WORDS = 4
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, words: int, similarity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["_doc", "_tid", "doc_id", "class", "n_shingles", "slots"])
 
     rows = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "_doc long, _tid long, doc_id long, class long, n_shingles long, slots long")
+    return rows.mapInArrow(lean(run), "_doc long, _tid long, doc_id long, class long, n_shingles long, slots long")
 
 
 def _candidates(docs: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _candidates(docs: DataFrame, words: int, similarity: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(classes))], ["shingle", "class"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, class long")
+    return docs.select("text").mapInArrow(lean(run), "shingle long, class long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield _batch(kept, np.full(len(kept), len(kept)), schema)
 
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "class")
-    return dealt.mapInArrow(run, "shingle long, class long, n long")
+    return dealt.mapInArrow(lean(run), "shingle long, class long, n long")
 
 
 def _batch(rows: np.ndarray, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
@@ -266,7 +266,7 @@ def _searched(members: DataFrame, similarity: int) -> DataFrame:
             yield done()
 
     dealt = members.repartition("family", "left", "right").sortWithinPartitions("family", "left", "right", "class")
-    return dealt.mapInArrow(run, "class long, root long, links long")
+    return dealt.mapInArrow(lean(run), "class long, root long, links long")
 
 
 def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
@@ -298,7 +298,7 @@ def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
             taken = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("family", "blocks", "class", "copies")), pa.array(found, pa.binary())], ["family", "blocks", "class", "copies", "shingles"])
 
-    members = held.mapInArrow(sets, "family long, blocks int, class long, copies long, shingles binary")
+    members = held.mapInArrow(lean(sets), "family long, blocks int, class long, copies long, shingles binary")
     members = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("family", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "class", "copies", "shingles")

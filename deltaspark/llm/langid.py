@@ -9,15 +9,16 @@ n-gram. Per-language popcounts over a text's n-grams, corrected for the
 filters' false positives, decide.
 
 Defined results: a null text, or one without letters, is `und` with score 0; a
-text no n-gram of which is known gets the language with most training text and
-score 0; rows without a label train nothing; repeated rows get equal results;
-an empty table gives an empty result, and without any labelled row every
-prediction is `und`; further columns are ignored.
+text no n-gram of which is known gets the language with most labelled rows and
+score 0; of languages with equally many hits the first by name wins; rows
+without a label train nothing; repeated rows get equal results; an empty table
+gives an empty result, and without any labelled row every prediction is `und`;
+further columns are ignored. A very long text is counted block by block, so it
+takes memory for its bytes and a block's n-grams.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +28,19 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import mix64, slices
+from . import _store
+from ._text import lean, mix64, slices
 
 #: Labelled rows to learn from, about, at most.
 SAMPLE_ROWS = 4000
 #: Languages for which a slot of the table has one word.
 WORD = 64
-#: n-grams kept for each language and length.
+#: n-grams kept for each language and length: with the table's size it sets the false positives (2,000 to 20,000 differ little).
 GRAMS = 6000
+#: Times that an n-gram must occur in the sample to be kept.
+LEAST_TIMES = 5
+#: Bytes of folded text whose n-grams are looked up at once.
+BLOCK = 1 << 17
 SIZES = (2, 3, 4, 5)
 HASHES = 3
 BITS = 20
@@ -45,25 +51,28 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 _LETTER = regex.compile(r"\p{L}")
+#: The bits of each byte.
+_BITS_OF = np.arange(256)[:, None] >> np.arange(8) & 1
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each n: n, hashes of the n-grams of folded texts, and the text of each."""
+    """n, hashes of the n-grams of folded texts, and the text of each; for every n, block by block."""
     folded = _FOLD[data]
     keep = np.ones(len(folded), dtype=bool)
     keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32)
     keep[bounds[:-1][bounds[:-1] < len(folded)]] = True
-    where = np.flatnonzero(keep)
-    owner = np.searchsorted(bounds, where, side="right") - 1
-    folded = folded[where].astype(np.uint64)
-    value = folded
-    for n in range(2, max(SIZES) + 1):
-        if len(folded) < n:
-            return
-        value = value[:-1] << np.uint64(8) | folded[n - 1 :]
-        if n in SIZES:
-            whole = owner[: len(value)] == owner[n - 1 :]
-            yield n, mix64(value[whole] | np.uint64(n) << np.uint64(56)), owner[: len(value)][whole]
+    ends = np.cumsum([np.count_nonzero(keep[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+    folded = folded[keep]
+    for a in range(0, len(folded), BLOCK):
+        value = some = folded[a : a + BLOCK + max(SIZES) - 1].astype(np.uint64)
+        owner = np.searchsorted(ends, np.arange(a, a + len(some)), side="right")
+        for n in range(2, max(SIZES) + 1):
+            if len(some) < n:
+                break
+            value = value[:-1] << np.uint64(8) | some[n - 1 :]
+            if n in SIZES:
+                whole = (owner[: len(value)] == owner[n - 1 :])[:BLOCK]
+                yield n, mix64(value[:BLOCK][whole] | np.uint64(n) << np.uint64(56)), owner[: len(whole)][whole]
 
 
 @dataclass
@@ -88,8 +97,10 @@ class Model:
             for _, hashes, owner in _grams(part.data, part.bounds):
                 mask = self._lookup(hashes)
                 total += np.bincount(owner, minlength=part.n)
-                for j in range(count):
-                    hits[:, j] += np.bincount(owner, weights=(mask[:, j // WORD] >> np.uint64(j % WORD) & np.uint64(1)).astype(np.float64), minlength=part.n)
+                for j in range(0, count, 8):  # texts by byte of the mask, whose bits are then counted
+                    byte = (mask[:, j // WORD] >> np.uint64(j % WORD)).astype(np.uint8)
+                    seen = np.bincount(owner << 8 | byte, minlength=part.n << 8).reshape(part.n, 256)
+                    hits[:, j : j + 8] += seen @ _BITS_OF[:, : count - j]
             # of `total` n-grams, `rate` times those a language lacks are found all the same
             rate = self.false_rates[None, :]
             true = np.maximum(0.0, (hits - rate * total[:, None]) / (1 - rate))
@@ -134,10 +145,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         return Model([], np.zeros((1 << BITS, 1), dtype=np.uint64), np.zeros(0), UND)
     default, languages = languages[0], sorted(languages)
     each = max(1, sample_rows // len(languages))
-    share = F.lit(1.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / sizes[lang]))).otherwise(share)
-    chosen = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, each / sizes[lang]))])
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,42 +160,26 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
                         columns = [np.full(len(keys), i), np.full(len(keys), n), keys.view(np.int64), times]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lang", "n", "gram", "times"])
 
-    counts = chosen.select("text", "lang").mapInArrow(count, "lang long, n long, gram long, times long")
-    wide = counts.groupBy("n", "gram").agg(*[F.sum(F.when(F.col("lang") == i, F.col("times")).otherwise(0)).alias(f"c{i}") for i in range(len(languages))])
-    wide = wide.where(" + ".join(f"c{i}" for i in range(len(languages))) + " >= 5").persist()
-    totals = {r["n"]: r for r in wide.groupBy("n").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(languages))]).collect()}
-    # each language's counts side by side, as shares of the language's n-grams of that length
-    count_ = len(languages)
-    rows = []
-    for i in range(count_):
-        share_of = lambda j: F.col(f"c{j}") / totals_of(totals, j)
-        others = [share_of(j) for j in range(count_) if j != i]
-        rival = F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0)
-        rows.append(F.struct(F.lit(i).alias("lang"), F.col(f"c{i}").alias("times"), (share_of(i) > 2 * rival).alias("typical")))
-    typical = wide.select("n", "gram", F.inline(F.array(*rows))).where("typical")
+    counts = chosen.select("text", "lang").mapInArrow(lean(count), "lang long, n long, gram long, times long")
+    counts = counts.groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
+    whole = F.sum("times").over(Window.partitionBy("n", "gram"))
+    counts = _store.cut(counts.withColumn("whole", whole).where(F.col("whole") >= LEAST_TIMES).drop("whole"))
+    # typical n-grams of a language: their share of its n-grams of that length is more than twice that of any other language
+    totals = counts.groupBy("lang", "n").agg(F.sum("times").alias("total"))
+    shared = counts.join(totals, ["lang", "n"]).groupBy("n", "gram").agg(F.sort_array(F.collect_list(F.struct((F.col("times") / F.col("total")).alias("share"), "lang", "times")), asc=False).alias("by"))
+    typical = shared.where(F.col("by")[0]["share"] > 2 * F.coalesce(F.get("by", F.lit(1))["share"], F.lit(0.0))).select("n", "gram", F.col("by")[0]["lang"].alias("lang"), F.col("by")[0]["times"].alias("times"))
     order = Window.partitionBy("lang", "n").orderBy(F.desc("times"), "gram")
     kept = typical.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= GRAMS)
-    grams: dict[int, list[int]] = defaultdict(list)
-    for r in kept.select("lang", "gram").collect():
-        grams[r["lang"]].append(r["gram"])
-    wide.unpersist()
     table = np.zeros((1 << BITS, -(-len(languages) // WORD)), dtype=np.uint64)
-    for i, own in grams.items():
-        hashes = np.array(own, dtype=np.int64).view(np.uint64)
+    # at most GRAMS for each language and length
+    for r in kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect():
+        hashes, i = np.array(r["grams"], dtype=np.int64).view(np.uint64), r["lang"]
         for k in range(HASHES):
             table[_slot(hashes, k), i // WORD] |= np.uint64(1) << np.uint64(i % WORD)
     fill = np.array([(table[:, i // WORD] >> np.uint64(i % WORD) & np.uint64(1)).mean() for i in range(len(languages))])
     return Model(languages, table, fill**HASHES, default)
 
 
-def totals_of(totals: dict, language: int):
-    """The language's n-grams of the row's length, at least 1, as a column."""
-    out = F.lit(1.0)
-    for n, sums in sorted(totals.items()):
-        out = F.when(F.col("n") == n, F.lit(float(max(1, sums[f"c{language}"])))).otherwise(out)
-    return out
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs."""
 
@@ -197,7 +190,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -212,4 +205,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found), pa.array(scores)], [*names, *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{new[0]}` string, `{new[1]}` double")
+    return docs.mapInArrow(lean(run), f"{schema}, `{new[0]}` string, `{new[1]}` double")

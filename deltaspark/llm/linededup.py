@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import mix64
+from ._text import lean, mix64
 
 MIN_CHARS = 10
 LAST = (1 << 63) - 1
@@ -155,7 +155,7 @@ def references(docs: DataFrame) -> DataFrame:
             both = np.frombuffer(b"".join(marks), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), ids.take(pa.array(owners, pa.int64()))], ["hi", "lo", "doc_id"])
 
-    return docs.select(_id(F.col("doc_id")), "text").mapInArrow(run, "hi long, lo long, doc_id long")
+    return docs.select(_id(F.col("doc_id")), "text").mapInArrow(lean(run), "hi long, lo long, doc_id long")
 
 
 def _id(doc_id: Column) -> Column:
@@ -273,8 +273,8 @@ class LineIndex:
 
         if digest:
             kind = dict(docs.dtypes)["doc_id"]
-            return joined.mapInArrow(run, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
-        return joined.mapInArrow(run, docs.schema)
+            return joined.mapInArrow(lean(run), f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+        return joined.mapInArrow(lean(run), docs.schema)
 
 
 def _words(keys: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

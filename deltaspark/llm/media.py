@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import lean
+
 RATE = 8000
 FRAME = 256
 HOP = 128
@@ -116,4 +118,4 @@ def media(docs: DataFrame, store: bool = False) -> DataFrame:
                     rows = zip(*[one(bytes(t.as_buffer() or b"") if t.is_valid else b"") for t in part.column(1)])
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), k) for c, k in zip(rows, kinds[1:]))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), schema)

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
-from ._text import byte_prefix, ranges, slices, span_hash
+from ._text import byte_prefix, lean, ranges, slices, span_hash
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps (some 30 bytes each); beyond it the cache starts anew.
+CACHE_WORDS = 1_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 #: Groups that the pieces of one length are dealt over, at most; it bounds the counts the driver sums.
 MOST_SALTS = 256
 
@@ -120,27 +122,36 @@ class Encoder:
         return cls._known[path]
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.offsets = np.zeros(1 << 16, dtype=np.int32)
-        self.pool = np.zeros(1 << 18, dtype=np.int32)
-        self.filled = 0
-
-    def _add(self, keys: list[int], words: list[bytes]) -> None:
-        tokenize = self.model.tokenize
-        for key, word in zip(keys, words):
+        # hashes of the known words, ascending, and the number of each; ids of word i lie at offsets[i] .. offsets[i + 1]
+        self.keys, self.numbers = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
+        self.offsets = np.zeros(1 << 12, dtype=np.int32)
+        self.pool = np.zeros(1 << 14, dtype=np.int32)
+
+    def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Learns words by their hashes (ascending), none of which is known."""
+        tokenize, found = self.model.tokenize, []
+        for word in words:
             if word.isalpha():  # of bytes: ASCII letters only
-                ids = [x.id for x in tokenize(word.decode())]
+                found.append([x.id for x in tokenize(word.decode())])
             else:
-                ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            n = len(self.at)
-            if n + 1 >= len(self.offsets):
-                self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            while self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.filled : self.filled + len(ids)] = ids
-            self.filled += len(ids)
-            self.offsets[n + 1] = self.filled
-            self.at[key] = n
+                found.append(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
+        n, filled = len(self.keys), int(self.offsets[len(self.keys)])
+        ends = filled + np.cumsum([len(x) for x in found])
+        self.offsets = _room(self.offsets, n + len(words) + 1)
+        self.offsets[n + 1 : n + 1 + len(words)] = ends
+        self.pool = _room(self.pool, int(ends[-1]))
+        self.pool[filled : ends[-1]] = [i for x in found for i in x]
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.numbers = np.insert(self.numbers, at, np.arange(n, n + len(words), dtype=np.int32))
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where keys lie among the known ones, and whether they do."""
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        return at, known
 
     def encode(self, part) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a lower-cased Slice, and the place where each text's ids begin."""
@@ -164,22 +175,26 @@ class Encoder:
         unit_starts[order[split] + 1], unit_ends[order[split] + 1] = body[split], ends[split]
         firsts = np.append(order, total)[before]
         keys, where, inverse = np.unique(span_hash(byte_prefix(data), unit_starts, unit_ends), return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        if len(self.at) + len(listed) > CACHE_WORDS:
+        at, known = self._places(keys)
+        if len(self.keys) + int((~known).sum()) > CACHE_WORDS:
             self.clear()
-        new = [i for i, k in enumerate(listed) if k not in self.at]
-        if new:
-            raw = data.tobytes()
-            places = where[new]
-            self._add([listed[i] for i in new], [raw[a:b] for a, b in zip(unit_starts[places].tolist(), unit_ends[places].tolist())])
-        at = self.at
-        index = np.fromiter((at[k] for k in listed), dtype=np.int64, count=len(listed))[inverse]
+            known = np.zeros(len(keys), dtype=bool)
+        if not known.all():
+            raw, places = data.tobytes(), where[~known]
+            self._add(keys[~known], [raw[a:b] for a, b in zip(unit_starts[places].tolist(), unit_ends[places].tolist())])
+            at, _ = self._places(keys)
+        index = self.numbers[at][inverse]
         begins = self.offsets[index].astype(np.int64)
         counts = self.offsets[index + 1] - begins
         ids = self.pool[ranges(begins, counts)]
         return ids, np.concatenate([[0], np.cumsum(counts)])[firsts]
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """values, made longer until `size` of them have room."""
+    return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), dtype=values.dtype)]) if size > len(values) else values
+
+
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[list(b".,!?;:|")] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -195,7 +210,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encoder = Encoder.get(tokenizer)
         for batch in batches:
             doc_ids = batch.column(0)
-            for part in slices(batch.column(1), lower=True):
+            for part in slices(batch.column(1), lower=True, most=SLICE):
                 ids, bounds = encoder.encode(part)
                 rows, bounds = [], bounds.tolist()
                 for k in range(part.n):
@@ -211,7 +226,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), _PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def assign(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -254,7 +269,7 @@ def assign(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     window = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
     ranked = salted.select(*rows.columns, "_salt", F.row_number().over(window).alias("_rank"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), f"{schema}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

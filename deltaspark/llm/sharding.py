@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _store
+from ._text import lean
 
 ROW_BYTES = 8
 SHARDS = 24
@@ -59,7 +60,7 @@ def _counted(small: DataFrame, bounds: list[Key]) -> dict[int, tuple]:
             at = _below(np.asarray(batch.column(0)), np.asarray(batch.column(1)), bounds)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], ["key", "id", "size", "gap"])
 
-    gaps = small.mapInArrow(run, "key long, id long, size long, gap long").groupBy("gap")
+    gaps = small.mapInArrow(lean(run), "key long, id long, size long, gap long").groupBy("gap")
     pair = F.struct("key", "id")
     rows = gaps.agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.min(pair).alias("lo"), F.max(pair).alias("hi")).collect()
     return {r["gap"]: (r["b"], r["n"], tuple(r["lo"]), tuple(r["hi"])) for r in rows}
@@ -143,7 +144,7 @@ def shards(docs: DataFrame, count: int = SHARDS, tolerance: float = TOLERANCE) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], [*batch.schema.names, own["_part"]])
 
     marked = docs.select("*", key.alias(own["_key"]), doc_id.alias(own["_id"]))
-    dealt = marked.mapInArrow(run, f"{_ddl(marked)}, `{own['_part']}` int").repartitionById(parts, own["_part"])
+    dealt = marked.mapInArrow(lean(run), f"{_ddl(marked)}, `{own['_part']}` int").repartitionById(parts, own["_part"])
     order = Window.partitionBy(own["_part"]).orderBy(own["_key"], own["_id"])
     first = F.element_at(F.lit(starts).cast("array<bigint>"), F.col(own["_part"]) + 1)
     return dealt.select(
