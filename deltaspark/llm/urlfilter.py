@@ -6,10 +6,12 @@ rule's path. Expressions meet the rules by an equi-join on a short hash prefix;
 full digests confirm, and the longest rule wins (host and path together; among
 equally long ones the longer host, then block). Only DataFrame functions run.
 
-The rule table is broadcast only if it is counted to have at most
-BROADCAST_RULES rows; beyond, the join shuffles on (prefix, salt), with each
-rule once for each salt, so an expression that a third of all URLs share is
-dealt over SALTS tasks.
+Expressions are counted before they meet the rules, so the join by short prefix
+sees each different one once; rules with equal prefixes travel as one array,
+and the confirmation picks from it. What was found returns to the expressions'
+places and these to the rows by joins in which counted hot keys (a URL or an
+expression that many rows share) are broadcast, see _store.joined. Rows without
+a host meet nothing and take no part.
 
 Defined results: host and path of a null URL or one without `://` are empty
 and no rule fits them; a URL without a fitting rule is allowed; repeated rows
@@ -22,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_RULES = 100_000
-SALTS = 16
-#: Hex digits of the short hash.
-SHORT = 8
+from . import _store
+
+#: Hex digits of the short hash prefix.
+SHORT = 7
 
 #: Host, path and verdict of the production rules.
 RULES = [
@@ -51,6 +53,10 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, path), 256)
 
 
+def _short(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, SHORT), 16, 10).cast("int")
+
+
 def judge(pages: DataFrame, rules: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of pages (page_id by default), then host, path, rule and verdict.
 
@@ -58,43 +64,38 @@ def judge(pages: DataFrame, rules: DataFrame, keep: list[str] | None = None) ->
     """
     keep = keep or ["page_id"]
     host, path = split_url(F.col("url"))
-    own = pages.select(*keep, host.alias("host"), path.alias("path"))
-    clean = rules.where("host is not null and path is not null").select(
-        F.translate("host", _UPPER, _UPPER.lower()).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
-    )
-    known = clean.select(
-        "r_host",
-        "r_path",
-        "r_verdict",
-        _digest(F.col("r_host"), F.col("r_path")).alias("r_digest"),
-    ).withColumn("short", F.substring("r_digest", 1, SHORT))
-    # as many values as the rules' paths have different lengths
-    lengths = sorted(r["n"] for r in clean.select(F.length("r_path").alias("n")).distinct().collect())
-    few = clean.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-
-    places = own.where("host <> ''").select("host", "path").distinct()
+    # other names inside, so that none of the kept columns' clashes with ours
+    own = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host.alias("host"), path.alias("path"))
+    clean = rules.where("host is not null and path is not null").select(F.translate("host", _UPPER, _UPPER.lower()).alias("host"), "path", "verdict")
+    known = clean.withColumn("digest", _digest(F.col("host"), F.col("path")))
+    listed = known.groupBy(_short(F.col("digest")).alias("short")).agg(F.collect_set(F.struct("digest", "host", "path", "verdict")).alias("rules"))
+    # as many numbers as the rules' paths have different lengths
+    lengths = sorted(r["n"] for r in clean.select(F.length("path").alias("n")).distinct().collect())
+
+    places = _store.cut(own.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows")))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    expanded = places.select("host", "path", F.explode(suffixes).alias("e_host"), prefixes.alias("e_paths"))
-    expanded = expanded.select("host", "path", "e_host", F.explode("e_paths").alias("e_path"))
-    expanded = expanded.select("host", "path", _digest(F.col("e_host"), F.col("e_path")).alias("digest"), F.length("e_host").alias("e_size"))
-    expanded = expanded.withColumn("short", F.substring("digest", 1, SHORT))
-    if few:
-        met = expanded.join(F.broadcast(known), "short")
-    else:
-        salted = expanded.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)))
-        copies = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        met = salted.join(copies, ["short", "salt"])
-    # one digest may stand for two ways to cut host from path, so the host's length must agree too
-    met = met.where((F.col("digest") == F.col("r_digest")) & (F.col("e_size") == F.length("r_host")))
-    rank = F.struct(
-        (F.length("r_host") + F.length("r_path")).alias("size"),
-        F.length("r_host").alias("host_size"),
-        (F.col("r_verdict") == "block").alias("blocks"),
-        F.concat("r_host", "r_path").alias("rule"),
-        F.col("r_verdict").alias("verdict"),
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path"))
+    expanded = places.select("host", "path", F.explode(suffixes).alias("e_host"), fitting.alias("sizes"))
+    expanded = expanded.select("host", "path", "e_host", F.explode("sizes").alias("size"))
+    # one digest may stand for two ways to cut host from path, so the host's length belongs to the expression
+    expanded = expanded.select("host", "path", _digest(F.col("e_host"), F.substring(F.col("path"), F.lit(1), F.col("size"))).alias("digest"), F.length("e_host").alias("host_size"))
+    asked = expanded.groupBy("digest", "host_size").agg(F.count(F.lit(1)).alias("times")).withColumn("short", _short(F.col("digest")))
+    met = asked.join(listed, "short")
+    confirmed = F.filter("rules", lambda r: (r["digest"] == F.col("digest")) & (F.length(r["host"]) == F.col("host_size")))
+    rank = F.transform(
+        confirmed,
+        lambda r: F.struct(
+            (F.length(r["host"]) + F.length(r["path"])).alias("size"),
+            F.length(r["host"]).alias("host_size"),
+            (r["verdict"] == "block").alias("blocks"),
+            F.concat(r["host"], r["path"]).alias("rule"),
+            r["verdict"].alias("verdict"),
+        ),
     )
-    best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
-    best = best.select("host", "path", "best.rule", "best.verdict")
-    return own.join(best, ["host", "path"], "left").select(*keep, "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    found = _store.cut(met.select("digest", "host_size", "times", F.array_max(rank).alias("rank")).where("rank is not null"))
+    ruled = _store.joined(expanded, found, ["digest", "host_size"], "times").groupBy("host", "path").agg(F.max("rank").alias("best"))
+    best = _store.cut(places.join(ruled, ["host", "path"], "left").select("host", "path", "rows", "best.rule", F.coalesce("best.verdict", F.lit("allow")).alias("verdict")))
+    nothing = own.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    judged = _store.joined(own.where("host <> ''"), best, ["host", "path"], "rows").drop("rows").unionByName(nothing)
+    return judged.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", "rule", "verdict")
