@@ -92,14 +92,14 @@ def fingerprint(samples: np.ndarray) -> tuple[int, np.ndarray]:
     return len(times), np.sort(np.concatenate(codes))
 
 
-_DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peaks long, n_pairs long, feature string"
+_DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_peaks long, n_pairs long, feature string, codes array<long>"
 
 
 def media(docs: DataFrame, store: bool = False) -> DataFrame:
-    """doc_id and digests of each text's media; with store also `media` (the file) and `codes` (the fingerprint)."""
-    schema = f"doc_id long, {_DIGESTS}" + (", media binary, codes array<long>" if store else "")
+    """doc_id, digests of each text's media, `codes` (the fingerprint); with store also `media` (the file)."""
+    schema = f"doc_id long, {_DIGESTS}" + (", media binary" if store else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
 
     def one(text: bytes) -> tuple:
         payload = text + bytes(-len(text) % UNIT or (0 if text else UNIT))
@@ -107,8 +107,8 @@ def media(docs: DataFrame, store: bool = False) -> DataFrame:
         back = from_wav(stored)
         peaks, codes = fingerprint(np.frombuffer(back, dtype=np.uint8))
         feature = f"{peaks}:{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()[:32]}"
-        row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), peaks, len(codes), feature)
-        return row + ((stored, codes) if store else ())
+        row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), peaks, len(codes), feature, codes)
+        return row + ((stored,) if store else ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
