@@ -7,12 +7,17 @@ shingles with the smallest hashes. A document that contains the item misses at
 most k - 1 of its shingles, so it holds one of the sketch for certain: the
 search has no false negatives. k depends on the item's size, and so does the
 size below which a document can't contain it, hence items are partitioned by
-size; each partition has its own sketch table. Candidates are verified by
-their exact shingle overlap.
+size; each partition has its own sketch table. On the documents' side only the
+MinHashes count that can lie in such a sketch, those up to the largest hash of
+the partition's sketches, and documents with fewer shingles than the partition's
+smallest item needs are passed over. So this is a prefix filter in the order of
+MinHash, in place of estimates by sketches of equal size, which would miss some.
+Candidates are verified by their exact shingle overlap.
 
 Documents only stream past the sketches, without a shuffle. Items are taken in
-blocks of bounded size, one pass over the documents for each block, so what an
-executor holds doesn't grow with the item table.
+blocks of at most BLOCK_SHINGLES shingles (8 MB), one pass over the documents for
+each block: what the driver gathers and ships at once, and what an executor
+holds, doesn't grow with the item table.
 
 Shingles are WORDS consecutive words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased,
 told apart by 64-bit hashes; an item with fewer words has one shingle, all of
@@ -72,6 +77,7 @@ class _Partition:
         sketch.sort()
         self.hashes = np.array([h for h, _ in sketch], dtype=np.uint64)
         self.owners = np.array([i for _, i in sketch], dtype=np.int64)
+        self.top = self.hashes[-1]
 
 
 def _partitions(block: list, threshold: int) -> list[_Partition]:
@@ -147,9 +153,8 @@ def _matches(texts: pa.Array, parts: list[_Partition]) -> Iterator[tuple[int, in
             all_grams = grams[p.gram]
             if not len(all_grams):
                 continue
-            at = np.searchsorted(p.hashes, all_grams)
-            at[at == len(p.hashes)] = 0
-            hits = np.flatnonzero(p.hashes[at] == all_grams)
+            low = np.flatnonzero(all_grams <= p.top)
+            hits = low[p.hashes[np.searchsorted(p.hashes, all_grams[low])] == all_grams[low]]
             hits = hits[hits + p.gram <= before[np.searchsorted(before, hits, side="right")]]  # not across two texts
             owner = np.searchsorted(before, hits, side="right") - 1
             for k in np.unique(owner).tolist():

@@ -105,11 +105,11 @@ m AS (SELECT host, path, max({{'a': length(h) + length(p), 'b': length(h), 'c':
 SELECT page_id, x.host, x.path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM x LEFT JOIN m ON x.host = m.host AND x.path = m.path""",
     "op5_benchmark_decontamination": f"""
 WITH s AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS own, least(len(w), 5) AS g
- FROM (SELECT item_id, {_WORDS.replace("text", f"translate(text, '{_UP}', '{_LOW}')")} AS w FROM benchmark) WHERE len(w) >= 5),
-i AS (SELECT item_id, len(own) AS n, unnest(own) AS x FROM s),
+ FROM (SELECT item_id, {_WORDS.replace("text", f"translate(text, '{_UP}', '{_LOW}')")} AS w FROM benchmark) WHERE len(w) > 0),
+i AS (SELECT item_id, g, len(own) AS n, unnest(own) AS x FROM s),
 d AS (SELECT doc_id, {_WORDS.replace("text", f"translate(text, '{_UP}', '{_LOW}')")} AS w FROM documents),
-t AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' '))) AS x FROM d WHERE len(w) >= 5)
-SELECT doc_id, item_id, n::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n AS containment FROM t JOIN i USING (x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
+t AS (SELECT DISTINCT doc_id, g, unnest(list_transform(range(1, len(w) - g + 2), lambda j: array_to_string(w[j:j + g - 1], ' '))) AS x FROM d JOIN (SELECT DISTINCT g FROM i) ON len(w) >= g)
+SELECT doc_id, item_id, n::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / n AS containment FROM t JOIN i USING (g, x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
     "op6_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
 y AS (SELECT *, translate(trim(line, {_SPACES}), '{_UP}', '{_LOW}') AS key FROM l),
