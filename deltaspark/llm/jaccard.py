@@ -12,16 +12,21 @@ no link leaves a family, and each family is searched in one place.
 
 The search is T-occurrence: for a query set, partners are those that occur in
 at least T of the inverted lists of its shingles, T being the overlap that the
-threshold asks of the smallest partner possible. Short lists are merged by
-counting; then each partner that can still reach T is looked up in the long
-lists by binary search (DivideSkip), or these are merged too where that is
-cheaper. The overlap is exact in the end, and links are exact.
+threshold asks of the smallest partner possible. Short lists are merged in order
+of their members (a heap of list heads would pop them one by one; here numpy
+merges the runs, or counts where there are more entries than members); then each
+partner that can still reach T is looked up in the long lists by binary search
+(DivideSkip), or these are merged too where that is cheaper. The overlap is exact
+in the end, and links are exact.
 
 A family is split into blocks of at most BLOCK_SHINGLES shingles, whose pairs
 are searched in separate tasks; pairs of documents are never listed, only each
 class's number of links and a spanning forest leave a task.
 
-Shingles are told apart by 64-bit hashes, classes by a 64-bit digest.
+Shingles are told apart by 64-bit hashes, classes by 128 bits: 64 of them name a
+class, and where the other 64 differ under one name (a few pairs among 10^10
+sets) these classes get names of their own. Counts from MOST_COUNTED on are all
+the same to the order, which only steers how much is searched.
 
 Defined results: a document without words, or a null text, has no shingles and
 no links; a text with fewer words than a shingle has one, all of it; rows with
@@ -36,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +54,8 @@ SIMILARITY = 85  # per cent
 #: Counts of shared shingles from this number on are all the same to the order.
 MOST_COUNTED = 4096
 BLOCK_SHINGLES = 2_000_000
-#: Class representatives whose places are broadcast, at most (some 10 MB); beyond it texts are shuffled to them.
-BROADCAST_ROWS = 200_000
+#: Shingles that leave a Python worker at once, about.
+FLUSH = 1 << 18
 #: Inverted lists from this length on may be probed instead of merged.
 LONG_LIST = 64
 
@@ -68,10 +74,10 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]
                 yield part.first + k, gram_hash(hashes[a:b], b - a)
 
 
-def class_of(own: np.ndarray) -> int:
-    """The digest of a set."""
-    prefix = sequence_prefix(own)
-    return int(span_hash(prefix, np.array([0]), np.array([len(own)])).view(np.int64)[0])
+def class_of(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The digest of a set: the name of its class (cut to `bits`, for tests) and 64 more bits."""
+    name, check = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype="<i8").tolist()
+    return name & ((1 << bits) - 1) if bits < 64 else name, check
 
 
 def prefix_size(n: int, similarity: int) -> int:
@@ -84,39 +90,73 @@ def counted_part(own: np.ndarray, similarity: int) -> int:
     return int(np.searchsorted(own, np.uint64(bound)))
 
 
-def signatures(docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """_doc, _tid, doc_id, class (null without shingles), n_shingles, slots of every document.
+def signatures(docs: DataFrame, words: int, similarity: int, bits: int = 64, twins: dict | None = None) -> DataFrame:
+    """_doc, _tid, doc_id, class (null without shingles), check, n_shingles, slots of every document.
 
-    slots: the size of the prefix less the shingles in the counted part.
+    slots: the size of the prefix less the shingles in the counted part; twins: names for classes that share one.
     """
+    twins = twins or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, sizes, slots = (np.zeros(batch.num_rows, dtype=np.int64) for _ in range(3))
+            classes, checks, sizes, slots = (np.zeros(batch.num_rows, dtype=np.int64) for _ in range(4))
             for row, own in shingle_sets(batch.column("text"), words):
-                classes[row], sizes[row] = class_of(own), len(own)
+                mark = class_of(own, bits)
+                classes[row], checks[row], sizes[row] = twins.get(mark, mark[0]), mark[1], len(own)
                 slots[row] = prefix_size(len(own), similarity) - counted_part(own, similarity)
-            columns = [*(batch.column(c) for c in ("_doc", "_tid", "doc_id")), pa.array(classes, mask=sizes == 0), pa.array(sizes), pa.array(slots)]
-            yield pa.RecordBatch.from_arrays(columns, ["_doc", "_tid", "doc_id", "class", "n_shingles", "slots"])
+            columns = [*(batch.column(c) for c in ("_doc", "_tid", "doc_id")), pa.array(classes, mask=sizes == 0), pa.array(checks), pa.array(sizes), pa.array(slots)]
+            yield pa.RecordBatch.from_arrays(columns, ["_doc", "_tid", "doc_id", "class", "check", "n_shingles", "slots"])
 
     rows = keyed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(lean(run), "_doc long, _tid long, doc_id long, class long, n_shingles long, slots long")
-
-
-def _candidates(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    return rows.mapInArrow(lean(run), "_doc long, _tid long, doc_id long, class long, check long, n_shingles long, slots long")
+
+
+def _classes(marks: DataFrame) -> DataFrame:
+    found = marks.where("class is not null").groupBy("class")
+    return _store.cut(
+        found.agg(
+            F.min(F.struct("_doc", "_tid")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("slots").alias("slots"),
+            F.min("check").alias("check0"), F.max("check").alias("check1"),
+        )
+    )
+
+
+def _named(docs: DataFrame, words: int, similarity: int, bits: int) -> tuple[DataFrame, DataFrame, dict]:
+    """signatures(), the classes, and the names of those that would share one."""
+    marks = _store.cut(signatures(docs, words, similarity, bits))
+    classes = _classes(marks)
+    mixed = classes.where("check0 <> check1").select("class")
+    if mixed.isEmpty():
+        return marks, classes, {}
+    # sets that agree in 64 bits and differ in 64 others: some n^2 / 2^65 of n different sets
+    pairs = marks.join(mixed, "class", "left_semi").select("class", "check").distinct().collect()
+    twins = {(r["class"], r["check"]): xxhash.xxh3_64_intdigest(np.array(tuple(r), dtype="<i8").tobytes()) - (1 << 63) for r in pairs}
+    marks = _store.cut(signatures(docs, words, similarity, bits, twins))
+    return marks, _classes(marks), twins
+
+
+def _candidates(docs: DataFrame, words: int, similarity: int, bits: int, twins: dict) -> DataFrame:
     """shingle, class: the counted part of each set, and the next shingles if that is less than a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, classes, seen = [], [], set()
+            found, classes, seen, size = [], [], set(), 0
+
+            def done() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(classes))], ["shingle", "class"])
+
             for _, own in shingle_sets(batch.column(0), words):
-                mark = class_of(own)
+                mark = class_of(own, bits)
                 if mark not in seen:
                     seen.add(mark)
                     found.append(own[: max(prefix_size(len(own), similarity), counted_part(own, similarity))])
-                    classes.append(np.full(len(found[-1]), mark, dtype=np.int64))
+                    classes.append(np.full(len(found[-1]), twins.get(mark, mark[0]), dtype=np.int64))
+                    size += len(found[-1])
+                    if size >= FLUSH:
+                        yield done()
+                        found, classes, size = [], [], 0
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(classes))], ["shingle", "class"])
+                yield done()
 
     return docs.select("text").mapInArrow(lean(run), "shingle long, class long")
 
@@ -169,12 +209,12 @@ def _batch(rows: np.ndarray, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(n.astype(np.int64))], names)
 
 
-def _prefixes(docs: DataFrame, classes: DataFrame, words: int, similarity: int) -> DataFrame:
+def _prefixes(candidates: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """shingle, class: the shared shingles of each class's prefix; classes: class, slots."""
     bound = min((1 << 64) - 1, (1 << 64) * 2 * (100 - similarity) // 100)
     # shingles are unsigned, Spark's longs are not
     order = F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)))
-    shared = _shared(_candidates(docs, words, similarity)).withColumn("rest", order >= bound - (1 << 63))
+    shared = _shared(candidates).withColumn("rest", order >= bound - (1 << 63))
     shared = shared.join(classes.select("class", "slots"), "class")
     mine = Window.partitionBy("class")
     ranked = shared.withColumn("room", F.col("slots") + F.count_if(~F.col("rest")).over(mine))
@@ -182,8 +222,19 @@ def _prefixes(docs: DataFrame, classes: DataFrame, words: int, similarity: int)
     return ranked.where("rank <= room").select("shingle", "class")
 
 
-def divide_skip(keys: np.ndarray, bounds: np.ndarray, lists: np.ndarray, need: int, size: int) -> np.ndarray:
-    """How many of the inverted lists `lists` hold each member; exact for all that are in `need` or more.
+def _merged(members: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members of some ascending lists, one after another, each once and in order; and in how many lists each is."""
+    if len(members) > size:
+        times = np.bincount(members, minlength=size)
+        found = np.flatnonzero(times)
+        return found, times[found]
+    members = np.sort(members, kind="stable")  # merges the runs
+    starts, ends = runs(members)
+    return members[starts], ends - starts
+
+
+def divide_skip(keys: np.ndarray, bounds: np.ndarray, lists: np.ndarray, need: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of the inverted lists `lists`, ascending, and how many of these hold each; all that are in `need` or more, exactly.
 
     keys: list << 32 | member, ascending; bounds: where each list lies; size: the number of members.
     """
@@ -192,17 +243,21 @@ def divide_skip(keys: np.ndarray, bounds: np.ndarray, lists: np.ndarray, need: i
     count = min(int((lengths >= LONG_LIST).sum()), max(0, need - 1) // 2)
     long, short = order[:count], order[count:]
     member = lambda some: keys[ranges(starts[some], lengths[some])] & 0xFFFFFFFF
-    found = np.bincount(member(short), minlength=size)
+    found, times = _merged(member(short), size)
     if count:
-        candidates = np.flatnonzero(found >= need - count)
-        if len(candidates) * count * 8 < lengths[long].sum():
-            probes = (lists[long][:, None] << 32 | candidates[None, :]).ravel()
+        likely = times >= need - count
+        found, times = found[likely], times[likely]
+        if len(found) * count * 8 < lengths[long].sum():
+            probes = (lists[long][:, None] << 32 | found[None, :]).ravel()
             at = np.searchsorted(keys, probes)
             at[at == len(keys)] = 0
-            found[candidates] += (keys[at] == probes).reshape(count, -1).sum(axis=0)
+            times += (keys[at] == probes).reshape(count, -1).sum(axis=0)
         else:
-            found += np.bincount(member(long), minlength=size)
-    return found
+            more, often = _merged(member(long), size)
+            at = np.searchsorted(more, found)
+            at[at == len(more)] = 0
+            times += np.where(more[at] == found, often[at], 0)
+    return found, times
 
 
 def search(sets: list[np.ndarray], blocks: np.ndarray, copies: np.ndarray, similarity: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +285,11 @@ def search(sets: list[np.ndarray], blocks: np.ndarray, copies: np.ndarray, simil
         n = len(sets[q])
         # the smallest partner has ceil(s * n) shingles, all of which must be shared
         need = -(-similarity * n // 100)
-        found = divide_skip(keys, bounds, own_lists[q], need, size)
-        partners = np.flatnonzero(100 * found >= similarity * (n + lengths - found))
+        partners, times = divide_skip(keys, bounds, own_lists[q], need, size)
+        partners = partners[100 * times >= similarity * (n + lengths[partners] - times)]
         partners = partners[(partners != q) & ((not cross) | (blocks[partners] != blocks[q]))]
         links[q] = copies[partners].sum()
-        for p in partners[partners > q].tolist():
+        for p in partners[(partners > q) & (root[partners] != root[q])].tolist():
             a, b = find(q), find(p)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -269,34 +324,41 @@ def _searched(members: DataFrame, similarity: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "class long, root long, links long")
 
 
-def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+def _components(docs: DataFrame, words: int, similarity: int, bits: int = 64) -> DataFrame:
     """_doc, _tid, doc_id, n_shingles, label (of its component; null without shingles), n_links of every row."""
-    marks = _store.cut(signatures(docs, words, similarity))
-    classes = marks.where("class is not null").groupBy("class").agg(F.min(F.struct("_doc", "_tid")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("slots").alias("slots"))
+    marks, classes, twins = _named(docs, words, similarity, bits)
 
-    prefixes = _prefixes(docs, classes, words, similarity)
-    before = F.lag("class").over(Window.partitionBy("shingle").orderBy("class"))
-    met = prefixes.select("class", before.alias("other")).where("other <> class")
-    families = _graph.components(met.select(F.col("class").alias("a"), F.col("other").alias("b")))
+    prefixes = _store.cut(_prefixes(_candidates(docs, words, similarity, bits, twins), classes, similarity))
+    hubs = _store.cut(prefixes.groupBy("shingle").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = _store.joined(prefixes, hubs, ["shingle"], "n").where("hub <> class")
+    families = _graph.components(met.select(F.col("class").alias("a"), F.col("hub").alias("b")))
 
     families = families.select(F.col("node").alias("class"), F.col("label").alias("family")).join(classes, "class")
-    sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    families = _store.cut(families.join(sizes, "family"))
+    sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
+    families = _store.cut(_store.joined(families, sizes, ["family"], "members"))
     split = not families.where("blocks > 1").isEmpty()
 
     wanted = families.select("rep._doc", "rep._tid", "family", "blocks", "class", "copies")
-    if families.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     held = keyed(docs, "text").join(wanted, ["_doc", "_tid"]).select("text", "family", "blocks", "class", "copies")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
+            names = ["family", "blocks", "class", "copies", "shingles"]
+            rows, found, size = [], [], 0
+
+            def done() -> pa.RecordBatch:
+                taken = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in names[:-1]), pa.array(found, pa.binary())], names)
+
             for row, own in shingle_sets(batch.column(0), words):
                 rows.append(row)
                 found.append(own.tobytes())
-            taken = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("family", "blocks", "class", "copies")), pa.array(found, pa.binary())], ["family", "blocks", "class", "copies", "shingles"])
+                size += len(own)
+                if size >= FLUSH:
+                    yield done()
+                    rows, found, size = [], [], 0
+            if rows:
+                yield done()
 
     members = held.mapInArrow(lean(sets), "family long, blocks int, class long, copies long, shingles binary")
     members = members.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -310,16 +372,21 @@ def _components(docs: DataFrame, words: int, similarity: int) -> DataFrame:
         labels = found.select("class", F.col("root").alias("label"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
 
-    known = marks.join(classes.select("class", "copies"), "class", "left").join(labels, "class", "left").join(links, "class", "left")
-    known = known.select("_doc", "_tid", "doc_id", "n_shingles", F.coalesce("label", "class").alias("label"), F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links"))
-    return _store.cut(known)
+    about = classes.select("class", "copies").join(labels, "class", "left").join(links, "class", "left")
+    about = _store.cut(about.select("class", "copies", F.coalesce("label", "class").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    names = ["_doc", "_tid", "doc_id", "n_shingles", "label", "n_links"]
+    known = _store.joined(marks.where("class is not null"), about, ["class"], "copies").select(*names)
+    wordless = marks.where("class is null").withColumns({"label": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
+    return _store.cut(known.unionByName(wordless.select(*names)))
 
 
-def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of docs."""
-    known = _components(docs, words, similarity)
-    least = _store.cut(known.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")))
-    return known.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "n_links")
+    known = _components(docs, words, similarity, bits)
+    named = known.where("label is not null")
+    least = _store.cut(named.groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members")))
+    linked = _store.joined(named, least, ["label"], "members").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "n_links")
+    return linked.unionByName(known.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "n_links"))
 
 
 def dedup(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
