@@ -1,30 +1,34 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference counts.
 
-A LineIndex keeps, in a folder, a log of exact references (key, document) and
-one cuckoo filter per shard of the key space. Inserting documents asks the
-filters first: a key that its filter doesn't know is new for certain, and only
-keys that it may know are looked up in the exact table. Deleting documents
-takes out the fingerprints of keys that lose their last reference, which a
-cuckoo filter allows. So insertions and deletions can be undone in any order,
-and the dedup always follows the exact table; a filter only saves lookups.
+A LineIndex keeps, in a folder, the exact references (key, document), one cuckoo
+filter for each shard of the key space, and the reference counts of the keys that
+several documents hold. Inserted references stream past their shard's filter: a
+key that it doesn't know is new for certain, goes into the filter and needs no
+lookup; only what the filter may know, a second reference or a false positive, is
+looked up among the exact references and counted. Keys that turn out to be false
+positives are added to the filter then, so it holds a fingerprint for each key.
+Deleting documents counts the keys they held anew and takes out the fingerprints
+of those that lose their last reference, which a cuckoo filter allows. So
+insertions and deletions can be undone in any order, and the dedup always follows
+the exact counts.
 
 A key is a line stripped of ASCII white space with A-Z lower-cased; keys below
 MIN_CHARS code points are no keys. Keys are told apart by 128-bit digests.
 
 Defined results: a null or empty text is one empty line; rows that share a
 doc_id count as one document; a null doc_id stands for one document that
-comes after all others; an empty table gives an empty result; further columns
-of the input are ignored.
+comes after all others; a line repeated in the smallest document that holds it
+stays there as often; an empty table gives an empty result; further columns of the
+input are ignored. A very long text is one row, split whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +40,14 @@ from ._text import lean, mix64
 MIN_CHARS = 10
 LAST = (1 << 63) - 1
 WAYS = 4
+#: Share of a table's places that are filled before the next one is begun.
+LOAD = 0.8
+#: Tables of one filter; beyond it all filters are made anew, larger, from the exact references.
+MOST_TABLES = 4
+
+
+#: Rows of a batch that are worked on at once.
+ROWS = 1024
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -51,51 +63,64 @@ def _digest(key: bytes) -> bytes:
 
 
 class CuckooFilter:
-    """A cuckoo filter over keys given as two 64-bit words; it grows by chaining tables."""
+    """A cuckoo filter over keys given as two 64-bit words; it grows by further tables of the same shape.
+
+    A key has the same two rows in all tables. So keys of equal fingerprint and rows can stand
+    for one another, and removing one takes out a fingerprint of it wherever it is found.
+    """
 
-    def __init__(self, tables: list[np.ndarray] | None = None):
-        self.tables = tables or []
+    def __init__(self, rows: int = 1024, tables: list[np.ndarray] | None = None):
+        self.rows, self.tables = rows, tables or []
+
+    @classmethod
+    def sized(cls, keys: int) -> CuckooFilter:
+        """A filter whose first table has room for so many keys."""
+        rows = 64
+        while rows * WAYS * LOAD < keys:
+            rows *= 2
+        return cls(rows)
 
     @classmethod
     def load(cls, data: bytes) -> CuckooFilter:
-        tables, at = [], 0
-        while at < len(data):
-            rows = int.from_bytes(data[at : at + 8], "little")
-            size = rows * WAYS * 2
-            tables.append(np.frombuffer(data, np.uint16, rows * WAYS, at + 8).reshape(rows, WAYS).copy())
-            at += 8 + size
-        return cls(tables)
+        rows = int.from_bytes(data[:8], "little")
+        every = np.frombuffer(data, np.uint16, offset=8).reshape(-1, rows, WAYS)
+        return cls(rows, [t.copy() for t in every])
 
     def dump(self) -> bytes:
-        return b"".join(len(t).to_bytes(8, "little") + t.tobytes() for t in self.tables)
+        return self.rows.to_bytes(8, "little") + b"".join(t.tobytes() for t in self.tables)
 
-    @staticmethod
-    def _places(hi: np.ndarray, lo: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _places(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mark = (hi % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
-        one = lo & np.uint64(rows - 1)
-        return mark, one.astype(np.int64), (one ^ (mix64(mark.astype(np.uint64)) & np.uint64(rows - 1))).astype(np.int64)
+        one = lo >> np.uint64(20) & np.uint64(self.rows - 1)
+        return mark, one.astype(np.int64), self._other(one, mark)
+
+    def _other(self, row: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return (row.astype(np.uint64) ^ (mix64(mark.astype(np.uint64)) & np.uint64(self.rows - 1))).astype(np.int64)
 
     def contains(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        mark, one, two = self._places(hi, lo)
         found = np.zeros(len(hi), dtype=bool)
         for table in self.tables:
-            mark, one, two = self._places(hi, lo, len(table))
             found |= (table[one] == mark[:, None]).any(axis=1) | (table[two] == mark[:, None]).any(axis=1)
         return found
 
     def add(self, hi: np.ndarray, lo: np.ndarray) -> None:
-        """Adds keys that are not held; each call with more than the free room adds a table."""
-        if not len(hi):
-            return
-        free = sum(int((t == 0).sum()) - t.size // 8 for t in self.tables[-1:])
-        if free < len(hi):
-            rows = 1
-            while rows * WAYS * 0.85 < len(hi):
-                rows *= 2
-            self.tables.append(np.zeros((rows, WAYS), dtype=np.uint16))
-        table = self.tables[-1]
-        mark, one, two = self._places(hi, lo, len(table))
-        left = np.arange(len(hi))
-        for place in (one, two):  # all that fit straight away, at once
+        """Adds keys, each as often as it is given."""
+        mark, one, _ = self._places(hi, lo)
+        while len(one):
+            room = int(LOAD * self.rows * WAYS) - int(np.count_nonzero(self.tables[-1])) if self.tables else 0
+            if room <= 0:
+                self.tables.append(np.zeros((self.rows, WAYS), dtype=np.uint16))
+                continue
+            rows, marks = self._settle(self.tables[-1], one[:room], mark[:room])
+            if len(rows):  # some found no place in reach: they begin the next table
+                self.tables.append(np.zeros((self.rows, WAYS), dtype=np.uint16))
+            one, mark = np.concatenate([rows, one[room:]]), np.concatenate([marks, mark[room:]])
+
+    def _settle(self, table: np.ndarray, one: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts fingerprints into a table; returns the row and fingerprint of those that found no place."""
+        left = np.arange(len(one))
+        for place in (one, self._other(one, mark)):  # all that fit straight away, at once
             order = left[np.argsort(place[left], kind="stable")]
             rows = place[order]
             first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.empty(0, bool)
@@ -108,37 +133,23 @@ class CuckooFilter:
         homeless = []
         for i in left.tolist():
             row, value = int(one[i]), int(mark[i])
-            for kick in range(500):
+            for kick in range(200):
                 empty = np.flatnonzero(table[row] == 0)
                 if len(empty):
                     table[row, empty[0]] = value
                     break
                 slot = (kick * 7 + value) % WAYS
                 table[row, slot], value = value, int(table[row, slot])
-                row ^= int(mix64(np.array([value], dtype=np.uint64))[0]) & (len(table) - 1)
+                row ^= int(mix64(np.array([value], dtype=np.uint64))[0]) & (self.rows - 1)
             else:
                 homeless.append((row, value))
-        if homeless:  # the last ones evicted go, by mark and place, into a spare table of the same shape
-            spare = np.zeros_like(table)
-            for row, value in homeless:
-                for place in (row, row ^ int(mix64(np.array([value], dtype=np.uint64))[0]) & (len(table) - 1)):
-                    empty = np.flatnonzero(spare[place] == 0)
-                    if len(empty):
-                        spare[place, empty[0]] = value
-                        break
-                else:
-                    raise OverflowError("a cuckoo table has no room for a fingerprint")
-            self.tables.append(spare)
+        return np.array([r for r, _ in homeless], dtype=np.int64), np.array([v for _, v in homeless], dtype=np.uint16)
 
     def remove(self, hi: np.ndarray, lo: np.ndarray) -> None:
         """Removes keys that are held."""
-        for h, l in zip(hi, lo):
-            for table in self.tables:
-                mark, one, two = self._places(np.array([h]), np.array([l]), len(table))
-                place = next(((int(r), s) for r in (one[0], two[0]) for s in range(WAYS) if table[int(r), s] == mark[0]), None)
-                if place:
-                    table[place] = 0
-                    break
+        for mark, one, two in zip(*self._places(hi, lo)):
+            place = next((t, int(r), s) for t in self.tables for r in (one, two) for s in range(WAYS) if t[int(r), s] == mark)
+            place[0][place[1:]] = 0
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -146,14 +157,16 @@ def references(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, owners, marks, size = batch.column(0), [], [], 0
-            for i, text in enumerate(batch.column(1)):
-                raw = (text.as_buffer() or b"") if text.is_valid else b""
-                keys = {_digest(k) for x in bytes(raw).lower().split(b"\n") if (k := line_key(x)) is not None}
-                owners += [i] * len(keys)
-                marks += keys
-            both = np.frombuffer(b"".join(marks), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), ids.take(pa.array(owners, pa.int64()))], ["hi", "lo", "doc_id"])
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                ids, owners, marks = part.column(0), [], []
+                for i, text in enumerate(part.column(1)):
+                    raw = (text.as_buffer() or b"") if text.is_valid else b""
+                    keys = {_digest(k) for x in bytes(raw).lower().split(b"\n") if (k := line_key(x)) is not None}
+                    owners += [i] * len(keys)
+                    marks += keys
+                both = np.frombuffer(b"".join(marks), dtype="<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), ids.take(pa.array(owners, pa.int64()))], ["hi", "lo", "doc_id"])
 
     return docs.select(_id(F.col("doc_id")), "text").mapInArrow(lean(run), "hi long, lo long, doc_id long")
 
@@ -162,8 +175,75 @@ def _id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LAST)).alias("doc_id")
 
 
+_STREAM = "shard int, hi long, lo long, n long, data binary"
+
+
+def _combined(shards: int) -> Callable:
+    """References hi, lo as shard, hi, lo, n: a key once for each batch, so a very common one is few rows when it is exchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo = (np.asarray(batch.column(i)) for i in (0, 1))
+            if not len(hi):
+                continue
+            order = np.lexsort((lo, hi))
+            hi, lo = hi[order], lo[order]
+            first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+            n = np.diff(np.r_[first, len(hi)])
+            columns = [pa.array((lo[first] % shards).astype(np.int32)), pa.array(hi[first]), pa.array(lo[first]), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(first), pa.binary())], ["shard", "hi", "lo", "n", "data"])
+
+    return run
+
+
+def _past(keys_of: dict[int, int], remove: bool) -> Callable:
+    """Streams counted references past their shards' filters, which come first in each shard.
+
+    Rows with data are filters, the others keys with a number n of references. Returns the new filters, and
+    the keys with as many references as the filter may have known; where n is 0, just adds (or removes) the key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, CuckooFilter] = {}
+        names = ["shard", "hi", "lo", "n", "data"]
+        for batch in batches:
+            shards, datas = np.asarray(batch.column(0)), batch.column(4)
+            whole = np.asarray(datas.is_valid())
+            for i in np.flatnonzero(whole).tolist():
+                held[int(shards[i])] = CuckooFilter.load(datas[i].as_py())
+            rows = np.flatnonzero(~whole)
+            if not len(rows):
+                continue
+            shards, hi, lo, n = (np.asarray(c.take(pa.array(rows))) for c in batch.columns[:4])
+            order = np.lexsort((lo, hi, shards))
+            shards, hi, lo, n = shards[order], hi[order].view(np.uint64), lo[order].view(np.uint64), n[order]
+            first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+            shards, hi, lo, n = shards[first], hi[first], lo[first], np.add.reduceat(n, first)
+            for shard in np.unique(shards).tolist():
+                mine = held.setdefault(shard, CuckooFilter.sized(keys_of.get(shard, 0)))
+                own = np.flatnonzero((shards == shard) & (n == 0))
+                if len(own):
+                    (mine.remove if remove else mine.add)(hi[own], lo[own])
+                own = np.flatnonzero((shards == shard) & (n > 0))
+                new = own[~mine.contains(hi[own], lo[own])]
+                mine.add(hi[new], lo[new])
+                n[new] -= 1  # the first reference of a new key
+            again = np.flatnonzero(n > 0)
+            if len(again):
+                columns = [shards[again], hi[again].view(np.int64), lo[again].view(np.int64), n[again]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(len(again), pa.binary())], names)
+        for shard, mine in held.items():
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, None, None, None, mine.dump()), kinds)], names)
+
+    return run
+
+
 class LineIndex:
-    """The state of an incremental line dedup, in a folder that all executors share."""
+    """The state of an incremental line dedup, in a folder that all executors share.
+
+    shards: filters that the keys are dealt over; one filter, some 3 bytes a key, has to fit a task's memory.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, shards: int | None = None):
         self.spark = spark
@@ -171,68 +251,110 @@ class LineIndex:
         self.shards = shards or max(8, _store.partitions(spark))
         self.steps: list[tuple[str, str]] = []
         self.filters: DataFrame | None = None
+        self.rows, self.held = 0, 0
+        #: Exact counts hi, lo, n_docs, first of the keys of several documents; and their references.
+        self.shared: DataFrame | None = None
+        self.references: DataFrame | None = None
 
     def _write(self, df: DataFrame, kind: str) -> DataFrame:
-        path = f"{self.folder}/{len(self.steps):06d}-{kind}"
+        path = f"{self.folder}/{len(self.steps):06d}-{kind}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def _shard(self) -> Column:
         return F.pmod(F.col("lo"), F.lit(self.shards)).cast("int").alias("shard")
 
+    def _logged(self, kind: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.steps):06d}-{kind}"
+        df.write.parquet(path)
+        self.steps.append((kind, path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def exact(self) -> DataFrame:
-        """The exact table: one row hi, lo, doc_id for each key and document that holds it."""
+        """The exact references: hi, lo, doc_id for each key and document that holds it (a document's rows count apart)."""
         out = None
         for kind, path in self.steps:
             df = self.spark.read.parquet(path)
             if kind == "insert":
-                out = df if out is None else out.unionByName(df).distinct()
+                out = df if out is None else out.unionByName(df)
             elif out is not None:
                 out = out.join(df, "doc_id", "left_anti")
         return out if out is not None else self.spark.createDataFrame([], "hi long, lo long, doc_id long")
 
-    def _filtered(self, keys: DataFrame, work, schema: str) -> DataFrame:
-        """Runs work(filter, keys as pandas) for every shard; keys: hi, lo, old."""
-        keys = keys.withColumn("shard", self._shard())
-        filters = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, data binary")
-
-        def one(mine: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-            shard = int((mine if len(mine) else kept)["shard"].iloc[0])
-            return work(shard, CuckooFilter.load(bytes(kept["data"].iloc[0]) if len(kept) else b""), mine)
+    def _streamed(self, rows: DataFrame, keys_of: dict[int, int], remove: bool = False) -> DataFrame:
+        """Lets counted keys pass the filters and keeps the new filters; returns what the filters may have known."""
+        if self.filters is not None:
+            rows = rows.unionByName(self.filters.select("shard", *[F.lit(None).cast("long").alias(c) for c in ("hi", "lo", "n")], "data"))
+            dealt = rows.repartitionById(self.shards, "shard").sortWithinPartitions("shard", F.col("data").isNull())
+        else:
+            dealt = rows.repartitionById(self.shards, "shard")
+        out = self._write(dealt.mapInArrow(lean(_past(keys_of, remove)), _STREAM), "filters")
+        self.filters = out.where("data is not null").select("shard", "data")
+        return out.where("data is null").select("hi", "lo", "n")
 
-        return keys.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(one, schema)
+    def _alone(self, keys: DataFrame) -> DataFrame:
+        return keys.select(self._shard(), "hi", "lo", F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("data"))
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = self._write(references(docs), "insert")
-        keys = new.select("hi", "lo").distinct()
-        if self.filters is not None:
-            known = self._filtered(keys, _known, "hi long, lo long, maybe boolean")
-            known = _store.cut(known)
-            held = known.where("maybe").join(self.exact(), ["hi", "lo"], "left_semi").select("hi", "lo", F.lit(True).alias("held"))
-            keys = known.select("hi", "lo").join(held, ["hi", "lo"], "left_anti")
-        self.filters = self._write(self._filtered(keys, _added, "shard int, data binary"), "filters")
-        self.steps.append(("insert", f"{self.folder}/{len(self.steps):06d}-insert"))
+        new = self._logged("insert", references(docs))
+        keys_of = {r["shard"]: r["count"] for r in new.groupBy(self._shard()).count().collect()}  # as many as shards
+        self.held += max(keys_of.values(), default=0)
+        feed = new
+        if self.filters is not None and self.held > self.rows * WAYS * LOAD * MOST_TABLES:
+            feed, self.filters = self.exact(), None  # too many tables: larger ones, from all references
+            keys_of = {r["shard"]: r["count"] for r in feed.groupBy(self._shard()).count().collect()}
+        if self.filters is None:
+            most = max(keys_of.values(), default=0)
+            keys_of = dict.fromkeys(range(self.shards), most)
+            self.rows, self.held = CuckooFilter.sized(most).rows, most
+        passed = self._streamed(feed.select("hi", "lo").mapInArrow(lean(_combined(self.shards)), _STREAM), keys_of)
+        suspects = self._write(passed.groupBy("hi", "lo").agg(F.sum("n").alias("seen")), "suspects")
+        found = self._write(_store.joined(self.exact(), suspects, ["hi", "lo"], "seen").drop("seen"), "looked-up")
+        counts = self._write(self._counted(found).join(suspects, ["hi", "lo"]), "counts")
+        # a key that the filter took for known at its first reference: all references were let through, and it has no older one
+        wrong = counts.where("seen = n_refs")
+        if self.shared is not None and feed is new:
+            fresh = _store.joined(new, suspects, ["hi", "lo"], "seen").groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("fresh"))
+            wrong = wrong.join(fresh, ["hi", "lo"]).where("fresh = n_refs")
+        wrong = self._write(wrong.select("hi", "lo"), "missed")
+        if not wrong.isEmpty():
+            self._streamed(self._alone(wrong), keys_of)
+        several = counts.where("n_docs > 1").select("hi", "lo", "n_docs", "first")
+        if self.shared is None:
+            self.shared, self.references = several, found
+        else:
+            self.shared = self._write(self.shared.join(suspects.select("hi", "lo"), ["hi", "lo"], "left_anti").unionByName(several), "shared")
+            self.references = self._write(self.references.join(suspects.select("hi", "lo"), ["hi", "lo"], "left_anti").unionByName(found), "references")
         return self
 
+    @staticmethod
+    def _counted(references: DataFrame) -> DataFrame:
+        """hi, lo, n_docs, first, n_refs (rows) of references."""
+        each = references.groupBy("hi", "lo", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+        return each.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first"), F.sum("n").alias("n_refs"))
+
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        gone = self._write(doc_ids.select(_id(F.col("doc_id"))).distinct(), "delete")
         before = self.exact()
-        lost = before.join(gone, "doc_id", "left_semi").select("hi", "lo").distinct()
-        lost = lost.join(before.join(gone, "doc_id", "left_anti"), ["hi", "lo"], "left_anti")
+        gone = self._logged("delete", doc_ids.select(_id(F.col("doc_id"))).distinct())
+        touched = self._write(before.join(gone, "doc_id", "left_semi").select("hi", "lo").distinct(), "touched")
+        counts = self._write(self._counted(self.exact().join(touched, ["hi", "lo"], "left_semi")), "counts")
+        lost = touched.join(counts.select("hi", "lo"), ["hi", "lo"], "left_anti")
         if self.filters is not None:
-            self.filters = self._write(self._filtered(lost, _removed, "shard int, data binary"), "filters")
-        self.steps.append(("delete", f"{self.folder}/{len(self.steps):06d}-delete"))
+            self._streamed(self._alone(lost), {}, remove=True)
+            several = counts.where("n_docs > 1").select("hi", "lo", "n_docs", "first")
+            self.shared = self._write(self.shared.join(touched, ["hi", "lo"], "left_anti").unionByName(several), "shared")
+            self.references = self._write(self.references.join(gone, "doc_id", "left_anti"), "references")
         return self
 
     def counts(self) -> DataFrame:
-        """Exact reference counts: hi, lo, n_docs, first (the smallest doc_id)."""
-        return self.exact().distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first"))
+        """Exact reference counts of all keys: hi, lo, n_docs, first (the smallest doc_id)."""
+        return self._counted(self.exact()).drop("n_refs")
 
     def dropped(self) -> DataFrame:
-        """For each document that loses lines: doc_id, keys (array of 16-byte keys as two longs)."""
-        held = self.exact().groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        shared = held.where("first < last").select("hi", "lo", "first")
-        lost = self.exact().join(shared, ["hi", "lo"]).where("doc_id > first")
+        """For each document that loses lines: doc_id, his and los (its keys that an earlier document has)."""
+        if self.shared is None:
+            return self.spark.createDataFrame([], "doc_id long, his array<long>, los array<long>")
+        lost = _store.joined(self.references, self.shared, ["hi", "lo"], "n_docs").where("doc_id > first")
         return lost.groupBy("doc_id").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
 
     def dedup(self, docs: DataFrame, digest: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -250,7 +372,7 @@ class LineIndex:
         joined = own.join(drops, "_doc", "left").select(*inner, "_his", "_los")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
                 texts, lines, drops, kept, stay = batch.column(columns.index("text")), [], [], [], []
                 for text, his, los in zip(texts, batch.column("_his"), batch.column("_los")):
                     parts = bytes(text.as_buffer() or b"").split(b"\n") if text.is_valid else [b""]
@@ -276,20 +398,3 @@ class LineIndex:
             return joined.mapInArrow(lean(run), f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
         return joined.mapInArrow(lean(run), docs.schema)
 
-
-def _words(keys: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return keys["hi"].to_numpy(np.int64).view(np.uint64), keys["lo"].to_numpy(np.int64).view(np.uint64)
-
-
-def _known(shard: int, known: CuckooFilter, keys: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"hi": keys["hi"], "lo": keys["lo"], "maybe": known.contains(*_words(keys))})
-
-
-def _added(shard: int, known: CuckooFilter, keys: pd.DataFrame) -> pd.DataFrame:
-    known.add(*_words(keys))
-    return pd.DataFrame({"shard": [shard], "data": [known.dump()]})
-
-
-def _removed(shard: int, known: CuckooFilter, keys: pd.DataFrame) -> pd.DataFrame:
-    known.remove(*_words(keys))
-    return pd.DataFrame({"shard": [shard], "data": [known.dump()]})

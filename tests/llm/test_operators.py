@@ -120,9 +120,7 @@ URLS = [
 ]
 
 
-@pytest.mark.parametrize("few", [100_000, 0])
-def test_url_filters(spark, monkeypatch, few):
-    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", few)
+def test_url_filters(spark):
     pages = spark.createDataFrame([(i, u, 0, "r") for i, u in enumerate(URLS)] + [(5, URLS[5], 1, "r"), (None, URLS[5], 1, "r")], "page_id long, url string, short int, rule string")
     rules = spark.createDataFrame(urlfilter.RULES + [(None, "/", "block"), ("x", None, "block")], "host string, path string, verdict string")
     expected = collections.Counter((i, *judged(u, urlfilter.RULES)) for i, u in [*enumerate(URLS), (5, URLS[5]), (None, URLS[5])])
@@ -285,13 +283,46 @@ def test_line_dedup_is_reversible(spark, docs, rows):
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     hi, lo = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 1 << 63, 5000).astype(np.uint64)
-    held = linededup.CuckooFilter()
+    held = linededup.CuckooFilter.sized(1000)  # so that further tables are needed
     held.add(hi[:3000], lo[:3000])
     held.add(hi[3000:4000], lo[3000:4000])
     assert held.contains(hi[:4000], lo[:4000]).all() and held.contains(hi[4000:], lo[4000:]).mean() < 0.01
     held.remove(hi[:1000], lo[:1000])
     held = linededup.CuckooFilter.load(held.dump())
-    assert held.contains(hi[1000:4000], lo[1000:4000]).all() and held.contains(hi[:1000], lo[:1000]).mean() < 0.01
+    assert held.contains(hi[1000:4000], lo[1000:4000]).all() and held.contains(hi[:1000], lo[:1000]).mean() < 0.01 and len(held.tables) > 1
+
+
+def test_cuckoo_filter_keeps_what_is_not_removed():
+    """Few rows and marks: many keys share a fingerprint and a place, in several tables."""
+    rng = np.random.default_rng(2)
+    hi, lo = rng.integers(1, 40, 600).astype(np.uint64), rng.integers(0, 1 << 26, 600).astype(np.uint64)
+    held = linededup.CuckooFilter.sized(100)
+    for a in range(0, 600, 50):
+        held.add(hi[a : a + 50], lo[a : a + 50])
+    order = rng.permutation(600)
+    for k in range(0, 600, 20):
+        held.remove(hi[order[k : k + 20]], lo[order[k : k + 20]])
+        assert held.contains(hi[order[k + 20 :]], lo[order[k + 20 :]]).all()
+    assert not any(t.any() for t in held.tables)
+
+
+def test_line_index_against_a_model(spark):
+    """Inserts and deletes in steps, filters that grow and are made anew; against a dict of sets."""
+    rng = random.Random(4)
+    index, model = linededup.LineIndex(spark, shards=2), {}
+    for step, size in enumerate((30, 30, 900, 40)):
+        new = {step * 1000 + i: "\n".join(f"some line number {rng.randrange(3 * size)}" for _ in range(4)) for i in range(size)}
+        model |= new
+        index.insert(spark.createDataFrame(list(new.items()), "doc_id long, text string"))
+        if step in (1, 3):
+            gone = rng.sample(sorted(model), 20)
+            for i in gone:
+                del model[i]
+            index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+        docs = spark.createDataFrame(list(model.items()), "doc_id long, text string")
+        expected = collections.Counter((i, "\n".join(b)) for i, _, _, b in kept_lines(list(model.items())))
+        assert bag(index.dedup(docs), "doc_id", "text") == expected
+        assert {(r.hi, r.lo, r.n_docs, r.first) for r in index.shared.collect()} == {(r.hi, r.lo, r.n_docs, r.first) for r in index.counts().where("n_docs > 1").collect()}
 
 
 # -- 7 -----------------------------------------------------------------------
