@@ -97,6 +97,50 @@ def test_sharding_is_even_with_a_hot_text(spark):
     assert len(sums) == 24 and all(abs(r[1] - mean) <= 0.01 * mean + 30 for r in sizes)
 
 
+@pytest.mark.parametrize("rows", [
+    [(7, "one text")] * 1000,
+    [(None, "one text")] * 100,
+    [(i, f"text {i} " * (i % 9)) for i in range(500)] + [(3, "the same " * 4)] * 500,
+    [(i % 3, "ab" * (i % 5)) for i in range(700)],
+])
+def test_sharding_against_brute_force(spark, rows):
+    """Sizes near equal whatever repeats: no shard is further from the mean than the largest row."""
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sharding.shards(table, 24).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(rows)
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in out:
+        sizes[r.shard] += len(r.text.encode()) + 8
+        slots[r.shard].append(r.slot)
+    mean, most = sum(sizes.values()) / 24, max(len(t.encode()) + 8 for _, t in rows)
+    assert set(sizes) <= set(range(24)) and all(abs(sizes[s] - mean) <= most + 0.01 * mean for s in range(24)), sizes
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_sharding_keeps_clashing_and_map_columns(spark):
+    table = spark.sql("SELECT 1L AS doc_id, 'x' AS text, map('a', id % 7) AS m, id AS _n, 5 AS shard FROM range(300)")
+    out = sharding.shards(table, 6)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "m", "_n", "shard", "slot"])
+    assert sorted((r.m["a"], r._n) for r in out.collect()) == sorted((i % 7, i) for i in range(300))
+    assert {r["count"] for r in out.groupBy("shard").count().collect()} == {50}
+
+
+def test_splitters_against_all_rows(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(40), rng.randrange(3), 0, 10) for _ in range(400)]
+    found = sharding.splitters(spark.createDataFrame(rows, "key long, id long, rest long, size long"), 8, 0.0)
+    ordered = sorted(r[:3] for r in rows)
+    for i, (key, rank, b, n) in enumerate(found):
+        assert n == sum(k < key for k in ordered) + rank and b == 10 * n == 4000 * (i + 1) // 8
+
+
+def test_op1_columns(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "é" * 9), (None, "x"), (3, "é" * 9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in queries.op1_histogram_sharding(spark, f"file://{tmp_path}").collect())
+    assert got == collections.Counter((i, len(raw(t)) + 8, zlib.crc32(raw(t)), "bytes", None) for i, t in rows)
+
+
 # -- 2 -----------------------------------------------------------------------
 
 
