@@ -21,12 +21,20 @@ from . import _store, _text
 from ._text import byte_prefix, lean, ranges, sequence_prefix, slices, span_hash, window_argmin
 
 
+#: Windows of one super-k-mer, whose number has 8 bits in a place.
+MOST_WINDOWS = 255
+
+
 @dataclass(frozen=True)
 class Shape:
     width: int
     gram: int
     words: bool
 
+    def __post_init__(self) -> None:
+        if not 0 < self.gram <= self.width or self.width - self.gram + 1 > MOST_WINDOWS:
+            raise ValueError(f"a super-k-mer has 1 to {MOST_WINDOWS} windows: width - gram must be 0 to {MOST_WINDOWS - 1}")
+
     def units(self, part: _text.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Byte starts and ends of the units, units before each text, and a prefix hash of the units."""
         if self.words:
@@ -58,7 +66,8 @@ class Shape:
 LAST = (1 << 63) - 1
 #: place = first unit << 32 | repeats << 8 | windows
 _MOST_REPEATS = (1 << 24) - 1
-#: Different super-k-mers of one anchor that one task compares; beyond it they are dealt out by window.
+#: Different super-k-mers of one anchor that one task compares (some 15 MB); beyond it they are dealt out by window, and equal
+#: windows meet by their content.
 MOST_CLASSES = 50_000
 #: Bytes of super-k-mers that one comparison takes at once.
 CHUNK_BYTES = 1 << 20
@@ -107,11 +116,10 @@ def shared(docs: DataFrame, shape: Shape, within: bool) -> DataFrame:
     within: whether another place in the same document counts as elsewhere.
     """
     groups = occurrences(docs, shape).groupBy("anchor").agg(
-        F.sum(F.expr(REPEATS)).alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.min("_doc").alias("least"), F.max("_doc").alias("most")
+        F.sum(F.expr(REPEATS)).alias("n"), F.count(F.lit(1)).alias("rows"), F.min("digest").alias("d0"), F.max("digest").alias("d1"), F.min("_doc").alias("least"), F.max("_doc").alias("most")
     )
-    groups = groups.where("n > 1" if within else "least < most").select("anchor", (F.col("d0") != F.col("d1")).alias("multi"), "least")
-    # as a table, so that the join below is of two plain exchanges, which AQE can split where an anchor is hot
-    return _store.cut(occurrences(docs, shape).join(_store.cut(groups), "anchor"))
+    groups = _store.cut(groups.where("n > 1" if within else "least < most").select("anchor", (F.col("d0") != F.col("d1")).alias("multi"), "least", "rows"))
+    return _store.cut(_store.joined(occurrences(docs, shape), groups, ["anchor"], "rows").drop("rows"))
 
 
 def packed(docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
@@ -176,19 +184,22 @@ def compared(strings: DataFrame, work) -> DataFrame:
 
 
 def compared_by_window(strings: DataFrame, shape: Shape, combine) -> DataFrame:
-    """As compared(), for anchors with very many classes: each window is a row, and equal ones meet by hash."""
+    """As compared(), for anchors with very many classes: each window is a row with its content, and equal ones meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "digest", "value", "j", "window"]
         for batch in batches:
             for part in slices(_as_text(batch.column("packed"))):
-                _, _, before, prefix = shape.units(part)
+                starts, ends, before, _ = shape.units(part)
+                raw = part.data.tobytes()
                 sizes = np.diff(before) - shape.width + 1
                 at = ranges(before[:-1], sizes)
                 rows = pa.array(np.repeat(np.arange(part.n), sizes) + part.first)
-                hashes = span_hash(prefix, at, at + shape.width)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("anchor", "digest", "value")), pa.array(ranges(np.zeros_like(sizes), sizes), pa.int32()), pa.array(hashes.view(np.int64))], ["anchor", "digest", "value", "j", "window"])
+                windows = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at + shape.width - 1].tolist())]
+                places = pa.array(ranges(np.zeros_like(sizes), sizes), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in names[:3]), places, pa.array(windows, pa.binary())], names)
 
-    exploded = _store.cut(strings.mapInArrow(lean(run), "anchor long, digest long, value long, j int, window long"))
+    exploded = _store.cut(strings.mapInArrow(lean(run), "anchor long, digest long, value long, j int, window binary"))
     found = exploded.groupBy("anchor", "window").agg(combine.alias("mark"))
     marked = exploded.join(found, ["anchor", "window"]).groupBy("anchor", "digest").agg(F.sort_array(F.collect_list(F.struct("j", "mark"))).alias("m"))
     return marked.select("anchor", "digest", F.col("m.mark").alias("marks"))
@@ -201,9 +212,9 @@ def _as_text(column: pa.Array) -> pa.Array:
 
 
 def resolved(docs: DataFrame, hits: DataFrame, shape: Shape, value, work, combine) -> DataFrame:
-    """hits with several digests under their anchor, and the marks of their windows."""
-    multi = hits.where("multi")
-    classes = _store.cut(multi.groupBy("anchor", "digest").agg(F.min(F.struct("_doc", "_tid", "place")).alias("rep"), value.alias("value")))
+    """hits, and the marks of their windows."""
+    grouped = hits.groupBy("anchor", "digest")
+    classes = _store.cut(grouped.agg(F.min(F.struct("_doc", "_tid", "place")).alias("rep"), value.alias("value"), F.count(F.lit(1)).alias("rows")))
     strings = packed(docs, classes, shape)
     hot = classes.groupBy("anchor").count().where(F.col("count") > MOST_CLASSES).select("anchor")
     if hot.isEmpty():
@@ -212,7 +223,8 @@ def resolved(docs: DataFrame, hits: DataFrame, shape: Shape, value, work, combin
         strings, hot = _store.cut(strings), _store.cut(hot)
         marks = compared(strings.join(hot, "anchor", "left_anti"), work)
         marks = marks.unionByName(compared_by_window(strings.join(hot, "anchor", "left_semi"), shape, combine))
-    return multi.join(_store.cut(marks), ["anchor", "digest"])
+    marks = _store.cut(marks.join(classes.select("anchor", "digest", "rows"), ["anchor", "digest"]))
+    return _store.joined(hits, marks, ["anchor", "digest"], "rows").drop("rows")
 
 
 def removed(docs: DataFrame, spans: DataFrame, shape: Shape, schema: str, work) -> DataFrame:

@@ -59,7 +59,7 @@ def spans(docs: DataFrame, shape: _windows.Shape) -> DataFrame:
     """Flagged windows: _doc, _tid, place, windows (null: all of the super-k-mer's)."""
     hits = _windows.shared(docs, shape, within=False)
     plain = hits.where("not multi and _doc > least").select("_doc", "_tid", "place", F.lit(None).cast("array<int>").alias("windows"))
-    multi = _windows.resolved(docs, hits, shape, F.min("_doc"), first_holders(shape), F.min("value"))
+    multi = _windows.resolved(docs, hits.where("multi"), shape, F.min("_doc"), first_holders(shape), F.min("value"))
     flagged = multi.where("_doc > array_min(marks)").select(
         "_doc", "_tid", "place",
         F.expr("CASE WHEN _doc > array_max(marks) THEN NULL ELSE filter(sequence(0, size(marks) - 1), j -> _doc > marks[j]) END").alias("windows"),

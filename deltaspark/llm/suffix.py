@@ -6,13 +6,13 @@ anywhere else, in the same document or in another one.
 A suffix array of the whole corpus would need several times its size in
 pointers, so suffixes are first dealt to independent parts: a string of WIDTH
 bytes belongs to the part of its minimiser, which equal strings share
-(_windows). Parts whose strings all lie in one and the same super-k-mer are
-settled by counting it. All others are sorted by bucket-pointer refinement: the
+(_windows). Each different super-k-mer of a part comes once, with its number of
+places. Parts are sorted by bucket-pointer refinement: the
 suffixes are put into buckets by their first Q bytes; then, from depth h to
 2 h, each bucket with more than one suffix is refined by sorting on the bucket
 identifiers of the suffixes h bytes later, which earlier rounds have refined
 already; suffixes alone in their bucket leave. At depth WIDTH the members of a
-bucket are the equal strings.
+bucket are the equal strings, and a bucket of more than one place is a repeat.
 
 Defined results: a null text is empty; a document in several equal rows repeats
 itself, so all its strings are repeated; matches never cross documents; an
@@ -86,13 +86,11 @@ def repeats(width: int):
 def spans(docs: DataFrame, shape: _windows.Shape) -> DataFrame:
     """Repeated windows: _doc, _tid, place, windows (null: all of the super-k-mer's)."""
     hits = _windows.shared(docs, shape, within=True)
-    plain = hits.where("not multi").select("_doc", "_tid", "place", F.lit(None).cast("array<int>").alias("windows"))
-    multi = _windows.resolved(docs, hits, shape, F.sum(F.expr(_windows.REPEATS)), repeats(shape.width), F.sum("value"))
-    flagged = multi.where("array_max(marks) > 1").select(
+    marked = _windows.resolved(docs, hits, shape, F.sum(F.expr(_windows.REPEATS)), repeats(shape.width), F.sum("value"))
+    return marked.where("array_max(marks) > 1").select(
         "_doc", "_tid", "place",
         F.expr("CASE WHEN array_min(marks) > 1 THEN NULL ELSE filter(sequence(0, size(marks) - 1), j -> marks[j] > 1) END").alias("windows"),
     )
-    return plain.unionByName(flagged)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, digest: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from deltaspark.llm import decontaminate, jaccard, langid, linededup, media, packing, queries, sharding, substring, suffix, urlfilter
+from deltaspark.llm import _windows, decontaminate, jaccard, langid, linededup, media, packing, queries, sharding, substring, suffix, urlfilter
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -242,6 +242,12 @@ def test_refine_against_slices():
     assert len(set(zip(got.tolist(), content))) == len(set(got.tolist())) == len(set(content))
 
 
+def test_too_many_windows_are_refused():
+    with pytest.raises(ValueError):
+        _windows.Shape(400, 32, False)
+    assert _windows.Shape(286, 32, False).width == 286
+
+
 # -- 5 -----------------------------------------------------------------------
 
 ITEMS = [(1, None), (2, ""), (3, "B c"), (4, "lone")]
