@@ -1,24 +1,24 @@
 """Graph algorithms over edge tables (src, dst: long).
 
-All are loops of joins and aggregations, and none collects the graph. Loops with
-many short rounds work in one task where the graph is counted to have at most
-LOCAL_EDGES edges: there a round costs microseconds instead of a Spark job. Both
-ways give the same results, and tests hold one against the other.
+All are loops of joins and aggregations whose state is a table after each round;
+none collects the graph or works on it in one task.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
+from functools import reduce as fold
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .loops import iterate, seminaive, variables
+from .loops import iterate, seminaive
 
-LOCAL_EDGES = 500_000
+# Surfers that a node starts with and gets in each round, and the share of a node's surfers that move on.
+SURFERS, FRESH = 6_000_000, 1_000_000
+MOVE, OF = 5, 6
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -33,58 +33,15 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).groupBy("deg").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _small(edges: DataFrame, most: int) -> bool:
-    return edges.limit(most + 1).count() <= most
-
-
-def _local(work: Callable, schema: str, left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """work on whole (small) tables as pandas, in one task."""
-    one = left.withColumn("__g", F.lit(0)).groupBy("__g")
-    if right is None:
-        return one.applyInPandas(work, schema)
-    return one.cogroup(right.withColumn("__g", F.lit(0)).groupBy("__g")).applyInPandas(work, schema)
-
-
-def _neighbours(edges: pd.DataFrame) -> dict:
-    out = defaultdict(list)
-    for a, b in zip(edges["src"].tolist(), edges["dst"].tolist()):
-        out[a].append(b)
-    return out
-
-
-def _levels(near: dict, roots) -> dict:
-    dist = dict.fromkeys(roots, 0)
-    level, d = list(dist), 0
-    while level:
-        d += 1
-        new = []
-        for a in level:
-            for b in near.get(a, ()):
-                if b not in dist:
-                    dist[b] = d
-                    new.append(b)
-        level = new
-    return dist
-
-
-def _local_bfs(edges: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
-    dist = _levels(_neighbours(edges), roots["node"].tolist())
-    return pd.DataFrame({"node": list(dist), "dist": list(dist.values())})
-
-
-def reach(edges: DataFrame, roots: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes reached from roots (node)."""
     edges = cut(edges.select("src", "dst").distinct())
-    if _small(edges, local_edges):
-        return _local(_local_bfs, "node long, dist long", edges, roots.select("node")).select("node")
     return seminaive(roots.select("node"), lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node")))
 
 
-def bfs(edges: DataFrame, roots: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def bfs(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, dist: hops from the nearest root."""
     edges = cut(edges.select("src", "dst").distinct())
-    if _small(edges, local_edges):
-        return _local(_local_bfs, "node long, dist long", edges, roots.select("node"))
     seed = roots.select("node", F.lit(0).cast("long").alias("dist"))
     return seminaive(seed, lambda new: new.join(edges, new.node == edges.src).select(F.col("dst").alias("node"), (F.col("dist") + 1).alias("dist")), key=["node"])
 
@@ -101,57 +58,34 @@ def shortest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return iterate(seed, body)
 
 
-def _meet(forth: dict, back: dict, a, b) -> int | None:
-    """Hops from a to b, both ends searching in turn, the smaller frontier first."""
-    seen, fronts, near, depth = [{a}, {b}], [{a}, {b}], [forth, back], 0
-    while not seen[0] & seen[1]:
-        side = 0 if len(fronts[0]) <= len(fronts[1]) else 1
-        fronts[side] = {y for x in fronts[side] for y in near[side].get(x, ())} - seen[side]
-        if not fronts[side]:
-            return None
-        seen[side] |= fronts[side]
-        depth += 1
-    return depth
-
-
-def _local_meetings(edges: pd.DataFrame, goals: pd.DataFrame) -> pd.DataFrame:
-    forth, back = _neighbours(edges), _neighbours(edges.rename(columns={"src": "dst", "dst": "src"}))
-    found = [(a, b, _meet(forth, back, a, b)) for a, b in zip(goals["src"].tolist(), goals["dst"].tolist())]
-    return pd.DataFrame([x for x in found if x[2] is not None], columns=["src", "dst", "hops"])
+def bidijkstra(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """src, dst, hops for the goals (src, dst) that are connected.
 
-
-def bidijkstra(edges: DataFrame, goals: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """src, dst, hops for the goals (src, dst) that are connected; both ends search until they meet."""
+    Both ends search until they meet; each round moves the end whose frontier is smaller, by whole levels,
+    so the first meeting is on a shortest path.
+    """
     edges = cut(edges.select("src", "dst").distinct())
-    if _small(edges, local_edges) and _small(goals, local_edges // 100):
-        return _local(_local_meetings, "src long, dst long, hops long", edges, goals.select("src", "dst").distinct())
-    back = cut(reverse(edges))
-    goals = cut(goals.select("src", "dst").distinct())
-    forth = new_f = cut(goals.select(F.col("src").alias("root"), F.col("src").alias("node")).distinct().withColumn("d", F.lit(0).cast("long")))
-    backs = new_b = cut(goals.select(F.col("dst").alias("root"), F.col("dst").alias("node")).distinct().withColumn("d", F.lit(0).cast("long")))
+    back = reverse(edges)
+    open_goals = cut(goals.select("src", "dst").distinct())
+    start = lambda end: cut(open_goals.select(F.col(end).alias("root"), F.col(end).alias("node")).distinct().withColumn("d", F.lit(0).cast("long")))
+    ends, steps = ("src", "dst"), (edges, back)
+    seen = [start("src"), start("dst")]
+    fronts = list(seen)
     found = None
-    turn = 0
-    open_goals = goals
     while True:
-        f = forth.select(F.col("root").alias("src"), "node", F.col("d").alias("df"))
-        b = backs.select(F.col("root").alias("dst"), "node", F.col("d").alias("db"))
-        met = open_goals.join(f, "src").join(b, ["dst", "node"]).groupBy("src", "dst").agg(F.min(F.col("df") + F.col("db")).alias("hops"))
-        met = cut(met)
+        f = seen[0].select(F.col("root").alias("src"), "node", F.col("d").alias("df"))
+        b = seen[1].select(F.col("root").alias("dst"), "node", F.col("d").alias("db"))
+        met = cut(open_goals.join(f, "src").join(b, ["dst", "node"]).groupBy("src", "dst").agg(F.min(F.col("df") + F.col("db")).alias("hops")))
         found = met if found is None else cut(found.unionByName(met))
         open_goals = cut(open_goals.join(met, ["src", "dst"], "left_anti"))
-        if open_goals.isEmpty() or new_f.isEmpty() and turn == 0 or new_b.isEmpty() and turn == 1:
+        sizes = [x.count() for x in fronts]
+        if open_goals.isEmpty() or 0 in sizes:  # an end that can't go on has seen all it can reach
             return found
-        if turn == 0:
-            live = new_f.join(open_goals.select(F.col("src").alias("root")).distinct(), "root", "left_semi")
-            step = live.join(edges, live.node == edges.src).select("root", F.col("dst").alias("node"), (F.col("d") + 1).alias("d")).distinct()
-            new_f = cut(step.join(forth, ["root", "node"], "left_anti"))
-            forth = cut(forth.unionByName(new_f))
-        else:
-            live = new_b.join(open_goals.select(F.col("dst").alias("root")).distinct(), "root", "left_semi")
-            step = live.join(back, live.node == back.src).select("root", F.col("dst").alias("node"), (F.col("d") + 1).alias("d")).distinct()
-            new_b = cut(step.join(backs, ["root", "node"], "left_anti"))
-            backs = cut(backs.unionByName(new_b))
-        turn = 1 - turn
+        i = sizes.index(min(sizes))
+        live = fronts[i].join(open_goals.select(F.col(ends[i]).alias("root")).distinct(), "root", "left_semi")
+        moved = live.join(steps[i], live.node == steps[i].src).select("root", F.col("dst").alias("node"), (F.col("d") + 1).alias("d")).distinct()
+        fronts[i] = cut(moved.join(seen[i], ["root", "node"], "left_anti"))
+        seen[i] = cut(seen[i].unionByName(fronts[i]))
 
 
 def propagate(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,61 +135,40 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
-    out = _neighbours(edges)
-    index, low, comp, stack = {}, {}, {}, []
-    for start in list(out):
-        if start in index:
-            continue
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        work = [(start, iter(out[start]))]
-        while work:
-            node, rest = work[-1]
-            for other in rest:
-                if other not in index:
-                    index[other] = low[other] = len(index)
-                    stack.append(other)
-                    work.append((other, iter(out.get(other, ()))))
-                    break
-                if other not in comp:
-                    low[node] = min(low[node], index[other])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == index[node]:
-                    while True:
-                        x = stack.pop()
-                        comp[x] = node
-                        if x == node:
-                            break
-    keep = [comp[a] == comp[b] for a, b in zip(edges["src"].tolist(), edges["dst"].tolist())]
-    return edges[keep]
-
-
-def strongly_connected(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """The edges whose ends lie in one strongly connected component.
-
-    Rounds of trimming: smallest labels travel along the edges, and edges whose
-    ends disagree go; then the same against the edges; until no edge goes.
-    """
-    edges = cut(edges.select("src", "dst").distinct())
-    if _small(edges, local_edges):
-        return _local(lambda x: _tarjan(x[["src", "dst"]]), "src long, dst long", edges)
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges at nodes that no edge enters or none leaves, over and over."""
     size = edges.count()
     while True:
-        for _ in range(2):
-            nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-            labels = propagate(edges, nodes.select("node", F.col("node").alias("label")))
-            left, right = labels.select(F.col("node").alias("src"), F.col("label").alias("a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-            edges = cut(edges.join(left, "src").join(right, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        ends, starts = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = cut(edges.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
         now = edges.count()
-        if now == size:
+        if now in (0, size):
             return edges
         size = now
 
 
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """The edges whose ends lie in one strongly connected component.
+
+    Each round trims, lets smallest labels travel along the edges, and searches backwards from every node that
+    kept its own label among the nodes of that label: what it finds is its component. All labels
+    work at once; edges of found components are settled, those between different labels go.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    done = [edges.where("src = dst")]
+    live = _trimmed(edges.where("src <> dst"))
+    while not live.isEmpty():
+        nodes = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+        labels = propagate(live, nodes.select("node", F.col("node").alias("label")))
+        left, right = labels.select(F.col("node").alias("src"), F.col("label").alias("a")), labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        same = cut(live.join(left, "src").join(right, "dst").where("a = b").select("src", "dst"))
+        found = reach(reverse(same), labels.where("node = label").select("node"))
+        starts, ends = found.select(F.col("node").alias("src")), found.select(F.col("node").alias("dst"))
+        done.append(cut(same.join(starts, "src", "left_semi").join(ends, "dst", "left_semi").select("src", "dst")))
+        live = _trimmed(same.join(starts, "src", "left_anti").join(ends, "dst", "left_anti").select("src", "dst"))
+    return fold(DataFrame.unionByName, done)
+
+
 def kcore(edges: DataFrame, k: int) -> DataFrame:
     """The edges of the largest part in which every node has at least k distinct neighbours (undirected)."""
     edges = cut(symmetric(edges).where("src <> dst"))
@@ -270,7 +183,7 @@ def kcore(edges: DataFrame, k: int) -> DataFrame:
         size = now
 
 
-def pagerank(edges: DataFrame, rounds: int, surfers: int = 6_000_000, fresh: int = 1_000_000) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int, surfers: int = SURFERS, fresh: int = FRESH) -> DataFrame:
     """node, rank in whole surfers: each round five sixths of a node's surfers spread evenly over its edges.
 
     A node starts with `surfers` and gets `fresh` new ones a round; fractions are cut off.
@@ -281,7 +194,7 @@ def pagerank(edges: DataFrame, rounds: int, surfers: int = 6_000_000, fresh: int
     spread = cut(edges.join(degree, "src"))
 
     def body(state: DataFrame) -> DataFrame:
-        moved = spread.join(state, spread.src == state.node).select(F.col("dst").alias("node"), F.expr("5 * rank div (6 * deg)").alias("rank"))
+        moved = spread.join(state, spread.src == state.node).select(F.col("dst").alias("node"), F.expr(f"{MOVE} * rank div ({OF} * deg)").alias("rank"))
         return moved.unionByName(nodes.withColumn("rank", F.lit(fresh).cast("long"))).groupBy("node").agg(F.sum("rank").alias("rank"))
 
     return iterate(nodes.withColumn("rank", F.lit(surfers).cast("long")), body, rounds)
@@ -335,83 +248,53 @@ def attend(organisers: DataFrame, friends: DataFrame, least: int = 3) -> DataFra
     return iterate(organisers, body)
 
 
-def _local_matching(proposals: pd.DataFrame) -> pd.DataFrame:
-    wishes = {a: part[["right", "rpref"]].values.tolist() for a, part in proposals.sort_values(["left", "lpref", "right"]).groupby("left")}
-    at, held, free = dict.fromkeys(wishes, 0), {}, list(wishes)
-    while free:
-        a = free.pop()
-        if at[a] == len(wishes[a]):
-            continue
-        right, pref = wishes[a][at[a]]
-        at[a] += 1
-        if right not in held or (pref, a) < held[right]:
-            if right in held:
-                free.append(held[right][1])
-            held[right] = (pref, a)
-        else:
-            free.append(a)
-    return pd.DataFrame([(a, right) for right, (_, a) in held.items()], columns=["left", "right"])
-
-
-def stable_matching(proposals: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def stable_matching(proposals: DataFrame) -> DataFrame:
     """left, right of a stable matching; proposals: left, lpref, right, rpref (smaller is better, both sides strict).
 
     Every left proposes to its best right that hasn't turned it down; a right
     turns down all but the best. All move at once, so rounds are few.
     """
-    proposals = cut(proposals)
-    if _small(proposals, local_edges):
-        return _local(_local_matching, "left long, right long", proposals)
-    schema = proposals.select("left", "right")
-
-    def body(state: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        refused = state["refused"]
-        live = proposals.join(refused, ["left", "right"], "left_anti")
-        best = live.groupBy("left").agg(F.min(F.struct("lpref", "right", "rpref")).alias("p")).select("left", "p.right", "p.rpref")
+    live = cut(proposals.select("left", "lpref", "right", "rpref"))
+    while True:
+        best = cut(live.groupBy("left").agg(F.min(F.struct("lpref", "right", "rpref")).alias("p")).select("left", "p.right", "p.rpref"))
         kept = best.groupBy("right").agg(F.min(F.struct("rpref", "left")).alias("k")).select("right", F.col("k.left").alias("left"))
-        return {"refused": refused.unionByName(best.join(kept, ["left", "right"], "left_anti").select("left", "right")).distinct()}
+        refused = cut(best.join(kept, ["left", "right"], "left_anti").select("left", "right"))
+        if refused.isEmpty():
+            return best.select("left", "right")
+        live = cut(live.join(refused, ["left", "right"], "left_anti"))
 
-    refused = variables({"refused": schema.limit(0)}, body)["refused"]
-    live = proposals.join(refused, ["left", "right"], "left_anti")
-    best = live.groupBy("left").agg(F.min(F.struct("lpref", "right")).alias("p")).select("left", "p.right")
-    return best
 
-
-def sequence(edges: DataFrame, logic: Callable[[int, dict], int], local_edges: int = LOCAL_EDGES) -> DataFrame:
+def sequence(edges: DataFrame, logic: Callable[[int, dict], int]) -> DataFrame:
     """node, value: logic(node, values of smaller neighbours) for all nodes in order.
 
     Each node waits for its smaller neighbours, so a round settles all nodes
-    whose smaller neighbours are settled.
+    whose smaller neighbours are settled: as many rounds as the longest ascending path has nodes.
     """
-    edges = cut(symmetric(edges).where("src <> dst"))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        known: dict = {}
-        near = defaultdict(list)
-        for a, b in zip(group["src"].tolist(), group["dst"].tolist()):
-            near[a].append(b)
-        for node in sorted(near):
-            known[node] = logic(node, {x: known[x] for x in near[node] if x < node})
-        return pd.DataFrame({"node": list(known), "value": list(known.values())})
-
-    if _small(edges, local_edges):
-        return _local(settle, "node long, value long", edges)
+    both = cut(symmetric(edges).where("src <> dst"))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
+        known = group.dropna(subset=["other"])
         node = int(group["src"].iloc[0])
-        return pd.DataFrame({"node": [node], "value": [logic(node, dict(zip(group["other"].dropna().astype(int), group["value"].dropna().astype(int))))]})
-
-    done = cut(edges.sparkSession.createDataFrame([], "node long, value long"))
-    waits = cut(edges.select("src", F.when(F.col("dst") < F.col("src"), F.col("dst")).alias("other")).distinct())
-    waits = cut(waits.where("other is not null").unionByName(waits.groupBy("src").agg(F.max("other").alias("other")).where("other is null")))
+        return pd.DataFrame({"node": [node], "value": [logic(node, dict(zip(known["other"].astype(int), known["value"].astype(int))))]})
+
+    # each edge to a smaller neighbour; values are filled in as they become known
+    waits = both.groupBy("src").agg(F.count_if(F.col("dst") < F.col("src")).alias("open"))
+    ready = cut(waits.where("open = 0").select("src"))
+    new = cut(ready.select("src", F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("value")).groupBy("src").applyInPandas(one, "node long, value long"))
+    waits = cut(waits.where("open > 0"))
+    down = both.where("dst < src").select("src", F.col("dst").alias("other"))
+    parts = [new]
     while not waits.isEmpty():
-        met = waits.join(done.select(F.col("node").alias("other"), "value"), "other", "left").select("src", "other", "value")
-        blocked = met.where("other is not null and value is null").select("src").distinct()
-        ready = met.join(blocked, "src", "left_anti")
-        new = cut(ready.groupBy("src").applyInPandas(one, "node long, value long"))
-        done = cut(done.unionByName(new))
-        waits = cut(waits.join(new.select(F.col("node").alias("src")), "src", "left_anti"))
-    return done
+        told = down.join(new.select(F.col("node").alias("other")), "other").groupBy("src").agg(F.count(F.lit(1)).alias("told"))
+        waits = cut(waits.join(told, "src", "left").select("src", (F.col("open") - F.coalesce("told", F.lit(0))).alias("open")))
+        ready = waits.where("open = 0").select("src")
+        known = fold(DataFrame.unionByName, parts).select(F.col("node").alias("other"), "value")
+        new = cut(down.join(ready, "src", "left_semi").join(known, "other").select("src", "other", "value").groupBy("src").applyInPandas(one, "node long, value long"))
+        waits = waits.where("open > 0")
+        parts.append(new)
+        if len(parts) > 8:
+            parts = [cut(fold(DataFrame.unionByName, parts))]
+    return fold(DataFrame.unionByName, parts)
 
 
 def least_free(node: int, others: dict) -> int:

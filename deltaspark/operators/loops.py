@@ -1,9 +1,8 @@
 """Fixpoint loops driven from the driver.
 
 State is a table in the shared folder after every round, so plans don't grow
-and a lost executor costs at most one round. Loops compare row counts, which
-consolidated set-valued states make exact for monotone bodies; other bodies
-are compared by content.
+and a lost executor costs at most one round. Semi-naive loops end when a round
+brings nothing new, others when the content is that of the round before.
 """
 
 from __future__ import annotations
@@ -53,18 +52,23 @@ def seminaive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: i
     raise NotConverged(f"no fixpoint after {rounds} rounds")
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def _mark(df: DataFrame) -> tuple:
+    """The number of rows and two sums of 64-bit hashes of them: multisets that differ in content differ here."""
+    sums = [F.sum(F.xxhash64(F.lit(i), *df.columns).cast("decimal(38,0)")) for i in (1, 2)]
+    return tuple(df.agg(F.count(F.lit(1)), *sums).first())
 
 
 def iterate(source: DataFrame, body: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> DataFrame:
     """x0 = source; x(i+1) = body(x(i)), to a fixpoint or for exactly `rounds` rounds."""
     state = cut(source)
+    old = None if rounds is not None else _mark(state)
     for _ in range(rounds if rounds is not None else MOST_ROUNDS):
-        new = cut(body(state).select(*source.columns))
-        if rounds is None and _same(new, state):
-            return new
-        state = new
+        state = cut(body(state).select(*source.columns))
+        if rounds is None:
+            new = _mark(state)
+            if new == old:
+                return state
+            old = new
     if rounds is None:
         raise NotConverged("no fixpoint")
     return state
@@ -73,10 +77,12 @@ def iterate(source: DataFrame, body: Callable[[DataFrame], DataFrame], rounds: i
 def variables(start: dict[str, DataFrame], body: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], rounds: int = MOST_ROUNDS) -> dict[str, DataFrame]:
     """Mutual recursion: all variables are replaced at once by what body makes of the last round's."""
     state = {k: cut(v) for k, v in start.items()}
+    old = {k: _mark(v) for k, v in state.items()}
     for _ in range(rounds):
         made = body(state)
-        new = {k: cut(made[k].select(*v.columns)) for k, v in state.items()}
-        if all(_same(new[k], state[k]) for k in state):
-            return new
-        state = new
+        state = {k: cut(made[k].select(*v.columns)) for k, v in state.items()}
+        new = {k: _mark(v) for k, v in state.items()}
+        if new == old:
+            return state
+        old = new
     raise NotConverged(f"no fixpoint after {rounds} rounds")

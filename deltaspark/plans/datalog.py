@@ -94,7 +94,9 @@ def _fire(rule: Rule, tables: list[DataFrame]) -> DataFrame:
         own = _bound(df, atom)
         shared = sorted(bound & atom.variables)
         if atom.negated:
-            out = out.join(own, shared, "left_anti") if shared else out
+            if not shared:  # it speaks about the relation as a whole: one row of it refutes all
+                out, own, shared = out.withColumn("__all", F.lit(1)), own.select(F.lit(1).alias("__all")).limit(1), ["__all"]
+            out = out.join(own, shared, "left_anti").drop("__all")
         elif out is None:
             out = own
         elif shared:

@@ -5,17 +5,21 @@ until nothing changes; a child scope starts afresh in each round of its parent.
 Rows delayed by enter_at show from their round on, and where nothing changes
 but rows are still due, the round number jumps to the next of them.
 
-Programs run on DataFrames whose rows are arrays of integers. A round there is
-some Spark jobs, so inputs that are counted to have at most LOCAL_ROWS rows run
-in memory instead, which also knows lists and tagged values. Both follow the
-same tree with the same rules.
+Programs run on DataFrames, whatever the size of their inputs. Rows are arrays of
+integers and all work is Spark's own, unless the program makes tuples, lists or
+tagged values: then keys and values are byte strings that sort like what they
+encode, joins and reductions work on these, and scalar terms are evaluated in
+Arrow batches. Memory holds collections in dicts; it is the plain form that tests
+compare the others with, and serves callers that ask for it.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +29,6 @@ from ...storage import cut
 from .parser import parse
 from .tree import Many, Node, Scope, Term, Variant, order, sources
 
-LOCAL_ROWS = 100_000
 MOST_ROUNDS = 100_000
 # Fixed value: where the hash of a sequence of numbers starts.
 HASH_START = 0xCBF29CE484222325
@@ -62,7 +65,7 @@ def _eval(term: Term, rows: tuple, bound: tuple = ()):
         out = x + y if op == "+" else x - y if op == "-" else x * y
         return (out + (1 << 63)) % (1 << 64) - (1 << 63)
     if op == "neg":
-        return -go(a[0])
+        return (-go(a[0]) + (1 << 63)) % (1 << 64) - (1 << 63)
     if op in ("==", "!=", "<", "<=", ">", ">="):
         x, y = order(go(a[0])), order(go(a[1]))
         return int({"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op])
@@ -130,6 +133,13 @@ class Memory:
 
     empty: dict = {}
 
+    def __init__(self, spark: SparkSession | None = None):
+        self.spark = spark
+
+    def export(self, rows: dict) -> DataFrame:
+        made = [(_flat(k), _flat(v), w) for (k, v), w in sorted(rows.items(), key=lambda x: order(x[0]))]
+        return self.spark.createDataFrame(made, f"key array<long>, val array<long>, {W} long")
+
     def load(self, df: DataFrame) -> dict:
         out: dict = defaultdict(int)
         for key, value, weight in df.select("key", "val", W).collect():
@@ -226,9 +236,9 @@ class Frames:
         if op == "at" and a[0].op == "row" and a[1].op == "int":
             return F.col(rows[a[0].args[0]])[a[1].args[0]]
         if op in ("+", "-", "*"):
-            return {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[op](go(a[0]), go(a[1]))
+            return _wrapped(op, go(a[0]), go(a[1]))
         if op == "neg":
-            return -go(a[0])
+            return _wrapped("-", F.lit(0).cast("long"), go(a[0]))
         if op in ("==", "!=", "<", "<=", ">", ">="):
             x, y = (F.col(rows[t.args[0]]) if t.op == "row" else go(t) for t in a)
             return {"==": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op].cast("long")
@@ -243,7 +253,7 @@ class Frames:
             return (go(a[0]) == 0).cast("long")
         if op == "if":
             return F.when(go(a[0]) != 0, go(a[1])).otherwise(go(a[2]))
-        raise ProgramError(f"{op} needs values that tables of integers can't hold; such programs run in memory only")
+        raise ProgramError(f"{op} needs values that arrays of integers can't hold")
 
     def _made(self, terms: tuple, rows: tuple) -> Column:
         parts = [F.col(rows[t.args[0]]) if t.op == "row" else F.array(self._scalar(t, rows)) for t in terms]
@@ -256,9 +266,6 @@ class Frames:
     def filter(self, df, term):
         return df.where(self._scalar(term, ("key", "val")) != 0)
 
-    def flatmap(self, df, term):
-        raise ProgramError("lists run in memory only")
-
     def negate(self, df):
         return df.withColumn(W, -F.col(W))
 
@@ -283,12 +290,14 @@ class Frames:
         if kind == "count":
             total = df.groupBy("key").agg(F.sum(W).alias("n")).where("n > 0")
             return total.select("key", F.array("n").alias("val"), one)
-        raise ProgramError("lists run in memory only")
+        raise ProgramError(f"{kind} isn't supported")
 
-    def entered(self, df, term, now):
+    def _due(self, df, term):
         number = self._scalar(term, ("key", "val"))
-        due = F.when(number < 0, 256 * 64).when(number == 0, 0).otherwise(256 * F.length(F.bin(number))).cast("long")
-        marked = df.withColumn("__due", due)
+        return df.withColumn("__due", F.when(number < 0, 256 * 64).when(number == 0, 0).otherwise(256 * F.length(F.bin(number))).cast("long"))
+
+    def entered(self, df, term, now):
+        marked = self._due(df, term)
         later = marked.where(F.col("__due") > now).agg(F.min("__due")).first()[0]
         return marked.where(F.col("__due") <= now).drop("__due"), later
 
@@ -299,7 +308,161 @@ class Frames:
         return cut(self._summed(df))
 
     def same(self, a, b):
-        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        """Kept collections have each row once, so their number and two sums of hashes tell them apart."""
+        return self._mark(a) == self._mark(b)
+
+    def _mark(self, df):
+        sums = [F.sum(F.xxhash64("key", "val", W, F.lit(i)).cast("decimal(38,0)")) for i in (1, 2)]
+        return tuple(df.agg(F.count(F.lit(1)), *sums).first())
+
+    def export(self, df):
+        return self.keep(df)
+
+
+def _wrapped(op: str, x: Column, y: Column) -> Column:
+    """x op y modulo 2**64, as memory has it; plain unless it overflows."""
+    plain = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y)
+    a, b = x.cast("decimal(19,0)"), y.cast("decimal(19,0)")
+    whole = ({"+": a + b, "-": a - b, "*": a * b}[op]).cast("decimal(38,0)")
+    half, span = F.lit(str(1 << 63)).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")
+    return F.coalesce(plain, (F.pmod(whole, span) - F.when(F.pmod(whole, span) >= half, span).otherwise(F.lit(0).cast("decimal(38,0)"))).cast("long"))
+
+
+# -- values as byte strings that sort like them ---------------------------------
+
+_INT, _TUPLE, _VARIANT, _MANY, _END = b"\x01", b"\x02", b"\x03", b"\x04", b"\x00"
+
+
+def _number(x: int) -> bytes:
+    return (x + (1 << 63)).to_bytes(8, "big")
+
+
+def encode(value) -> bytes:
+    """Ordered as order() orders values: integers, tuples, tagged values, lists."""
+    if isinstance(value, int):
+        return _INT + _number(value)
+    if isinstance(value, Variant):
+        return _VARIANT + _number(value[0]) + encode(value[1])
+    return (_MANY if isinstance(value, Many) else _TUPLE) + encode_row(value) + _END
+
+
+def encode_row(row: tuple) -> bytes:
+    return b"".join(encode(x) for x in row)
+
+
+def _decode(data: bytes, at: int) -> tuple:
+    kind = data[at : at + 1]
+    if kind in (_INT, _VARIANT):
+        number = int.from_bytes(data[at + 1 : at + 9], "big") - (1 << 63)
+        if kind == _INT:
+            return number, at + 9
+        payload, at = _decode(data, at + 9)
+        return Variant((number, payload)), at
+    found, at = [], at + 1
+    while data[at : at + 1] != _END:
+        value, at = _decode(data, at)
+        found.append(value)
+    return (Many if kind == _MANY else tuple)(found), at + 1
+
+
+def decode_row(data: bytes) -> tuple:
+    found, at = [], 0
+    while at < len(data):
+        value, at = _decode(data, at)
+        found.append(value)
+    return tuple(found)
+
+
+class Values(Frames):
+    """Collections as DataFrames key, val (encoded rows), __w; terms are evaluated in Arrow batches."""
+
+    _SCHEMA = f"key binary, val binary, {W} long"
+
+    def __init__(self, spark: SparkSession):
+        self.empty = spark.createDataFrame([], self._SCHEMA)
+
+    def _each(self, df: DataFrame, work: Callable, schema: str = _SCHEMA) -> DataFrame:
+        """work(row as Python values) -> rows; for every row of df."""
+        names = [x.split()[0] for x in schema.split(", ")]
+        kinds = [{"binary": pa.binary(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}[x.split()[1]] for x in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [out for row in zip(*(c.to_pylist() for c in batch.columns)) for out in work(*row)]
+                columns = list(zip(*made)) if made else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        return df.mapInArrow(run, schema)
+
+    def load(self, df):
+        return self._each(df.select("key", "val", W), lambda k, v, w: [(encode_row(k), encode_row(v), w)])
+
+    def map(self, df, made):
+        def work(k, v, w):
+            rows = (decode_row(k), decode_row(v))
+            return [(encode_row(_made(made[0], rows)), encode_row(_made(made[1], rows)), w)]
+
+        return self._each(df, work)
+
+    def filter(self, df, term):
+        return self._each(df, lambda k, v, w: [(k, v, w)] if _true(_eval(term, (decode_row(k), decode_row(v)))) else [])
+
+    def flatmap(self, df, term):
+        return self._each(df, lambda k, v, w: [(k, encode_row((i, x)), w) for i, x in enumerate(_eval(term, (decode_row(k), decode_row(v))))])
+
+    def join(self, left, right, made):
+        met = left.join(right.select("key", F.col("val").alias("val2"), F.col(W).alias("w2")), "key")
+
+        def work(k, v, v2, w):
+            rows = (decode_row(k), decode_row(v), decode_row(v2))
+            return [(encode_row(_made(made[0], rows)), encode_row(_made(made[1], rows)), w)]
+
+        return self._each(met.select("key", "val", "val2", (F.col(W) * F.col("w2")).alias(W)), work)
+
+    def reduce(self, df, kind):
+        one = F.lit(1).cast("long").alias(W)
+        if kind in ("min", "distinct"):
+            kept = self._summed(df).groupBy("key").agg(F.min("val").alias("val"))
+            return kept.select("key", "val" if kind == "min" else F.lit(b"").alias("val"), one)
+        if kind == "count":
+            total = df.groupBy("key").agg(F.sum(W).alias("n")).where("n > 0")
+            return self._each(total, lambda k, n: [(k, encode(n), 1)])
+        if kind == "collect":
+            listed = self._summed(df).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("val", W))).alias("all"))
+            return self._each(listed, lambda k, some: [(k, _MANY + b"".join((_TUPLE + x["val"] + _END) * max(x[W], 0) for x in some) + _END, 1)])
+        raise ProgramError(f"{kind} isn't supported")
+
+    def _due(self, df, term):
+        return self._each(df, lambda k, v, w: [(k, v, w, delay(_eval(term, (decode_row(k), decode_row(v)))))], f"{self._SCHEMA}, __due long")
+
+    def numbered(self, df, now):
+        return df.select("key", F.concat("val", F.lit(encode(now))).alias("val"), W)
+
+    def export(self, df):
+        return cut(self._each(self._summed(df), lambda k, v, w: [(_flat(decode_row(k)), _flat(decode_row(v)), w)], f"key array<long>, val array<long>, {W} long"))
+
+
+def _plain(scope: Scope) -> bool:
+    """Whether a program only makes rows of integers, in terms that Frames knows."""
+
+    def term(t) -> bool:
+        if t.op == "at":
+            return t.args[0].op == "row" and t.args[1].op == "int"
+        if t.op in ("==", "!=", "<", "<=", ">", ">="):
+            return all(x.op == "row" or term(x) for x in t.args)
+        return t.op == "int" or t.op in ("+", "-", "*", "neg", "and", "or", "not", "if") and all(term(x) for x in t.args)
+
+    def node(n: Node) -> bool:
+        if n.op == "flatmap" or n.op == "reduce" and n.extra == "collect":
+            return False
+        if n.op in ("map", "join"):
+            own = all(t.op == "row" or term(t) for part in n.extra for t in part)
+        else:
+            own = n.op not in ("filter", "enter_at") or term(n.extra)
+        return own and all(node(x) for x in n.inputs)
+
+    nodes = [*scope.lets.values(), *scope.vars.values(), *scope.exports.values()]
+    return all(node(n) for n in nodes) and all(_plain(c) for c in scope.children.values())
 
 
 class _Scoped:
@@ -410,10 +573,11 @@ def fixpoint(scope: Scope, backend, parent: _Scoped | None, inputs: Mapping) ->
     raise ProgramError("no fixpoint")
 
 
-def evaluate(program: str | Scope, inputs: Mapping[int | str, DataFrame], local_rows: int = LOCAL_ROWS) -> dict[str, DataFrame]:
+def evaluate(program: str | Scope, inputs: Mapping[int | str, DataFrame], memory: bool = False) -> dict[str, DataFrame]:
     """The exports of a program: DataFrames key, val (arrays of longs), __w, consolidated.
 
-    inputs: for each position or imported name a DataFrame of the same kind (see rows()).
+    inputs: for each position or imported name a DataFrame of the same kind (see rows()). memory:
+    works on dicts in the driver, for small inputs.
     """
     scope = parse(program) if isinstance(program, str) else program
     positions, names = sources(scope)
@@ -422,19 +586,16 @@ def evaluate(program: str | Scope, inputs: Mapping[int | str, DataFrame], local_
         raise ProgramError(f"missing inputs: {sorted(map(str, missing))}")
     used = {k: v for k, v in inputs.items() if k in positions | names}
     spark = next(iter(inputs.values())).sparkSession
-    small = all(df.limit(local_rows + 1).count() <= local_rows for df in used.values())
-    backend = Memory() if small else Frames(spark)
-    loaded = {k: backend.keep(backend.load(df)) for k, df in used.items()}
-    root = fixpoint(scope, backend, None, loaded)
-    out = {}
-    for name, node in scope.exports.items():
-        value = root.value(node)
-        if small:
-            value = spark.createDataFrame([(_flat(k), _flat(v), w) for (k, v), w in sorted(value.items(), key=lambda x: order(x[0]))], f"key array<long>, val array<long>, {W} long")
-        else:
-            value = backend.keep(value)
-        out[name] = value
-    return out
+    backend = Memory(spark) if memory else Frames(spark) if _plain(scope) else Values(spark)
+    try:
+        loaded = {k: backend.keep(backend.load(df)) for k, df in used.items()}
+        root = fixpoint(scope, backend, None, loaded)
+        return {name: backend.export(root.value(node)) for name, node in scope.exports.items()}
+    except PySparkException as e:
+        told = str(e)
+        if "ProgramError" in told or "INVALID_ARRAY_INDEX" in told:  # raised by a row, in an executor
+            raise ProgramError(next((x for x in told.splitlines() if "ProgramError" in x or "INVALID_ARRAY_INDEX" in x), told)) from e
+        raise
 
 
 def _flat(row: tuple) -> list:

@@ -1,11 +1,14 @@
 """Incremental maintenance, one epoch at a time.
 
-A maintained operator keeps its inputs' consolidated contents as a table for
-each epoch and turns an epoch's input changes into its output changes. Linear
-operators need no state. A join's change is dA * B + A' * dB (A' being A with
-its change); a reduction is redone for the keys that changed, before and after.
-Epoch tables are written under the epoch's number, so an epoch that is tried
-again after a failure replaces what the failed try left.
+A maintained operator keeps its inputs' changes as a table for each epoch, and
+every COMPACT_EVERY epochs their sum. It turns an epoch's input changes into its
+output changes. Linear operators need no state. A join's change is
+dA * B + A' * dB (A' being A with its change); a reduction is redone for the keys
+that changed, before and after.
+
+The state before an epoch is what the folder has of earlier epochs, so an epoch
+that is tried again gives the same result, and a new process goes on where the
+last one ended. A table counts once Spark has marked it as complete.
 """
 
 from __future__ import annotations
@@ -18,24 +21,43 @@ from pyspark.sql import functions as F
 from ..collection import W, Collection
 
 
+#: Epochs whose changes are added up at a time.
+COMPACT_EVERY = 16
+
+
 class State:
-    """A collection's contents after each epoch, in a shared folder."""
+    """A collection's history in a shared folder: a table of changes for each epoch, and sums of all up to some epochs."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder, schema
-        self.epoch: int | None = None
 
-    def read(self) -> Collection:
-        if self.epoch is None:
-            return Collection(self.spark.createDataFrame([], f"{self.schema}, {W} long"))
-        return Collection(self.spark.read.parquet(f"{self.folder}/epoch={self.epoch}"))
+    def _complete(self, kind: str) -> list[int]:
+        """The epochs of the complete tables of a kind, in order."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(int(str(f.getPath().getParent().getName()).partition("=")[2]) for f in found)
+
+    def before(self, epoch: int) -> Collection:
+        """The contents just before an epoch, not consolidated."""
+        schema = f"{self.schema}, {W} long"
+        base = max((e for e in self._complete("sum") if e < epoch), default=None)
+        paths = [f"{self.folder}/sum={base}"] if base is not None else []
+        paths += [f"{self.folder}/epoch={e}" for e in self._complete("epoch") if e < epoch and (base is None or e > base)]
+        if not paths:
+            return Collection(self.spark.createDataFrame([], schema))
+        return Collection(self.spark.read.schema(schema).parquet(*paths))
 
     def advance(self, epoch: int, change: Collection) -> Collection:
-        """Adds an epoch's change; returns the contents after it."""
-        new = self.read().concat(change).consolidate()
-        new.df.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
-        self.epoch = epoch
-        return self.read()
+        """Keeps an epoch's change; returns the contents after it, not consolidated."""
+        old = self.before(epoch)
+        names = [x.split()[0] for x in self.schema.split(", ")]
+        change.consolidate().df.select(*names, W).write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+        after = self.before(epoch + 1)
+        base = max((e for e in self._complete("sum") if e < epoch), default=None)
+        if len([e for e in self._complete("epoch") if e <= epoch and (base is None or e > base)]) >= COMPACT_EVERY:
+            old.concat(Collection(self.spark.read.parquet(f"{self.folder}/epoch={epoch}"))).consolidate().df.select(*names, W).write.mode("overwrite").parquet(f"{self.folder}/sum={epoch}")
+        return after
 
 
 class Join:
@@ -45,7 +67,7 @@ class Join:
 
     def step(self, epoch: int, left: Collection, right: Collection) -> Collection:
         """The change of the join by changes of both sides."""
-        old_right = self.right.read()
+        old_right = self.right.before(epoch)
         new_left = self.left.advance(epoch, left)
         out = left.join(old_right, self.on).concat(new_left.join(right, self.on))
         self.right.advance(epoch, right)
@@ -60,7 +82,7 @@ class Reduce:
 
     def step(self, epoch: int, change: Collection) -> Collection:
         touched = Collection.of(change.df.select(*self.keys).distinct(), True)
-        before = self.reduction(self.state.read().semijoin(touched, self.keys))
+        before = self.reduction(self.state.before(epoch).semijoin(touched, self.keys))
         after = self.reduction(self.state.advance(epoch, change).semijoin(touched, self.keys))
         return after.subtract(before).consolidate()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,22 +36,44 @@ def test_identities(numbers):
         numbers.assert_empty()
 
 
+def weighted(rng, size, *bounds):
+    return [(*(rng.randrange(b) for b in bounds), rng.choice((1, 2, -1))) for _ in range(size)]
+
+
+def summed(rows_):
+    out = Counter()
+    for *row, w in rows_:
+        out[tuple(row)] += w
+    return sorted((*row, w) for row, w in out.items() if w)
+
+
 def test_joins_multiply_weights(spark):
-    left = Collection.from_rows(spark, [(0, 0), (1, 2)], "k long, v long")
-    right = Collection.from_rows(spark, [(0, "a"), (1, "B")], "k long, c string")
-    assert rows(left.join(right, ["k"])) == [(0, 0, "a", 1), (1, 2, "B", 1)]
-    keys = Collection.from_rows(spark, [(0,), (0,)], "k long")
-    assert rows(left.semijoin(keys, ["k"])) == [(0, 0, 2)]
-    assert rows(left.antijoin(keys, ["k"])) == [(0, 0, -1), (1, 2, 1)]
-    assert rows(left.semijoin(keys.distinct(), ["k"])) == [(0, 0, 1)]
-    assert rows(left.antijoin(keys.distinct(), ["k"])) == [(1, 2, 1)]
-    assert keys.distinct().unit and not keys.unit
+    rng = random.Random(11)
+    left, right = weighted(rng, 40, 6, 4), weighted(rng, 30, 6, 3)
+    a = Collection(spark.createDataFrame(left, f"k long, v long, {W} long"))
+    b = Collection(spark.createDataFrame(right, f"k long, c long, {W} long"))
+    assert rows(a.join(b, ["k"])) == summed((k, v, c, w * x) for k, v, w in left for j, c, x in right if j == k)
+    keys = [(k, x) for k, _, x in right]
+    semi = [(k, v, w * x) for k, v, w in left for j, x in keys if j == k]
+    held = b.map("k")
+    assert rows(a.semijoin(held, ["k"])) == summed(semi)
+    assert rows(a.antijoin(held, ["k"])) == summed([*left, *((k, v, -w) for k, v, w in semi)])
+    present = {k for k, _ in summed(keys)}
+    assert rows(a.semijoin(held.distinct(), ["k"])) == summed(x for x in left if x[0] in present)
+    assert rows(a.antijoin(held.distinct(), ["k"])) == summed(x for x in left if x[0] not in present)
+    assert held.distinct().unit and not held.unit
 
 
 def test_general_reduction(spark):
-    table = Collection.from_rows(spark, [(0, 0), (1, 2), (1, 1)], "k long, v long")
-    out = table.reduce(["k"], ["v"], lambda key, values: [(values[0][0], len(values))], "v long")
-    assert rows(out) == [(0, 0, 1), (1, 1, 2)]
+    """Any function of a key's values: here the median value, as often as there are different ones."""
+    rng = random.Random(12)
+    data = weighted(rng, 60, 5, 9)
+    median = lambda key, values: [(values[len(values) // 2][0], len(values))]
+    out = Collection(spark.createDataFrame(data, f"k long, v long, {W} long")).reduce(["k"], ["v"], median, "v long")
+    by = {}
+    for k, v, _ in summed(data):
+        by.setdefault(k, []).append(v)
+    assert rows(out) == sorted((k, vs[len(vs) // 2], len(vs)) for k, vs in by.items())
 
 
 def test_distinct_maps_any_weight_to_one(spark):
@@ -100,10 +123,24 @@ def test_time(spark):
     assert sorted((r.a, r[T]) for r in c.delay(F.col(T) * 10).df.collect()) == [(1, 0), (2, 10), (2, 20)]
 
 
+def held_values(events):
+    """Changes (time, weight, key, value) of a dict that events (key, value, time) set and delete."""
+    out, now = [], {}
+    for time in sorted({t for _, _, t in events}):
+        for key in sorted({k for k, _, t in events if t == time}):
+            new = max((v for k, v, t in events if (k, t) == (key, time) and v is not None), default=None)
+            old = now.get(key)
+            if new != old:
+                out += [(time, w, key, v) for w, v in ((-1, old), (1, new)) if v is not None]
+            now[key] = new
+    return sorted(out)
+
+
 def test_upserts(spark):
-    events = [("k", "m", 3), ("k", "z", 4), ("k", None, 5), ("k", "o", 9), ("k", "o", 11), ("k", None, 15)]
+    rng = random.Random(13)
+    events = [(rng.choice("abc"), rng.choice((None, "p", "q", "r")), rng.randrange(12)) for _ in range(40)]
     out = from_upserts(spark.createDataFrame(events, f"key string, val string, {T} long"), ["key"], "val")
-    assert sorted((r[T], r[W], r.val) for r in out.df.collect()) == [(3, 1, "m"), (4, -1, "m"), (4, 1, "z"), (5, -1, "z"), (9, 1, "o"), (15, -1, "o")]
+    assert sorted((r[T], r[W], r.key, r.val) for r in out.df.collect()) == held_values(events)
 
 
 def test_input_session(spark):

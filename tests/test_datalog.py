@@ -48,6 +48,13 @@ def test_points_to_with_mutual_recursion(spark):
     assert (got(out["flow"]), got(out["alias"]), got(out["values"])) == (sorted(flow), sorted(alias), sorted(values))
 
 
+def test_negation_without_shared_variables(spark):
+    n, flag = spark.createDataFrame([(1,), (2,)], "a long"), spark.createDataFrame([(1,)], "a long")
+    rules = ["any(x) :- n(x), !flag(_)", "one(x) :- n(x), !flag(1)", "two(x) :- n(x), !flag(2)", "none(x) :- n(x), !no(_)", "both(x) :- n(x), !flag(2), !flag(x)"]
+    out = datalog.run(rules, {"n": n, "flag": flag, "no": flag.where("a > 1")})
+    assert {k: got(out[k]) for k in ("any", "one", "two", "none", "both")} == {"any": [], "one": [], "two": [(1,), (2,)], "none": [(1,), (2,)], "both": [(2,)]}
+
+
 def test_errors(spark):
     e = {"e": spark.createDataFrame([(1, 2)], "a long, b long")}
     for rules in (["p(x) :- e(y, z)"], ["p(x)"], ["p(x) :- e(x, _), !q(x)", "q(x) :- e(x, _), !p(x)"], ["p(x, z) :- e(x, _), e(z, _)"]):

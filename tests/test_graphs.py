@@ -1,4 +1,4 @@
-"""Graph loops: distributed against one-task forms, and both against plain Python."""
+"""Graph loops against plain Python."""
 
 from __future__ import annotations
 
@@ -32,25 +32,22 @@ def distances(pairs, root):
     return dist
 
 
-@pytest.mark.parametrize("local", [1000, 0])
-def test_bfs_and_reach(spark, edges, pairs, local):
+def test_bfs_and_reach(spark, edges, pairs):
     root = spark.createDataFrame([(pairs[0][0],)], "node long")
     dist = distances(pairs, pairs[0][0])
-    assert got(graphs.bfs(edges, root, local)) == sorted(dist.items())
-    assert got(graphs.reach(edges, root, local)) == sorted((n,) for n in dist)
+    assert got(graphs.bfs(edges, root)) == sorted(dist.items())
+    assert got(graphs.reach(edges, root)) == sorted((n,) for n in dist)
 
 
-@pytest.mark.parametrize("local", [100_000, 0])
-def test_bidijkstra(spark, edges, pairs, local):
+def test_bidijkstra(spark, edges, pairs):
     goals = [(a, b) for a in range(0, 18, 6) for b in range(1, 18, 5)]
     expected = sorted((a, b, distances(pairs, a)[b]) for a, b in goals if b in distances(pairs, a))
-    assert got(graphs.bidijkstra(edges, spark.createDataFrame(goals, "src long, dst long"), local)) == expected
+    assert got(graphs.bidijkstra(edges, spark.createDataFrame(goals, "src long, dst long"))) == expected
 
 
-@pytest.mark.parametrize("local", [1000, 0])
-def test_strongly_connected(edges, pairs, local):
+def test_strongly_connected(edges, pairs):
     reach = {a: set(distances(pairs, a)) for a, _ in pairs} | {}
-    assert got(graphs.strongly_connected(edges, local)) == [(a, b) for a, b in pairs if a in reach.get(b, ())]
+    assert got(graphs.strongly_connected(edges)) == [(a, b) for a, b in pairs if a in reach.get(b, ())]
 
 
 def test_components(edges, pairs):
@@ -100,9 +97,8 @@ def test_triangle_changes_add_up(spark):
         assert {k: v for k, v in found.items() if v} == {k: v for k, v in expected.items() if v}
 
 
-@pytest.mark.parametrize("local", [1000, 0])
-def test_colouring(edges, pairs, local):
-    colours = dict(got(graphs.sequence(edges, graphs.least_free, local)))
+def test_colouring(edges, pairs):
+    colours = dict(got(graphs.sequence(edges, graphs.least_free)))
     near = defaultdict(set)
     for a, b in pairs:
         if a != b:
@@ -114,13 +110,12 @@ def test_colouring(edges, pairs, local):
     assert colours == known
 
 
-@pytest.mark.parametrize("local", [1000, 0])
-def test_stable_matching(spark, local):
+def test_stable_matching(spark):
     rng = random.Random(1)
     wishes = [(a, p, 100 + b, rng.random()) for a in range(6) for p, b in enumerate(rng.sample(range(5), 4))]
     ranks = sorted(x[3] for x in wishes)
     table = spark.createDataFrame([(a, p, b, ranks.index(r)) for a, p, b, r in wishes], "left long, lpref long, right long, rpref long")
-    match = dict(got(graphs.stable_matching(table, local)))
+    match = dict(got(graphs.stable_matching(table)))
     assert len(set(match.values())) == len(match)
     back = {b: a for a, b in match.items()}
     for a, p, b, r in wishes:  # nobody prefers somebody who prefers them too

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from deltaspark.collection import T, W, Collection
@@ -47,12 +49,39 @@ def test_stream_of_changes(spark, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
-    events = [("k", "m", 3), ("k", "z", 4), ("k", None, 5), ("k", "o", 9), ("k", "o", 11), ("k", None, 15)]
-    schema = "key string, val string, time long"
-    for part in (events[:2], events[2:4], events[4:]):
+    rng = random.Random(14)
+    source, schema = str(tmp_path / "in"), "key string, val string, time long"
+    events = [(rng.choice("xyz"), rng.choice((None, "p", "q")), t) for t in range(30)]
+
+    def feed(part):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         run = upserts(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
         run.awaitTermination()
-    out = sorted((r.time, r.w, r.val) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert out == [(3, 1, "m"), (4, -1, "m"), (4, 1, "z"), (5, -1, "z"), (9, 1, "o"), (15, -1, "o")]
+
+    for a in (0, 10, 20):
+        feed(events[a : a + 10])
+    expected, now = [], {}
+    for key, val, time in events:
+        if val != now.get(key):
+            expected += [(time, w, key, v) for w, v in ((-1, now.get(key)), (1, val)) if v is not None]
+        now[key] = val
+    assert sorted((r.time, r.w, r.key, r.val) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(expected)
+    with pytest.raises(StreamingQueryException):  # too late
+        feed([(events[29][0], "p", 3)])
+
+
+def test_epochs_again_and_a_new_process(spark, tmp_path):
+    """An epoch that is tried twice counts once, and state lives in the folder; enough epochs for sums."""
+    rng = random.Random(15)
+    epochs = [[(rng.randrange(3), rng.choice((1, 1, -1))) for _ in range(3)] for _ in range(20)]
+    change = lambda e: Collection(spark.createDataFrame(epochs[e], f"k long, {W} long"))
+    fresh = lambda: maintain.Reduce(spark, f"file://{tmp_path}/c", "k long", ["k"], lambda c: c.count("n"))
+    held, total = {}, {}
+    for e in range(20):
+        if e in (7, 18):
+            fresh().step(e, change(e)).df.collect()  # the try that failed afterwards
+        for r in fresh().step(e, change(e)).df.collect():
+            total[r.k, r.n] = total.get((r.k, r.n), 0) + r[W]
+        for k, w in epochs[e]:
+            held[k] = held.get(k, 0) + w
+        assert {k for k, w in total.items() if w} == {(k, n) for k, n in held.items() if n}
