@@ -28,8 +28,8 @@ COMPACT_EVERY = 16
 class State:
     """A collection's history in a shared folder: a table of changes for each epoch, and sums of all up to some epochs."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
+    def __init__(self, spark: SparkSession, folder: str, schema: str, compact_every: int = COMPACT_EVERY):
+        self.spark, self.folder, self.schema, self.compact_every = spark, folder, schema, compact_every
 
     def _complete(self, kind: str) -> list[int]:
         """The epochs of the complete tables of a kind, in order."""
@@ -53,11 +53,11 @@ class State:
         old = self.before(epoch)
         names = [x.split()[0] for x in self.schema.split(", ")]
         change.consolidate().df.select(*names, W).write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
-        after = self.before(epoch + 1)
+        kept = Collection(self.spark.read.schema(f"{self.schema}, {W} long").parquet(f"{self.folder}/epoch={epoch}"))
         base = max((e for e in self._complete("sum") if e < epoch), default=None)
-        if len([e for e in self._complete("epoch") if e <= epoch and (base is None or e > base)]) >= COMPACT_EVERY:
-            old.concat(Collection(self.spark.read.parquet(f"{self.folder}/epoch={epoch}"))).consolidate().df.select(*names, W).write.mode("overwrite").parquet(f"{self.folder}/sum={epoch}")
-        return after
+        if len([e for e in self._complete("epoch") if e <= epoch and (base is None or e > base)]) >= self.compact_every:
+            old.concat(kept).consolidate().df.select(*names, W).write.mode("overwrite").parquet(f"{self.folder}/sum={epoch}")
+        return old.concat(kept)
 
 
 class Join:
@@ -77,8 +77,8 @@ class Join:
 class Reduce:
     """Any reduction of a whole collection by key, given as a function from collection to collection."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: Sequence[str], reduction: Callable[[Collection], Collection]):
-        self.state, self.keys, self.reduction = State(spark, f"{folder}/in", schema), list(keys), reduction
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: Sequence[str], reduction: Callable[[Collection], Collection], compact_every: int = COMPACT_EVERY):
+        self.state, self.keys, self.reduction = State(spark, f"{folder}/in", schema, compact_every), list(keys), reduction
 
     def step(self, epoch: int, change: Collection) -> Collection:
         touched = Collection.of(change.df.select(*self.keys).distinct(), True)

@@ -9,22 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-#: How long a deleted key's last time is kept, in milliseconds.
-REMEMBER = 24 * 3600 * 1000
-
-
-def upserts(events: DataFrame, remember: int = REMEMBER) -> DataFrame:
+def upserts(events: DataFrame) -> DataFrame:
     """Changes (key, val, time, w) from a stream of events (key string, val string, time long).
 
     A null val deletes; of several events of a key at one time the greatest val wins.
     Events of a key have to arrive in the order of their times over micro-batches: one that isn't later than
-    the key's last is an error. A deleted key's state goes `remember` milliseconds after its last event.
+    the key's last is an error. For that a deleted key keeps its last time, and nothing else.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(parts))
         held, last = state.get if state.exists else (None, None)
         if last is not None and rows["time"].min() <= last:
@@ -40,8 +33,6 @@ def upserts(events: DataFrame, remember: int = REMEMBER) -> DataFrame:
                     out.append((key[0], new, time, 1))
                 held = new
         state.update((held, int(rows["time"].max())))
-        if held is None:
-            state.setTimeoutDuration(remember)
         yield pd.DataFrame(out, columns=["key", "val", "time", "w"])
 
-    return events.groupBy("key").applyInPandasWithState(run, "key string, val string, time long, w long", "val string, time long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("key").applyInPandasWithState(run, "key string, val string, time long, w long", "val string, time long", "append", GroupStateTimeout.NoTimeout)
