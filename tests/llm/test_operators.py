@@ -11,6 +11,7 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -571,3 +572,63 @@ def test_pipeline_against_brute_force(spark):
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
     expected = {(i, k, len(ids[s : s + 2048])) for i, t in rows for ids in [tokenizer.encode(t, add_special_tokens=False).ids + [0]] for k, s in enumerate(range(0, len(ids), 2048))}
     assert {(r.doc_id, r.piece, r.length) for r in out} == expected
+
+
+# -- plain re-computations -----------------------------------------------------
+
+
+def plain_mix(x):
+    wide = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & wide
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & wide
+    return x ^ x >> 31
+
+
+def test_language_scores_against_plain_python(spark, docs, rows):
+    """Masks, the correction for false positives and scores, n-gram by n-gram; one text is longer than a block."""
+    model = langid.fit(docs)
+    assert len(model.languages) == 2
+    some = [t for i, t in rows if t and len(t) < 800] + [rows[21][1][: langid.BLOCK + 5000]]
+    names, scores = model.predict(pa.array(some))
+    for text, name, score in zip(some, names, scores):
+        folded = bytes(langid._FOLD[b] for b in text.encode())
+        folded = re.sub(rb" +", b" ", folded)
+        hits, total = [0] * 2, 0
+        for n in langid.SIZES:
+            for a in range(len(folded) - n + 1):
+                h = plain_mix(int.from_bytes(folded[a : a + n], "big") | n << 56)
+                mask = 3
+                for k in range(langid.HASHES):
+                    mask &= int(model.table[h >> k * langid.BITS & (1 << langid.BITS) - 1, 0])
+                hits, total = [x + (mask >> j & 1) for j, x in enumerate(hits)], total + 1
+        true = [max(0.0, (x - r * total) / (1 - r)) for x, r in zip(hits, model.false_rates)]
+        letters = re.search(r"[^\W\d_]", text)
+        assert name == (langid.UND if not letters else model.default if not any(true) else model.languages[true.index(max(true))]), text[:40]
+        assert abs(score - (max(true) / sum(true) if letters and any(true) else 0)) < 1e-9
+
+
+def test_fingerprint_against_plain_python():
+    """Peaks and pairs frame by frame, by loops."""
+    samples = np.random.default_rng(3).integers(0, 256, 3000).astype(np.uint8)
+    frames = -(-(len(samples) - media.FRAME) // media.HOP) + 1
+    padded = np.concatenate([samples.astype(float) - 128, np.zeros(media.FRAME)])
+    peaks, strong = [], []
+    for t in range(frames):
+        power = np.abs(np.fft.rfft(padded[t * media.HOP : t * media.HOP + media.FRAME] * np.hanning(media.FRAME))) ** 2
+        strong.append([(max(power[lo:hi]), lo + int(np.argmax(power[lo:hi]))) for lo, hi in media.BANDS])
+    for t in range(frames):
+        for band in range(len(media.BANDS)):
+            here = strong[t][band][0]
+            before = strong[t - 1][band][0] if t else 0
+            after = strong[t + 1][band][0] if t + 1 < frames else 0
+            if here > 1 and here > before and here >= after:
+                peaks.append((t, strong[t][band][1]))
+    pairs = [(a[0] << 24 | a[1] << 16 | b[1] << 8 | b[0] - a[0]) for i, a in enumerate(peaks) for b in peaks[i + 1 : i + 1 + media.FAN] if b[0] - a[0] <= media.REACH]
+    count, codes = media.fingerprint(samples)
+    assert count == len(peaks) > 20 and codes.tolist() == sorted(pairs)
+
+
+def test_classes_that_share_a_name(docs):
+    """With names of two bits nearly all classes collide; the result is the same."""
+    names = ("doc_id", "n_shingles", "component_id", "n_links")
+    assert bag(jaccard.join(docs, bits=2), *names) == bag(jaccard.join(docs), *names)
