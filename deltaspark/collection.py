@@ -210,6 +210,15 @@ class Collection:
         rows = self._running(self.data).select(*self.data, T, (f(F.col("__now")) - f(F.col("__old"))).alias(W))
         return self._new(rows.where(F.col(W) != 0))
 
+    def threshold_changes(self, change: Callable[[Column, Column], Column]) -> Collection:
+        """For each change of a record's accumulated weight, an output change as a function of the new and the old one (null if zero)."""
+        if not self.timed:
+            total = self.df.groupBy(*self.data).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
+            return self._new(total.withColumn(W, change(F.col(W), F.lit(None).cast("long")).cast("long")).where(F.col(W) != 0))
+        old = F.when(F.col("__old") != 0, F.col("__old"))
+        rows = self._running(self.data).select(*self.data, T, change(F.col("__now"), old).cast("long").alias(W))
+        return self._new(rows.where(F.col(W) != 0))
+
     def distinct(self) -> Collection:
         """Weight 1 for each record whose accumulated weight isn't zero."""
         if self.unit:
@@ -249,16 +258,33 @@ class Collection:
         return Collection(many.groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias(name)).withColumn(W, F.lit(1).cast("long")), True)
 
     def prefix_sum(self, position: str, value: str, keys: Sequence[str] = (), name: str = "sum") -> Collection:
-        """Exclusive running sum of value in order of position, for each key."""
+        """Exclusive running sum of value in order of position, for each key.
+
+        Without keys, positions are whole numbers and the sum is taken in blocks (see `prefix_combine`, also for hot keys).
+        """
+        if not keys:
+            return self.prefix_combine(position, value, lambda a, b: a + b, (), name, 0)
         order = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
         total = F.coalesce(F.sum(value).over(order), F.lit(0)).cast("long").alias(name)
         return self._new(self.df.select(*self.data, total, W))
 
-    def reduce(self, keys: Sequence[str], values: Sequence[str], function: Callable, schema: str) -> Collection:
+    def prefix_combine(self, position: str, value: str, combine: Callable[[Column, Column], Column], keys: Sequence[str] = (), name: str = "before", zero: object = None) -> Collection:
+        """Exclusive running combination in order of whole-number positions, by any associative function of two Columns."""
+        from .operators.scan import prefix
+
+        found = prefix(self.df, position, value, combine, keys, name)
+        if zero is not None:
+            found = found.withColumn(name, F.coalesce(F.col(name), F.lit(zero).cast(found.schema[name].dataType)))
+        return self._new(found.select(*self.data, name, *self._carry()))
+
+    def reduce(self, keys: Sequence[str], values: Sequence[str], function: Callable, schema: str, feedback: bool = False) -> Collection:
         """General reduction: function(key, [(value, weight), ..]) -> [(output, weight), ..], values in order.
 
         It sees only values of non-zero weight, and isn't called without any. For a timed
         collection it is called at each time at which its key changes.
+
+        feedback: function(key, values, [(output, weight), ..]) also sees the key's output so far and
+        returns changes of it; it is called without values too, as long as there is output.
         """
         keys, values = list(keys), list(values)
         names = [x.split()[0] for x in schema.split(",")] if schema else []
@@ -275,9 +301,14 @@ class Collection:
                     held[tuple(value)] = held.get(tuple(value), 0) + weight
                 held = {v: w for v, w in held.items() if w}
                 new: dict = {}
-                if held:
-                    for value, weight in function(key, sorted(held.items())):
-                        new[tuple(value)] = new.get(tuple(value), 0) + weight
+                if feedback:
+                    new = dict(old)
+                    made = function(key, sorted(held.items()), sorted(old.items())) if held or old else []
+                else:
+                    made = function(key, sorted(held.items())) if held else []
+                for value, weight in made:
+                    new[tuple(value)] = new.get(tuple(value), 0) + weight
+                new = {v: w for v, w in new.items() if w}
                 for value in {**old, **new}:
                     change = new.get(value, 0) - old.get(value, 0)
                     if change:

@@ -207,3 +207,13 @@ def rules_negation(spark, d):
 
     rules = ["two(x, z) :- e(x, y), e(y, z)", "open(x, z) :- two(x, z), !e(x, z)"]
     return datalog.run(rules, {"e": edges(spark, d)})["open"].toDF("src", "dst")
+
+
+@query(f"""WITH RECURSIVE {_DAG}, n AS (SELECT src, dst FROM d WHERE (src + dst) % 2 = 0
+ UNION SELECT n.src, d.dst FROM n JOIN d ON n.dst = d.src AND (d.src + d.dst) % 2 = 1) SELECT src, dst, 'N' AS label FROM n""")
+def grammar_paths(spark, d):
+    """Paths of one edge `a` and any number of edges `b`, by production rules."""
+    from . import grammar
+
+    labelled = dag(spark, d).withColumn("label", F.expr("if((src + dst) % 2 = 0, 'a', 'b')"))
+    return grammar.run(labelled, "N a\nN N b")

@@ -223,6 +223,13 @@ def prefix_sum(spark, d):
     return orders.prefix_sum("o_orderkey", "v", ["o_custkey"], "before").df.select("o_custkey", "o_orderkey", "before")
 
 
+@query("SELECT o_orderkey, max(o_orderkey * 7919 % 10007) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM orders")
+def prefix_combine(spark, d):
+    """The greatest value of all earlier orders, without keys."""
+    orders = coll(spark, d, "orders", "o_orderkey", (F.col("o_orderkey") * 7919 % 10007).alias("v"))
+    return orders.prefix_combine("o_orderkey", "v", F.greatest).df.select("o_orderkey", "before")
+
+
 @query("SELECT l_returnflag, sum(l_quantity::BIGINT)::BIGINT AS qty, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents, count(*)::BIGINT AS n, (sum(l_quantity::BIGINT) // count(*))::BIGINT AS avg_qty FROM lineitem GROUP BY 1")
 def multi_aggregate(spark, d):
     lines = coll(spark, d, "lineitem", "l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("c"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..collection import T, W, Collection
+from ..storage import complete
 
 _PROGRESS = "lower long, upper long, time long, count long"
 
@@ -28,13 +29,14 @@ def write(collection: Collection, folder: str, lower: int, upper: int) -> None:
 
 def frontier(updates: DataFrame, progress: DataFrame, start: int = 0) -> int:
     """The first time about which something may still arrive."""
-    # one row for each statement and for each time that is short of updates; both few beside the updates
+    # one row for each statement beyond start and for each time that is short of updates; both few beside the updates
+    updates, progress = updates.where(F.col(T) >= start), progress.where(F.col("upper") > start)
     covered = start
     for lower, upper in sorted({(r["lower"], r["upper"]) for r in progress.select("lower", "upper").distinct().collect()}):
         if lower <= covered:
             covered = max(covered, upper)
     have = updates.groupBy(F.col(T).alias("time")).agg(F.count(F.lit(1)).alias("have"))
-    stated = progress.where("time IS NOT NULL").groupBy("time").agg(F.max("count").alias("count"))
+    stated = progress.where(F.col("time") >= start).groupBy("time").agg(F.max("count").alias("count"))
     short = stated.join(have, "time", "left").where(F.coalesce("have", F.lit(0)) < F.col("count")).agg(F.min("time")).first()[0]
     return covered if short is None else min(covered, short)
 
@@ -47,3 +49,43 @@ def released(updates: DataFrame, progress: DataFrame, start: int = 0) -> Collect
 
 def read(spark: SparkSession, folder: str, start: int = 0) -> Collection:
     return released(spark.read.parquet(f"{folder}/updates"), spark.read.parquet(f"{folder}/progress"), start)
+
+
+def sink(changes: DataFrame, folder: str, checkpoint: str):
+    """Writes a stream of changes (data and __w) as messages; each micro-batch is one time.
+
+    A micro-batch that is repeated repeats its messages, which readers pass over.
+    """
+
+    def batch(df: DataFrame, time: int) -> None:
+        write(Collection(df.withColumn(T, F.lit(time).cast("long"))), folder, time, time + 1)
+
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def follow(spark: SparkSession, folder: str, schema: str, out: str, start: int = 0) -> tuple[int, int]:
+    """Releases to `out` what has become complete since the last call; returns the times [lower, upper) of it.
+
+    Each release is a table `until=upper`. One that was broken off doesn't count and is made again,
+    and a new process goes on after the last that counts.
+    """
+    lower = max(complete(spark, out, "until"), default=start)
+    updates = spark.read.schema(f"{schema}, {T} long, {W} long").parquet(f"{folder}/updates").where(F.col(T) >= lower).distinct()
+    upper = frontier(updates, spark.read.schema(_PROGRESS).parquet(f"{folder}/progress").distinct(), lower)
+    if upper > lower:
+        updates.where(F.col(T) < upper).write.mode("overwrite").parquet(f"{out}/until={upper}")
+    return lower, upper
+
+
+def followed(spark: SparkSession, schema: str, out: str) -> Collection:
+    """All that has been released so far."""
+    schema = f"{schema}, {T} long, {W} long"
+    paths = [f"{out}/until={n}" for n in complete(spark, out, "until")]
+    return Collection(spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema))
+
+
+def source(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, start: int = 0):
+    """A stream that calls `follow` whenever messages of either kind arrive."""
+    stated = spark.readStream.schema(_PROGRESS).parquet(f"{folder}/progress").select("lower")
+    arrived = spark.readStream.schema(f"{schema}, {T} long, {W} long").parquet(f"{folder}/updates").select(F.col(T).alias("lower"))
+    return stated.unionByName(arrived).writeStream.foreachBatch(lambda df, n: follow(spark, folder, schema, out, start)).option("checkpointLocation", checkpoint)

@@ -28,5 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def complete(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """The numbers n of the tables `kind=n` in a folder that Spark has marked as complete, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}=*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(int(str(f.getPath().getParent().getName()).partition("=")[2]) for f in found)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..collection import W, Collection
+from ..storage import complete
 
 
 #: Epochs whose changes are added up at a time.
@@ -33,10 +34,7 @@ class State:
 
     def _complete(self, kind: str) -> list[int]:
         """The epochs of the complete tables of a kind, in order."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
-        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at) or []
-        return sorted(int(str(f.getPath().getParent().getName()).partition("=")[2]) for f in found)
+        return complete(self.spark, self.folder, kind)
 
     def before(self, epoch: int) -> Collection:
         """The contents just before an epoch, not consolidated."""

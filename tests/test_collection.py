@@ -195,3 +195,66 @@ def test_arranged_is_the_same(changes):
     held = changes.arrange(["k"])
     assert rows(held) == rows(changes)
     held.release()
+
+
+def test_reduction_that_sees_its_output(changes):
+    """Each key's greatest value ever: output is only replaced by something greater, and goes with the last value."""
+
+    def highest(key, values, output):
+        top = max((v[0] for v, _ in values), default=None)
+        held = output[0][0][0] if output else None
+        if top is None or held is not None and top <= held:
+            return [((held,), -1)] if top is None and output else []
+        return [((top,), 1)] + ([((held,), -1)] if output else [])
+
+    schema = f"high {dict(changes.df.dtypes)[changes.data[1]]}"
+    got = changes.reduce([changes.data[0]], [changes.data[1]], highest, schema, feedback=True)
+    held, out = {}, {}
+    updates = sorted((r[T], r[changes.data[0]], r[changes.data[1]], r[W]) for r in changes.consolidate().df.collect())
+    for time in range(updates[-1][0] + 1):
+        for t, k, v, w in updates:
+            if t == time:
+                held[k, v] = held.get((k, v), 0) + w
+        for k in {k for k, _ in held}:
+            now = [v for (x, v), w in held.items() if x == k and w]
+            if now:
+                out[k] = max(now) if k not in out else max(out[k], max(now))
+            else:
+                out.pop(k, None)
+        assert rows(got.snapshot(time)) == sorted((k, v, 1) for k, v in out.items())
+
+
+def test_threshold_by_old_and_new_weight(changes):
+    """Changes by old and new weight give distinct, whose changes accumulate to it at every time."""
+    step = lambda new, old: F.when(old.isNull(), 1).when(new == 0, -1).otherwise(0)
+    changes.threshold_changes(step).assert_eq(changes.distinct())
+    now = changes.snapshot(3)
+    now.threshold_changes(step).assert_eq(now.distinct())
+
+
+def test_protocol_followed_over_several_calls(spark, tmp_path):
+    folder, out = f"file://{tmp_path}/cdc", f"file://{tmp_path}/out"
+    rng = random.Random(8)
+    whole = Collection(spark.createDataFrame([(rng.randrange(5), rng.randrange(9), 1) for _ in range(60)], f"x long, {T} long, {W} long"))
+    cdc.write(whole, folder, 3, 6)
+    assert cdc.follow(spark, folder, "x long", out) == (0, 0)
+    cdc.write(whole, folder, 0, 3)
+    cdc.write(whole, folder, 0, 3)
+    assert cdc.follow(spark, folder, "x long", out) == (0, 6)
+    assert cdc.follow(spark, folder, "x long", out) == (6, 6)
+    (tmp_path / "out" / "until=8").mkdir()  # broken off: it has no mark of completion
+    cdc.write(whole, folder, 6, 8)
+    assert cdc.follow(spark, folder, "x long", out) == (6, 8)
+    cdc.followed(spark, "x long", out).assert_eq(whole.filter(F.col(T) < 8))
+
+
+def test_protocol_as_streams(spark, tmp_path):
+    folder, out, inbox = (f"file://{tmp_path}/{x}" for x in ("cdc", "out", "in"))
+    for i in range(3):
+        spark.createDataFrame([(i, 1), (7, 2)], f"x long, {W} long").coalesce(1).write.mode("append").parquet(inbox)
+    changes = spark.readStream.schema(f"x long, {W} long").option("maxFilesPerTrigger", 1).parquet(inbox)
+    for _ in range(2):
+        cdc.sink(changes, folder, f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination()
+        cdc.source(spark, folder, "x long", out, f"{tmp_path}/c2").trigger(availableNow=True).start().awaitTermination()
+        got = cdc.followed(spark, "x long", out)
+        assert got.epochs() == [0, 1, 2] and rows(Collection(got.df.drop(T))) == [(0, 1), (1, 1), (2, 1), (7, 6)]
