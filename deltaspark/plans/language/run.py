@@ -132,6 +132,7 @@ class Memory:
     """Collections as dicts from (key, value) to weight."""
 
     empty: dict = {}
+    record = False
 
     def __init__(self, spark: SparkSession | None = None):
         self.spark = spark
@@ -222,6 +223,8 @@ class Memory:
 class Frames:
     """Collections as DataFrames key, val (arrays of longs), __w."""
 
+    record = False
+
     def __init__(self, spark: SparkSession):
         self.empty = spark.createDataFrame([], f"key array<long>, val array<long>, {W} long")
 
@@ -292,6 +295,21 @@ class Frames:
             return total.select("key", F.array("n").alias("val"), one)
         raise ProgramError(f"{kind} isn't supported")
 
+    def traced_map(self, df, made):
+        """map's rows beside those that they come from: key, val, key0, val0."""
+        rows = ("key", "val")
+        return df.select(self._made(made[0], rows).alias("key"), self._made(made[1], rows).alias("val"), F.col("key").alias("key0"), F.col("val").alias("val0"))
+
+    def traced_join(self, left, right, made):
+        """join's rows beside those that they come from: key, val, key0, val0, val2."""
+        met = left.select("key", "val").join(right.select("key", F.col("val").alias("val2")), "key")
+        rows = ("key", "val", "val2")
+        return met.select(self._made(made[0], rows).alias("key"), self._made(made[1], rows).alias("val"), F.col("key").alias("key0"), F.col("val").alias("val0"), "val2")
+
+    def shown(self, df):
+        """Rows of an input as they were given."""
+        return df
+
     def _due(self, df, term):
         number = self._scalar(term, ("key", "val"))
         return df.withColumn("__due", F.when(number < 0, 256 * 64).when(number == 0, 0).otherwise(256 * F.length(F.bin(number))).cast("long"))
@@ -377,6 +395,7 @@ class Values(Frames):
     """Collections as DataFrames key, val (encoded rows), __w; terms are evaluated in Arrow batches."""
 
     _SCHEMA = f"key binary, val binary, {W} long"
+    _TRACED = "key binary, val binary, key0 binary, val0 binary"
 
     def __init__(self, spark: SparkSession):
         self.empty = spark.createDataFrame([], self._SCHEMA)
@@ -432,6 +451,27 @@ class Values(Frames):
             return self._each(listed, lambda k, some: [(k, _MANY + b"".join((_TUPLE + x["val"] + _END) * max(x[W], 0) for x in some) + _END, 1)])
         raise ProgramError(f"{kind} isn't supported")
 
+    def traced_map(self, df, made):
+        def work(k, v):
+            rows = (decode_row(k), decode_row(v))
+            return [(encode_row(_made(made[0], rows)), encode_row(_made(made[1], rows)), k, v)]
+
+        return self._each(df.select("key", "val"), work, self._TRACED)
+
+    def traced_flatmap(self, df, term):
+        return self._each(df.select("key", "val"), lambda k, v: [(k, encode_row((i, x)), k, v) for i, x in enumerate(_eval(term, (decode_row(k), decode_row(v))))], self._TRACED)
+
+    def traced_join(self, left, right, made):
+        def work(k, v, v2):
+            rows = (decode_row(k), decode_row(v), decode_row(v2))
+            return [(encode_row(_made(made[0], rows)), encode_row(_made(made[1], rows)), k, v, v2)]
+
+        met = left.select("key", "val").join(right.select("key", F.col("val").alias("val2")), "key")
+        return self._each(met, work, f"{self._TRACED}, val2 binary")
+
+    def shown(self, df):
+        return self._each(df, lambda k, v, q: [(_flat(decode_row(k)), _flat(decode_row(v)), q)], "key array<long>, val array<long>, q long")
+
     def _due(self, df, term):
         return self._each(df, lambda k, v, w: [(k, v, w, delay(_eval(term, (decode_row(k), decode_row(v)))))], f"{self._SCHEMA}, __due long")
 
@@ -475,6 +515,7 @@ class _Scoped:
         self.children: dict[str, _Scoped] = {}
         self.due: list[int] = []
         self.busy: set[str] = set()
+        self.rounds: list[_Scoped] = []  # of the scope up to this one, where the backend records them
 
     def name(self, name: str):
         if name in self.state:
@@ -555,9 +596,12 @@ def fixpoint(scope: Scope, backend, parent: _Scoped | None, inputs: Mapping) ->
     """The scope in the round after which nothing changes any more."""
     state = {name: backend.empty for name in scope.vars}
     lifts = _lifts(scope)
-    now, lifted = 0, {}
+    now, lifted, rounds = 0, {}, []
     for _ in range(MOST_ROUNDS):
         round_ = _Scoped(scope, backend, parent, inputs, state, now, lifted)
+        if backend.record:
+            rounds.append(round_)
+            round_.rounds = rounds
         for name in lifts:  # they see every round
             round_.let(name)
         new = {name: backend.keep(round_.value(node)) for name, node in scope.vars.items()}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .graph_queries import QUERIES as GRAPHS
-from .graph_queries import _DENSE, _EDGES, dag, dense, edges, least
+from .graph_queries import _BFS, _DENSE, _EDGES, dag, dense, edges, least
+from .language.explanation import explain
 from .language.run import evaluate, rows
 
 QUERIES: dict[str, tuple] = {}
@@ -65,3 +66,16 @@ def degrees(spark, d):
     found = evaluate(DEGREES, {0: rows(dense(spark, d), ["src", "dst"])})["result"]
     return found.select(F.col("key")[0].alias("deg"), F.col("val")[0].alias("n"))
 
+
+
+@query(
+    "explain_reach",
+    f"WITH RECURSIVE {_EDGES}, {_BFS}, m AS (SELECT node, min(dist) AS dist FROM b GROUP BY 1) "
+    "SELECT e.src, e.dst FROM e JOIN m x ON x.node = e.src JOIN m y ON y.node = e.dst WHERE y.dist = x.dist + 1",
+)
+def explained(spark, d):
+    """The edges that the nodes found by program_reach need: all first ways to them."""
+    e = edges(spark, d)
+    inputs = {0: rows(e, ["src", "dst"]), 1: rows(least(e), ["node"])}
+    found = explain(REACH, inputs, {"result": None})[0]
+    return found.select(F.col("key")[0].alias("src"), F.col("key")[1].alias("dst"))
