@@ -233,7 +233,15 @@ def _merged(members: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return members[starts], ends - starts
 
 
-def divide_skip(keys: np.ndarray, bounds: np.ndarray, lists: np.ndarray, need: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def divide_skip(keys: np.ndarray, bounds: np.ndarray, lists: np.ndarray, need: int, size: int) -> np.ndarray:
+    """How many of the inverted lists `lists` hold each member: exactly for those in `need` or more, at most that for others."""
+    times = np.zeros(size, dtype=np.int64)
+    found, often = occurrences(keys, bounds, lists, need, size)
+    times[found] = often
+    return times
+
+
+def occurrences(keys: np.ndarray, bounds: np.ndarray, lists: np.ndarray, need: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Members of the inverted lists `lists`, ascending, and how many of these hold each; all that are in `need` or more, exactly.
 
     keys: list << 32 | member, ascending; bounds: where each list lies; size: the number of members.
@@ -285,7 +293,7 @@ def search(sets: list[np.ndarray], blocks: np.ndarray, copies: np.ndarray, simil
         n = len(sets[q])
         # the smallest partner has ceil(s * n) shingles, all of which must be shared
         need = -(-similarity * n // 100)
-        partners, times = divide_skip(keys, bounds, own_lists[q], need, size)
+        partners, times = occurrences(keys, bounds, own_lists[q], need, size)
         partners = partners[100 * times >= similarity * (n + lengths[partners] - times)]
         partners = partners[(partners != q) & ((not cross) | (blocks[partners] != blocks[q]))]
         links[q] = copies[partners].sum()
