@@ -1,14 +1,19 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents with equal shingle sets form a class, found by a digest; classes are
-joined. Two classes can only be similar enough if they share one of the first
-n - ceil(s * n) + 1 shingles of a global order, rare ones first. The order
-counts, over all documents, the shingles whose hashes lie in the lowest part of
-the hash space, twice as large a part as a prefix needs: those of one class
-only come first, then shared ones by how many classes share them, then the
-uncounted rest. A class whose prefix is all its own can't link with another.
-Classes that meet in a prefix form families (components of the meeting graph);
-no link leaves a family, and each family is searched in one place.
+joined. A partner lacks at most n - ceil(s * n) of a set's shingles. So of the
+set's shingles whose hashes lie in the lowest part of the hash space, twice as
+large a part as that number, it has all but so many, about half; of a small
+set, all of which is taken, it has ceil(s * n). (If that asks for none, one of
+the first n - ceil(s * n) + 1 shingles in the order of hashes is shared.) Of
+these shingles, the candidates, it is counted how many classes hold each, and
+a class that shares too few of its own with any can't link with another. Pairs
+are listed where few classes hold a shingle, and meet if they share enough of
+such shingles; classes that may find all that is needed in longer lists meet
+in a prefix of these, rarest first. Classes that meet form families (components
+of the meeting graph); no link leaves a family, and each family is searched in
+one place. Sharing a few shingles by chance, or a common line, makes no family:
+families by any shared shingle would grow together as a corpus grows.
 
 The search is T-occurrence: for a query set, partners are those that occur in
 at least T of the inverted lists of its shingles, T being the overlap that the
@@ -54,8 +59,14 @@ SIMILARITY = 85  # per cent
 #: Counts of shared shingles from this number on are all the same to the order.
 MOST_COUNTED = 4096
 BLOCK_SHINGLES = 2_000_000
+#: Sets up to this size meet by all of their shingles: the counted part of so few says little.
+SMALL_SET = 128
+#: Pairs of classes are listed for shingles of up to so many.
+SHORT_LIST = 16
 #: Shingles that leave a Python worker at once, about.
 FLUSH = 1 << 18
+#: The filter of texts to exchange has up to 2 ** MOST_BITS bits (16 MB).
+MOST_BITS = 27
 #: Inverted lists from this length on may be probed instead of merged.
 LONG_LIST = 64
 
@@ -136,7 +147,10 @@ def _named(docs: DataFrame, words: int, similarity: int, bits: int) -> tuple[Dat
 
 
 def _candidates(docs: DataFrame, words: int, similarity: int, bits: int, twins: dict) -> DataFrame:
-    """shingle, class: the counted part of each set, and the next shingles if that is less than a prefix."""
+    """shingle, class: of each set the counted part, and the next shingles if that is less than a prefix; all of a small set.
+
+    The last bit of shingle tells rows of small sets (1) from others. Sets that may link with either kind are in both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +163,15 @@ def _candidates(docs: DataFrame, words: int, similarity: int, bits: int, twins:
                 mark = class_of(own, bits)
                 if mark not in seen:
                     seen.add(mark)
-                    found.append(own[: max(prefix_size(len(own), similarity), counted_part(own, similarity))])
-                    classes.append(np.full(len(found[-1]), twins.get(mark, mark[0]), dtype=np.int64))
-                    size += len(found[-1])
+                    parts = []
+                    if len(own) > SMALL_SET:
+                        parts.append(own[: max(prefix_size(len(own), similarity), counted_part(own, similarity))] & ~np.uint64(1))
+                    if len(own) <= 100 * SMALL_SET // similarity:
+                        parts.append(own | np.uint64(1))
+                    for part in parts:
+                        found.append(part)
+                        classes.append(np.full(len(part), twins.get(mark, mark[0]), dtype=np.int64))
+                        size += len(part)
                     if size >= FLUSH:
                         yield done()
                         found, classes, size = [], [], 0
@@ -209,17 +229,58 @@ def _batch(rows: np.ndarray, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy()), pa.array(n.astype(np.int64))], names)
 
 
-def _prefixes(candidates: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """shingle, class: the shared shingles of each class's prefix; classes: class, slots."""
-    bound = min((1 << 64) - 1, (1 << 64) * 2 * (100 - similarity) // 100)
-    # shingles are unsigned, Spark's longs are not
-    order = F.col("shingle").bitwiseXOR(F.lit(-(1 << 63)))
-    shared = _shared(candidates).withColumn("rest", order >= bound - (1 << 63))
-    shared = shared.join(classes.select("class", "slots"), "class")
-    mine = Window.partitionBy("class")
-    ranked = shared.withColumn("room", F.col("slots") + F.count_if(~F.col("rest")).over(mine))
-    ranked = ranked.withColumn("rank", F.row_number().over(mine.orderBy("rest", "n", order)))
-    return ranked.where("rank <= room").select("shingle", "class")
+def _met(candidates: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
+    """a, b: links between classes, in whose components any two classes that are similar enough meet.
+
+    Such classes share as many candidates as either must (least). Pairs are listed and counted for shingles of up to
+    SHORT_LIST classes only; a class that may find all it must share in longer lists goes to the rarest of these,
+    as many as a prefix needs, and all that meet there are linked.
+    """
+    shared = _shared(candidates).join(classes.select("class", "slots", F.col("n").alias("size")), "class")
+    long = F.col("n") > SHORT_LIST
+    shared = shared.withColumn("small", F.col("shingle").bitwiseAND(F.lit(1)))
+    mine = Window.partitionBy("class", "small")
+    least = F.when(F.col("small") == 1, F.expr(f"(size * {similarity} + 99) div 100")).otherwise(F.greatest(F.lit(1), 1 - F.col("slots")))
+    # no partner without enough shared shingles
+    live = shared.withColumn("held", F.count(F.lit(1)).over(mine)).where(F.col("held") >= least)
+    live = live.withColumn("need", (least - F.count_if(long).over(mine)).cast("int"))
+    live = live.withColumn("rank", F.when(long, F.row_number().over(mine.orderBy(~long, "n", "shingle"))))
+    live = _store.cut(live.where(~long | (F.col("rank") <= 1 - F.col("need"))).select("shingle", "class", F.col("size").cast("int").alias("size"), "need", long.alias("long")))
+
+    pairs = _pairs(live.where(~F.col("long")), similarity).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
+    there = live.where("long")
+    hubs = _store.cut(there.groupBy("shingle").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    stars = _store.joined(there, hubs, ["shingle"], "n").where("hub <> class")
+    return pairs.where("n >= need").select("a", "b").unionByName(stars.select(F.col("class").alias("a"), F.col("hub").alias("b")))
+
+
+def _pairs(rows: DataFrame, similarity: int) -> DataFrame:
+    """a, b, need: a row for each shingle that two classes share, if their sizes allow a link; need: the larger of theirs.
+
+    A shingle has up to SHORT_LIST classes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((0, 4), dtype=np.int64)
+        for batch in batches:
+            kept = np.concatenate([kept, np.stack([np.asarray(c.cast(pa.int64())) for c in batch.columns], axis=1)])
+            # the last shingle's may go on in the next batch
+            last = int(np.searchsorted(kept[:, 0] == kept[-1, 0], True)) if len(kept) else 0
+            yield from paired(kept[:last])
+            kept = kept[last:]
+        yield from paired(kept)
+
+    def paired(some: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for d in range(1, SHORT_LIST):
+            a, b = some[:-d], some[d:]
+            small, large = np.minimum(a[:, 2], b[:, 2]), np.maximum(a[:, 2], b[:, 2])
+            both = np.flatnonzero((a[:, 0] == b[:, 0]) & (a[:, 1] != b[:, 1]) & (100 * small >= similarity * large))
+            if len(both):
+                need = np.maximum(a[both, 3], b[both, 3]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(a[both, 1]), pa.array(b[both, 1]), pa.array(need)], ["a", "b", "need"])
+
+    dealt = rows.select("shingle", "class", "size", "need").repartition("shingle").sortWithinPartitions("shingle", "class")
+    return dealt.mapInArrow(lean(run), "a long, b long, need int")
 
 
 def _merged(members: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,14 +393,45 @@ def _searched(members: DataFrame, similarity: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "class long, root long, links long")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of a wanted _tid and a few others, so that most texts that a join by _tid drops aren't exchanged for it.
+
+    A filter of one bit for each value of as many bits of _tid as it takes; beyond MOST_BITS it lets more rows pass.
+    """
+    bits = min(MOST_BITS, max(16, (16 * wanted.count()).bit_length()))
+    page = 1 << 16
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = np.unique(np.asarray(batch.column(0)))
+            starts, ends = runs(values // page)
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                pages.setdefault(int(values[a]) // page, np.zeros(page, dtype=bool))[values[a:b] % page] = True
+        for at, marked in pages.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.packbits(marked).tobytes()])], ["page", "bits"])
+
+    place = F.col("_tid").bitwiseAND(F.lit((1 << bits) - 1))
+    places = wanted.select(place.alias("place")).repartition(F.shiftright("place", 16))
+    marked = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for at, some in places.mapInArrow(lean(build), "page long, bits binary").collect():
+        marked[at * page // 8 : (at + 1) * page // 8] |= np.frombuffer(some, dtype=np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(marked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
+        for batch in batches:
+            at = np.asarray(batch.column("_tid")) & ((1 << bits) - 1)
+            yield batch.filter(pa.array(((filled[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+
+    return rows.mapInArrow(lean(run), rows.schema)
+
+
 def _components(docs: DataFrame, words: int, similarity: int, bits: int = 64) -> DataFrame:
     """_doc, _tid, doc_id, n_shingles, label (of its component; null without shingles), n_links of every row."""
     marks, classes, twins = _named(docs, words, similarity, bits)
 
-    prefixes = _store.cut(_prefixes(_candidates(docs, words, similarity, bits, twins), classes, similarity))
-    hubs = _store.cut(prefixes.groupBy("shingle").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = _store.joined(prefixes, hubs, ["shingle"], "n").where("hub <> class")
-    families = _graph.components(met.select(F.col("class").alias("a"), F.col("hub").alias("b")))
+    families = _graph.components(_met(_candidates(docs, words, similarity, bits, twins), classes, similarity))
 
     families = families.select(F.col("node").alias("class"), F.col("label").alias("family")).join(classes, "class")
     sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
@@ -347,7 +439,7 @@ def _components(docs: DataFrame, words: int, similarity: int, bits: int = 64) ->
     split = not families.where("blocks > 1").isEmpty()
 
     wanted = families.select("rep._doc", "rep._tid", "family", "blocks", "class", "copies")
-    held = keyed(docs, "text").join(wanted, ["_doc", "_tid"]).select("text", "family", "blocks", "class", "copies")
+    held = _likely(keyed(docs, "text"), wanted).join(wanted, ["_doc", "_tid"]).select("text", "family", "blocks", "class", "copies")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

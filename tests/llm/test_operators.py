@@ -460,6 +460,74 @@ def test_divide_skip():
             assert (found[truth >= need] == truth[truth >= need]).all() and (found <= truth).all()
 
 
+def met(spark, sets, similarity=85):
+    """Pairs of classes that _met lets meet in a component, and the links by brute force, for sets of shingles."""
+    rows, about = [], []
+    for i, own in enumerate(sets):
+        whole, part = jaccard.prefix_size(len(own), similarity), jaccard.counted_part(own, similarity)
+        about.append((i, len(own), whole - part))
+        if len(own) > jaccard.SMALL_SET:
+            rows += [(x, i) for x in (own[: max(whole, part)] & ~np.uint64(1)).view(np.int64).tolist()]
+        if len(own) <= 100 * jaccard.SMALL_SET // similarity:
+            rows += [(x, i) for x in (own | np.uint64(1)).view(np.int64).tolist()]
+    classes = spark.createDataFrame(about, "class long, n long, slots long")
+    edges = jaccard._met(spark.createDataFrame(rows, "shingle long, class long"), classes, similarity).collect()
+    label = {i: i for i in range(len(sets))}
+    for e in edges:
+        old, new = label[e.a], label[e.b]
+        label = {k: new if v == old else v for k, v in label.items()}
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= similarity * len(np.union1d(sets[i], sets[j]))}
+    return label, links
+
+
+def mutated(rng, own, changes):
+    return np.unique(np.r_[rng.permutation(own)[changes:], rng.integers(0, 1 << 64, changes, dtype=np.uint64)])
+
+
+@pytest.mark.parametrize("short", [16, 2])
+def test_links_meet(spark, monkeypatch, short):
+    """Sets of all sizes, around the bound of small ones too, whose copies differ by about as much as a link allows."""
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (1, 2, 5, 6, 7, 13, 20, 40, 90, 118, 128, 129, 135, 150, 151, 170, 300, 700):
+        base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        sets += [base, *(mutated(rng, base, int(size * share)) for share in (0.05, 0.07, 0.08, 0.081, 0.085, 0.15)), base[: -(-size * 85 // 100)], base[size - -(-size * 85 // 100) :]]
+    label, links = met(spark, sets)
+    assert len(links) > 150 and all(label[i] == label[j] for i, j in links)
+
+
+def test_common_line_makes_no_family(spark):
+    """Sets that share a common line with all others, and a shingle or two with the next ones, don't meet."""
+    rng = np.random.default_rng(9)
+    line = rng.integers(0, 1 << 64, 10, dtype=np.uint64)
+    own = [np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)) for size in [20, 25, 60, 140, 200] * 12]
+    sets = [np.unique(np.r_[line, own[i], own[i - 1][:2]]) for i in range(len(own))]
+    label, links = met(spark, sets)
+    assert not links and len(set(label.values())) == len(sets)
+
+
+def test_documents_with_a_common_line_are_not_searched_together(spark, monkeypatch):
+    real, seen = jaccard._graph.components, []
+    monkeypatch.setattr(jaccard._graph, "components", lambda links: seen.append(real(links)) or seen[-1])
+    rng = random.Random(10)
+    line = " ".join(f"line{i}" for i in range(13))
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.choice([5, 20, 30, 60]))) + "\n" + line for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert bag(jaccard.join(docs).select("doc_id", "component_id", "n_links"), "doc_id", "component_id", "n_links") == collections.Counter((i, i, 0) for i in range(300))
+    assert seen[0].count() == 0
+
+
+def test_texts_that_are_not_wanted_stay(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select((F.col("id") * 3).alias("_doc"), F.xxhash64("id").alias("_tid"), F.col("id").cast("string").alias("text"))
+    wanted = rows.where("_doc % 60 = 0").select("_doc", "_tid")
+    left = jaccard._likely(rows, wanted)
+    assert left.join(wanted, ["_doc", "_tid"], "left_semi").count() == 1000 and left.count() < 3000
+    assert jaccard._likely(rows, wanted.limit(0)).count() == 0
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
