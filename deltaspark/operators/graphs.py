@@ -58,34 +58,43 @@ def shortest(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return iterate(seed, body)
 
 
+def _few(parts: list[DataFrame]) -> list[DataFrame]:
+    """The same rows in few tables, however many rounds there are."""
+    return parts if len(parts) <= 8 else [cut(fold(DataFrame.unionByName, parts))]
+
+
 def bidijkstra(edges: DataFrame, goals: DataFrame) -> DataFrame:
     """src, dst, hops for the goals (src, dst) that are connected.
 
     Both ends search until they meet; each round moves the end whose frontier is smaller, by whole levels,
-    so the first meeting is on a shortest path.
+    so a goal's frontiers first meet when their levels add up to its distance. For each goal the smaller of its two
+    frontiers is looked up in the other; a goal one of whose frontiers is empty can't be reached any more.
     """
     edges = cut(edges.select("src", "dst").distinct())
-    back = reverse(edges)
-    open_goals = cut(goals.select("src", "dst").distinct())
-    start = lambda end: cut(open_goals.select(F.col(end).alias("root"), F.col(end).alias("node")).distinct().withColumn("d", F.lit(0).cast("long")))
-    ends, steps = ("src", "dst"), (edges, back)
-    seen = [start("src"), start("dst")]
-    fronts = list(seen)
-    found = None
+    ends, steps = ("src", "dst"), (edges, reverse(edges))
+    waiting = cut(goals.select("src", "dst").distinct())
+    fronts = [cut(waiting.select(F.col(end).alias("root"), F.col(end).alias("node")).distinct()) for end in ends]
+    seen, levels, found = [[f] for f in fronts], [0, 0], []
     while True:
-        f = seen[0].select(F.col("root").alias("src"), "node", F.col("d").alias("df"))
-        b = seen[1].select(F.col("root").alias("dst"), "node", F.col("d").alias("db"))
-        met = cut(open_goals.join(f, "src").join(b, ["dst", "node"]).groupBy("src", "dst").agg(F.min(F.col("df") + F.col("db")).alias("hops")))
-        found = met if found is None else cut(found.unionByName(met))
-        open_goals = cut(open_goals.join(met, ["src", "dst"], "left_anti"))
-        sizes = [x.count() for x in fronts]
-        if open_goals.isEmpty() or 0 in sizes:  # an end that can't go on has seen all it can reach
-            return found
+        for end, front in zip(ends, fronts):
+            waiting = waiting.join(front.groupBy(F.col("root").alias(end)).agg(F.count(F.lit(1)).alias(f"n_{end}")), end)
+        waiting = cut(waiting)
+        f, b = fronts[0].withColumnRenamed("root", "src"), fronts[1].withColumnRenamed("root", "dst")
+        forth = waiting.where("n_src <= n_dst").join(f, "src").join(b, ["dst", "node"], "left_semi")
+        back = waiting.where("n_src > n_dst").join(b, "dst").join(f, ["src", "node"], "left_semi")
+        met = cut(forth.unionByName(back).select("src", "dst").distinct().withColumn("hops", F.lit(sum(levels)).cast("long")))
+        found = _few([*found, met])
+        waiting = cut(waiting.join(met, ["src", "dst"], "left_anti"))
+        sizes = [waiting.select(end, f"n_{end}").distinct().agg(F.sum(f"n_{end}")).first()[0] for end in ends]
+        if sizes[0] is None:
+            return fold(DataFrame.unionByName, found)
         i = sizes.index(min(sizes))
-        live = fronts[i].join(open_goals.select(F.col(ends[i]).alias("root")).distinct(), "root", "left_semi")
-        moved = live.join(steps[i], live.node == steps[i].src).select("root", F.col("dst").alias("node"), (F.col("d") + 1).alias("d")).distinct()
-        fronts[i] = cut(moved.join(seen[i], ["root", "node"], "left_anti"))
-        seen[i] = cut(seen[i].unionByName(fronts[i]))
+        live = fronts[i].join(waiting.select(F.col(ends[i]).alias("root")).distinct(), "root", "left_semi")
+        moved = live.join(steps[i], live.node == steps[i].src).select("root", F.col("dst").alias("node")).distinct()
+        fronts[i] = cut(moved.join(fold(DataFrame.unionByName, seen[i]), ["root", "node"], "left_anti"))
+        seen[i] = _few([*seen[i], fronts[i]])
+        levels[i] += 1
+        waiting = waiting.select("src", "dst")
 
 
 def propagate(edges: DataFrame, labels: DataFrame) -> DataFrame:
