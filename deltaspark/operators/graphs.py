@@ -6,7 +6,7 @@ none collects the graph or works on it in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce as fold
 
 import pandas as pd
@@ -19,6 +19,8 @@ from .loops import iterate, seminaive
 # Surfers that a node starts with and gets in each round, and the share of a node's surfers that move on.
 SURFERS, FRESH = 6_000_000, 1_000_000
 MOVE, OF = 5, 6
+# Edges that one task of `sequence` streams at most, up to one node's.
+BLOCK_ROWS = 4_000_000
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -273,36 +275,48 @@ def stable_matching(proposals: DataFrame) -> DataFrame:
         live = cut(live.join(refused, ["left", "right"], "left_anti"))
 
 
-def sequence(edges: DataFrame, logic: Callable[[int, dict], int]) -> DataFrame:
+def sequence(edges: DataFrame, logic: Callable[[int, dict], int], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """node, value: logic(node, values of smaller neighbours) for all nodes in order.
 
-    Each node waits for its smaller neighbours, so a round settles all nodes
-    whose smaller neighbours are settled: as many rounds as the longest ascending path has nodes.
+    Each node waits for its smaller neighbours, and such orders have no short parallel form (greedy colouring is
+    P-complete). So nodes are taken in blocks of consecutive ones with about `block_rows` edges to smaller
+    neighbours: values from earlier blocks are joined to a block's edges, and one task streams these in order and
+    keeps only the block's own values. Rounds are as many as blocks, however long the ascending paths are.
     """
-    both = cut(symmetric(edges).where("src <> dst"))
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        known = group.dropna(subset=["other"])
-        node = int(group["src"].iloc[0])
-        return pd.DataFrame({"node": [node], "value": [logic(node, dict(zip(known["other"].astype(int), known["value"].astype(int))))]})
-
-    # each edge to a smaller neighbour; values are filled in as they become known
-    waits = both.groupBy("src").agg(F.count_if(F.col("dst") < F.col("src")).alias("open"))
-    ready = cut(waits.where("open = 0").select("src"))
-    new = cut(ready.select("src", F.lit(None).cast("long").alias("other"), F.lit(None).cast("long").alias("value")).groupBy("src").applyInPandas(one, "node long, value long"))
-    waits = cut(waits.where("open > 0"))
-    down = both.where("dst < src").select("src", F.col("dst").alias("other"))
-    parts = [new]
-    while not waits.isEmpty():
-        told = down.join(new.select(F.col("node").alias("other")), "other").groupBy("src").agg(F.count(F.lit(1)).alias("told"))
-        waits = cut(waits.join(told, "src", "left").select("src", (F.col("open") - F.coalesce("told", F.lit(0))).alias("open")))
-        ready = waits.where("open = 0").select("src")
-        known = fold(DataFrame.unionByName, parts).select(F.col("node").alias("other"), "value")
-        new = cut(down.join(ready, "src", "left_semi").join(known, "other").select("src", "other", "value").groupBy("src").applyInPandas(one, "node long, value long"))
-        waits = waits.where("open > 0")
-        parts.append(new)
-        if len(parts) > 8:
-            parts = [cut(fold(DataFrame.unionByName, parts))]
+    both = symmetric(edges).where("src <> dst")
+    # a node without smaller neighbours has one row, with itself
+    starts = both.groupBy("src").agg(F.min("dst").alias("least")).where("least > src").select(F.col("src").alias("node"), F.col("src").alias("other"))
+    rows = cut(both.where("dst < src").select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(starts))
+    blocks = -(-rows.count() // block_rows)
+    bounds = sorted(set(rows.approxQuantile("node", [i / blocks for i in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
+        node, others = None, {}
+        for batch in batches:
+            found = []
+            for n, o, value, earlier in zip(*[batch[c].tolist() for c in ("node", "other", "value", "earlier")]):
+                if n != node:
+                    if node is not None:
+                        known[node] = logic(node, others)
+                        found.append(node)
+                    node, others = n, {}
+                if o != n:
+                    others[o] = value if earlier else known[o]
+            yield pd.DataFrame({"node": found, "value": [known[x] for x in found]}, dtype="int64")
+        if node is not None:
+            yield pd.DataFrame({"node": [node], "value": [logic(node, others)]}, dtype="int64")
+
+    parts: list[DataFrame] = []
+    for low, high in zip([None, *map(int, bounds)], [*map(int, bounds), None]):
+        mine = rows if low is None else rows.where(F.col("node") > low)
+        mine = mine if high is None else mine.where(F.col("node") <= high)
+        inner = mine if low is None else mine.where(F.col("other") > low)
+        block = inner.select("node", "other", F.lit(0).cast("long").alias("value"), F.lit(False).alias("earlier"))
+        if parts:
+            known = fold(DataFrame.unionByName, parts).withColumnRenamed("node", "other")
+            block = block.unionByName(mine.where(F.col("other") <= low).join(known, "other").select("node", "other", "value", F.lit(True).alias("earlier")))
+        parts = _few([*parts, cut(block.repartition(1).sortWithinPartitions("node").mapInPandas(settle, "node long, value long"))])
     return fold(DataFrame.unionByName, parts)
 
 

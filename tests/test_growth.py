@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from deltaspark.operators import graphs
@@ -41,3 +43,21 @@ def test_bidijkstra_looks_up_the_smaller_frontier(spark):
     found = []
     assert most_rows(spark, lambda: found.extend(graphs.bidijkstra(star, goals).collect())) <= 1200
     assert sorted(map(tuple, found)) == [(0, i + 1, 1) for i in range(300)]
+
+
+def test_colouring_takes_blocks_not_paths(spark, cuts):
+    path = spark.range(60).selectExpr("id AS src", "id + 1 AS dst")
+    assert sorted(map(tuple, graphs.sequence(path, graphs.least_free).collect())) == [(i, i % 2) for i in range(61)]
+    assert len(cuts) <= 3
+
+
+def test_sequence_over_several_blocks(spark):
+    rng = random.Random(3)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(150)}
+    near = {a: {b for x in pairs for b in x if a in x and b != a} for x in pairs for a in x}
+    logic = lambda node, others: node + 2 * sum(others.values()) % 1000 + len(others)
+    known = {}
+    for n in sorted(n for n in near if near[n]):
+        known[n] = logic(n, {x: known[x] for x in near[n] if x < n})
+    found = graphs.sequence(spark.createDataFrame(sorted(pairs), "src long, dst long"), logic, 20).collect()
+    assert sorted(map(tuple, found)) == sorted(known.items())
