@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce as fold
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
@@ -260,19 +260,32 @@ def attend(organisers: DataFrame, friends: DataFrame, least: int = 3) -> DataFra
 
 
 def stable_matching(proposals: DataFrame) -> DataFrame:
-    """left, right of a stable matching; proposals: left, lpref, right, rpref (smaller is better, both sides strict).
+    """left, right of the stable matching that is best for all lefts; proposals: left, lpref, right, rpref (smaller is better, both sides strict).
 
-    Every left proposes to its best right that hasn't turned it down; a right
-    turns down all but the best. All move at once, so rounds are few.
+    All lefts propose to their best right, and all rights to their best left. Whoever has a proposal gives up all pairs
+    that are worse for them than the best one; none of these is in any stable matching. Pairs that choose each other
+    are settled and leave, so each round works on what is left of the table. When nothing changes any more, the lefts'
+    best are the rest of the matching.
     """
-    live = cut(proposals.select("left", "lpref", "right", "rpref"))
-    while True:
-        best = cut(live.groupBy("left").agg(F.min(F.struct("lpref", "right", "rpref")).alias("p")).select("left", "p.right", "p.rpref"))
-        kept = best.groupBy("right").agg(F.min(F.struct("rpref", "left")).alias("k")).select("right", F.col("k.left").alias("left"))
-        refused = cut(best.join(kept, ["left", "right"], "left_anti").select("left", "right"))
-        if refused.isEmpty():
-            return best.select("left", "right")
-        live = cut(live.join(refused, ["left", "right"], "left_anti"))
+    forth, back = F.struct("lpref", "right"), F.struct("rpref", "left")
+    left, right = Window.partitionBy("left"), Window.partitionBy("right")
+    live = cut(proposals.select("left", "lpref", "right", "rpref").withColumn("wish", forth == F.min(forth).over(left)))
+    size, done = live.count(), []
+    while size:
+        asked = live.withColumn("like", back == F.min(back).over(right)).withColumn("bound", F.min(F.when(F.col("wish"), back)).over(right))
+        asked = asked.where(F.col("bound").isNull() | (back <= F.col("bound"))).drop("bound")
+        kept = asked.withColumn("bound", F.min(F.when(F.col("like"), forth)).over(left)).withColumn("best", F.min(forth).over(left))
+        kept = kept.where(F.col("bound").isNull() | (forth <= F.col("bound")))
+        kept = cut(kept.select("left", "lpref", "right", "rpref", (forth == F.col("best")).alias("wish"), F.expr("wish AND like").alias("both")))
+        now, pairs = kept.agg(F.count_if(~F.col("both")), F.count_if("both")).first()
+        if pairs:
+            done = _few([*done, kept.where("both").select("left", "right")])
+        live = kept.where(~F.col("both")).drop("both")
+        if (now, pairs) == (size, 0):
+            done.append(live.where("wish").select("left", "right"))
+            break
+        size = now
+    return fold(DataFrame.unionByName, done) if done else live.select("left", "right")
 
 
 def sequence(edges: DataFrame, logic: Callable[[int, dict], int], block_rows: int = BLOCK_ROWS) -> DataFrame:

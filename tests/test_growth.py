@@ -61,3 +61,30 @@ def test_sequence_over_several_blocks(spark):
         known[n] = logic(n, {x: known[x] for x in near[n] if x < n})
     found = graphs.sequence(spark.createDataFrame(sorted(pairs), "src long, dst long"), logic, 20).collect()
     assert sorted(map(tuple, found)) == sorted(known.items())
+
+
+def test_stable_matching_works_on_what_is_left(spark, cuts):
+    n = 12  # everybody wants the same: the old loop wrote all pairs but one in each of its rounds
+    wishes = spark.range(n * n).selectExpr(f"id div {n} AS left", f"id % {n} AS lpref", f"100 + id % {n} AS right", f"id div {n} AS rpref")
+    assert sorted(map(tuple, graphs.stable_matching(wishes).collect())) == [(i, 100 + i) for i in range(n)]
+    assert sum(t.count() for t in cuts) <= n * n * (n + 1) // 2
+
+
+def test_stable_matching_is_best_for_all_lefts(spark):
+    rng = random.Random(8)
+    wishes = {a: rng.sample(range(12), 6) for a in range(14)}
+    ranks = {b: rng.sample(range(14), 14) for b in range(12)}
+    free, tried, holds = list(wishes), dict.fromkeys(wishes, 0), {}
+    while free:
+        a = free.pop()
+        if tried[a] == len(wishes[a]):
+            continue
+        b, tried[a] = wishes[a][tried[a]], tried[a] + 1
+        old = holds.get(b)
+        if old is None or ranks[b].index(a) < ranks[b].index(old):
+            holds[b], a = a, old
+        if a is not None:
+            free.append(a)
+    rows = [(a, p, b, ranks[b].index(a)) for a, to in wishes.items() for p, b in enumerate(to)]
+    found = graphs.stable_matching(spark.createDataFrame(rows, "left long, lpref long, right long, rpref long")).collect()
+    assert sorted(map(tuple, found)) == sorted((a, b) for b, a in holds.items())
