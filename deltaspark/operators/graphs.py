@@ -21,6 +21,8 @@ SURFERS, FRESH = 6_000_000, 1_000_000
 MOVE, OF = 5, 6
 # Edges that one task of `sequence` streams at most, up to one node's.
 BLOCK_ROWS = 4_000_000
+# Ends of paths that `hops` puts into one list, counted with repeats.
+MOST_LISTED = 10_000_000
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -238,13 +240,32 @@ def same_generation(edges: DataFrame) -> DataFrame:
     return seminaive(seed, step)
 
 
-def hops(edges: DataFrame, roots: DataFrame, n: int) -> DataFrame:
-    """root, node: the distinct ends of paths of exactly n edges."""
-    e = edges.select("src", "dst").distinct()
-    state = roots.select(F.col("node").alias("root"), "node")
+def hops(edges: DataFrame, roots: DataFrame, n: int, most: int = MOST_LISTED) -> DataFrame:
+    """root, node: the distinct ends of paths of exactly n edges.
+
+    Nodes take over the lists of ends of their successors, so what is exchanged are lists and not a row for each
+    pair; only nodes that the roots reach in so many steps have lists. Nodes that would get more than `most` ends,
+    counted with repeats, get them as rows.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    starts = cut(roots.select("node").distinct())
+    if n == 0:
+        return starts.select(F.col("node").alias("root"), "node")
+    steps = []
     for _ in range(n):
-        state = state.join(e, state.node == e.src).select("root", F.col("dst").alias("node")).distinct()
-    return state
+        steps.append(cut(e.join(starts.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst")))
+        starts = steps[-1].select(F.col("dst").alias("node")).distinct()
+    out = steps[-1]
+    for step in reversed(steps[:-1]):
+        lists = cut(out.groupBy(F.col("src").alias("mid")).agg(F.collect_list("dst").alias("ends")))
+        sizes = lists.select(F.col("mid").alias("dst"), F.size("ends").cast("long").alias("n"))
+        large = cut(step.join(sizes, "dst").groupBy("src").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("src"))
+        told = step.join(lists, step.dst == lists.mid).select("src", "ends")
+        listed = told.join(large, "src", "left_anti").groupBy("src").agg(F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
+        out = listed.select("src", F.explode("ends").alias("dst"))
+        if not large.isEmpty():
+            out = out.unionByName(told.join(large, "src", "left_semi").select("src", F.explode("ends").alias("dst")).distinct())
+    return out.toDF("root", "node")
 
 
 def attend(organisers: DataFrame, friends: DataFrame, least: int = 3) -> DataFrame:

@@ -88,3 +88,16 @@ def test_stable_matching_is_best_for_all_lefts(spark):
     rows = [(a, p, b, ranks[b].index(a)) for a, to in wishes.items() for p, b in enumerate(to)]
     found = graphs.stable_matching(spark.createDataFrame(rows, "left long, lpref long, right long, rpref long")).collect()
     assert sorted(map(tuple, found)) == sorted((a, b) for b, a in holds.items())
+
+
+def test_hops_exchanges_lists(spark):
+    edges = spark.range(1200).selectExpr("id % 60 AS src", "(id * 7 + id div 60) % 60 AS dst").distinct()
+    pairs = {tuple(r) for r in edges.collect()}
+    two = {(a, d) for a, b in pairs for c, d in pairs if b == c}
+    expected = sorted({(a, d) for a, b in two for c, d in pairs if b == c})
+    roots = edges.selectExpr("src AS node").distinct()
+    for most in (graphs.MOST_LISTED, 5):
+        found = graphs.hops(edges, roots, 3, most)
+        assert sorted(map(tuple, found.collect())) == expected
+    # the old form made a row for each edge after each pair two edges apart
+    assert most_rows(spark, lambda: graphs.hops(edges, roots, 3).collect()) <= max(len(expected), len(two), len(pairs)) < 20 * len(two)
