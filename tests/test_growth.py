@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from deltaspark.operators import graphs
+from deltaspark.operators import graphs, wcoj
 
 
 def most_rows(spark, action):
@@ -101,3 +101,14 @@ def test_hops_exchanges_lists(spark):
         assert sorted(map(tuple, found.collect())) == expected
     # the old form made a row for each edge after each pair two edges apart
     assert most_rows(spark, lambda: graphs.hops(edges, roots, 3).collect()) <= max(len(expected), len(two), len(pairs)) < 20 * len(two)
+
+
+def test_triangle_changes_make_paths_once(spark):
+    # paths a, b, c without a third edge, each edge changed at four times
+    into = spark.range(30).selectExpr("id AS src", "100L AS dst")
+    out = spark.range(30).selectExpr("100L AS src", "200 + id AS dst")
+    closing = spark.createDataFrame([(0, 200)], "src long, dst long")
+    changes = into.union(out).union(closing).crossJoin(spark.range(4).selectExpr("id AS __t", "1L AS __w"))
+    found = []
+    assert most_rows(spark, lambda: found.extend(wcoj.triangle_changes(changes).collect())) <= 30 * 30
+    assert sorted(map(tuple, found)) == [(0, 100, 200, t, (t + 1) ** 3 - t**3) for t in range(4)]
