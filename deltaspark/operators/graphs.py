@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, tasks_for
 from .loops import iterate, seminaive
 
 # Surfers that a node starts with and gets in each round, and the share of a node's surfers that move on.
@@ -364,10 +364,18 @@ def least_free(node: int, others: dict) -> int:
 
 
 def item_similarity(pairs: DataFrame, least_percent: int = 5) -> DataFrame:
-    """a, b, shared, total for items whose users' Jaccard similarity exceeds a bound; pairs: user, item."""
-    own = pairs.select("user", "item").distinct()
+    """a, b, shared, total for items whose users' Jaccard similarity exceeds a bound; pairs: user, item.
+
+    Rows and pairs of items are dealt over as many tasks as their numbers ask for; that of the pairs is known from the
+    users' sizes.
+    """
+    tasks = tasks_for(pairs.sparkSession, pairs.count())
+    own = cut(pairs.select("user", "item").repartition(tasks, "user").distinct())
+    size = F.count(F.lit(1))
+    both = own.groupBy("user").agg((size * (size - 1) / 2).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     users = own.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    met = own.toDF("user", "a").join(own.toDF("user", "b"), "user").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    met = own.toDF("user", "a").repartition(tasks, "user").join(own.toDF("user", "b").repartition(tasks, "user"), "user").where("a < b").select("a", "b")
+    met = met.repartition(tasks_for(own.sparkSession, both), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     sized = met.join(users.toDF("a", "na"), "a").join(users.toDF("b", "nb"), "b").withColumn("total", F.expr("na + nb - shared"))
     return sized.where(F.col("shared") * 100 > F.col("total") * least_percent).select("a", "b", "shared", "total")
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
+from deltaspark import storage
 from deltaspark.operators import graphs, wcoj
 
 
@@ -112,3 +114,12 @@ def test_triangle_changes_make_paths_once(spark):
     found = []
     assert most_rows(spark, lambda: found.extend(wcoj.triangle_changes(changes).collect())) <= 30 * 30
     assert sorted(map(tuple, found)) == [(0, 100, 200, t, (t + 1) ** 3 - t**3) for t in range(4)]
+
+
+def test_item_similarity_deals_pairs_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_OF_TASK", 20)
+    rows = spark.range(60).selectExpr("id div 6 AS user", "id % 6 AS item")
+    found = graphs.item_similarity(rows, 5)
+    assert sorted(map(tuple, found.collect())) == [(a, b, 10, 10) for a in range(6) for b in range(a + 1, 6)]
+    # 150 pairs
+    assert re.search(r"hashpartitioning\(a#\w+, b#\w+, 8\)", found._jdf.queryExecution().executedPlan().toString())
